@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from cuelight.llm import bpe, pieces
+from pyspark.sql import functions as F
+
+from cuelight.llm import bpe, lookalikes, pieces
 from cuelight.session import table
 
 
@@ -16,11 +18,26 @@ def p2_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.pieces(table(spark, sf_dir, "segments"), table(spark, sf_dir, "size_limits"))
 
 
+def _captions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The texts of segments and cues under one id."""
+    s, c = table(spark, sf_dir, "segments"), table(spark, sf_dir, "cues")
+    s = s.select(F.lit("segments").alias("tab"), "stem", "reel", F.col("seg_id").alias("id"), "text")
+    return s.unionByName(c.select(F.lit("cues").alias("tab"), "stem", "reel", F.col("cue_id").alias("id"), "text"))
+
+
+def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lookalikes.same_look(_captions(spark, sf_dir), ["tab", "stem", "reel"], "id").select("tab", "id_a", "id_b")
+
+
+def p3_canonical(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lookalikes.canonical(_captions(spark, sf_dir), ["tab", "id"]).select("tab", "id", "canonical")
+
+
 def p7_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {"p2_found": p2_found, "p2_pieces": p2_pieces, "p7_ids": p7_ids}
+QUERIES = {"p2_found": p2_found, "p2_pieces": p2_pieces, "p3_found": p3_found, "p3_canonical": p3_canonical, "p7_ids": p7_ids}
 
 SQL = {
     "p2_found": """
