@@ -1,0 +1,122 @@
+"""Labelled exemplars of residue: unfilled templates, filler text, error pages, notices that scripts are needed.
+
+Fixed values. ``0`` stands for any number and ``□`` for an unfilled place of a template. An exemplar of kind
+``filler`` is a set of words that filler is made of; the others are passages.
+"""
+
+EXEMPLARS = {
+    "template": [
+        "□",
+        "○の○をお送りします",
+        "○(社名)提供",
+        "○さん",
+        "●さんの発言",
+        "●原稿待ち",
+        "※原稿待ち",
+        "(仮)原稿待ち",
+        "翻訳待ち",
+        "未定・未定・未定",
+        "題名が決まり次第入れます",
+        "せりふをここへ",
+        "ここに字幕が入ります",
+        "文字を入力",
+        "テキストを入力してください",
+        "ここに本文を入れてください",
+        "字幕の見本です",
+        "この文は仮のテキストです",
+        "これはダミーの文章です",
+        "差し替えてください",
+        "後で消す",
+        "ダミーテキスト",
+        "かなかなかなかな仮置き",
+        "此处填写字幕",
+        "示例文本示例文本",
+        "여기에 자막을 입력하세요",
+        "임시 텍스트입니다",
+        "Platzhaltertext",
+        "Platzhaltertext hier einfügen",
+        "Insert text here",
+        "Insert caption here",
+        "Your text goes here",
+        "Texte d'exemple",
+        "Texto de ejemplo",
+        "TBD",
+        "dummy line 0",
+        "dummy text",
+        "placeholder text",
+    ],
+    "repeated": [
+        "文字文字文字",
+        "テキストテキストテキスト",
+        "サンプルサンプルサンプル",
+        "あああテストあああテスト",
+        "あいうえおかきくけこさしすせそ",
+        "blah blah blah blah",
+        "asdf asdf jkl",
+        "foo bar baz qux",
+        "ABCDEFG abcdefg",
+        "xxx xxx xxxx xx",
+        "1234567890",
+    ],
+    "filler": ["lorem ipsum dolor amet sint magni porta laboris consec quilis nulla fugit ovis vestra velor seda nonum eum alira tempora terenda"],
+    "error": [
+        "0 Bad Request",
+        "0 Unauthorized",
+        "0 Forbidden",
+        "0 Not Found",
+        "0 Gone",
+        "0 Request Timeout",
+        "0 Too Many Requests",
+        "0 Internal Server Error",
+        "0 Bad Gateway",
+        "0 Service Unavailable",
+        "0 Gateway Time-out",
+        "Not Found (status 0)",
+        "Forbidden (status 0)",
+        "Gone (status 0)",
+        "Bad Gateway (status 0)",
+        "Service Unavailable (status 0)",
+        "Gateway Time-out (status 0)",
+        "Internal Server Error (status 0)",
+        "Too Many Requests (status 0)",
+        "HTTP 0: Gone",
+        "Error 0 – Gone",
+        "The page you asked for is not here",
+        "エラー0が発生しました。時間をおいて再度お試しください",
+        "時間をおいて再度お試しください",
+        "ただいまメンテナンス中です",
+        "ページが見つかりませんでした",
+        "お探しの動画は削除された可能性があります",
+        "このコンテンツを閲覧する権限がありません",
+        "サーバーが混み合っているため表示できません",
+        "セッションの有効期限が切れました",
+        "接続がタイムアウトしました。再読み込みしてください",
+        "服务器错误(0)",
+        "您访问的页面不存在",
+        "요청하신 페이지를 찾을 수 없습니다",
+        "일시적인 오류가 발생했습니다",
+        "ไม่พบหน้าที่คุณต้องการ",
+        "Fehler 0: Bitte laden Sie die Seite neu",
+        "Zugriff verweigert – Seite nicht gefunden",
+        "Erreur 0, réessayez plus tard",
+        "Something went wrong, please try again later",
+    ],
+    "script": [
+        "Please enable JavaScript to continue",
+        "This player requires JavaScript",
+        "Check your browser settings",
+        "JavaScript is disabled in your browser",
+        "JavaScriptを有効にしてください",
+        "ご利用のブラウザではJavaScriptが無効になっています",
+        "スクリプトが無効です。設定をご確認ください",
+        "この字幕を表示するにはスクリプトの実行を許可してください",
+        "请启用 JavaScript 后继续",
+        "자바스크립트를 켜 주세요",
+        "โปรดเปิดใช้งาน JavaScript",
+        "Diese Seite benötigt Skripte",
+        "Bitte aktivieren Sie JavaScript",
+        "Veuillez activer JavaScript",
+        "Cette page a besoin de scripts pour s'afficher",
+        "Active JavaScript para ver los subtítulos",
+    ],
+}
