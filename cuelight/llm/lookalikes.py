@@ -15,7 +15,6 @@ from __future__ import annotations
 
 import hashlib
 import re
-import sys
 import unicodedata
 from collections.abc import Iterator
 
@@ -37,16 +36,9 @@ INVISIBLE = "­͏؜ᅟᅠ឴឵᠋-᠏​-‏‪-‮⁠-⁯︀-️﻿\U000e0001-
 _invisible = re.compile(f"[{INVISIBLE}]+")
 _space = re.compile("[    -   　]")
 _dash = re.compile("[‐‑−]")
-#: Characters whose compatibility form is seen to differ from them, by the kind of their decomposition.
-_kept = re.compile(
-    "(["
-    + "".join(
-        re.escape(chr(c))
-        for c in range(0xA0, sys.maxunicode + 1)
-        if unicodedata.decomposition(chr(c)).startswith(("<circle>", "<super>", "<sub>", "<fraction>", "<square>", "<font>"))
-    )
-    + "]+)"
-)
+#: Blocks with characters whose compatibility form is seen to differ from them.
+_blocks = re.compile("([ª²³¹º¼-¾ʰ-˿ᴀ-ᶿ⁰-₟℀-⅏⅐-↏①-⓿㆐-㆟㈀-㏿ꟲ-ꟹꭜ-ꭟ\U0001d400-\U0001d7ff\U0001f100-\U0001f2ff])")
+_differ = ("<circle>", "<super>", "<sub>", "<fraction>", "<square>", "<font>")
 _letters = "A-Za-zªµºÀ-ÖØ-öø-ɏḀ-ỿ"
 _other = "Ͱ-ϿЀ-ԯ"
 _twins = "".join(TO_KATAKANA)
@@ -65,10 +57,10 @@ def fold(text: str) -> str:
     if text.isascii():
         return text
     text = _space.sub(" ", _invisible.sub("", text))
-    if _kept.search(text):
-        parts = _kept.split(text)
-        parts[::2] = [unicodedata.normalize("NFKC", p) for p in parts[::2]]
-        text = unicodedata.normalize("NFC", "".join(parts))
+    if _blocks.search(text):
+        parts = _blocks.split(text)
+        keep = [i % 2 and unicodedata.decomposition(p).startswith(_differ) for i, p in enumerate(parts)]
+        text = unicodedata.normalize("NFC", "".join(p if k else unicodedata.normalize("NFKC", p) for p, k in zip(parts, keep)))
     else:
         text = unicodedata.normalize("NFKC", text)
     return _dash.sub("-", text)
