@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from pyspark.sql import functions as F
 
-from cuelight.llm import bpe, lookalikes, pieces, residue
+from cuelight.llm import bpe, lookalikes, pieces, residue, sentences
 from cuelight.session import table
 
 
@@ -37,11 +37,19 @@ def p3_canonical(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lookalikes.canonical(_captions(spark, sf_dir), ["tab", "id"]).select("tab", "id", "canonical")
 
 
+def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sentences.boundaries(table(spark, sf_dir, "segments"))
+
+
+def p4_sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sentences.sentences(table(spark, sf_dir, "segments"))
+
+
 def p7_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {"p1_found": p1_found, "p2_found": p2_found, "p2_pieces": p2_pieces, "p3_found": p3_found, "p3_canonical": p3_canonical, "p7_ids": p7_ids}
+QUERIES = {"p1_found": p1_found, "p2_found": p2_found, "p2_pieces": p2_pieces, "p3_found": p3_found, "p3_canonical": p3_canonical, "p4_found": p4_found, "p4_sentences": p4_sentences, "p7_ids": p7_ids}
 
 SQL = {
     "p2_found": """
