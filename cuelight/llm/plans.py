@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from pyspark.sql import functions as F
 
-from cuelight.llm import bpe, lookalikes, pieces, residue, sentences
+from cuelight.llm import bpe, lookalikes, pieces, residue, sentences, turns
 from cuelight.session import table
 
 
@@ -45,11 +45,19 @@ def p4_sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sentences.sentences(table(spark, sf_dir, "segments"))
 
 
+def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return turns.turn_starts(table(spark, sf_dir, "cues"), table(spark, sf_dir, "cue_stats"))
+
+
+def p6_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return turns.turns(table(spark, sf_dir, "cues"), table(spark, sf_dir, "cue_stats"))
+
+
 def p7_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {"p1_found": p1_found, "p2_found": p2_found, "p2_pieces": p2_pieces, "p3_found": p3_found, "p3_canonical": p3_canonical, "p4_found": p4_found, "p4_sentences": p4_sentences, "p7_ids": p7_ids}
+QUERIES = {"p1_found": p1_found, "p2_found": p2_found, "p2_pieces": p2_pieces, "p3_found": p3_found, "p3_canonical": p3_canonical, "p4_found": p4_found, "p4_sentences": p4_sentences, "p6_found": p6_found, "p6_turns": p6_turns, "p7_ids": p7_ids}
 
 SQL = {
     "p2_found": """
