@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from pyspark.sql import functions as F
 
-from cuelight.llm import bpe, lookalikes, pieces, residue, sentences, turns
+from cuelight.llm import bpe, lookalikes, mixing, pieces, residue, sentences, subjects, turns
 from cuelight.session import table
 
 
@@ -57,7 +57,19 @@ def p7_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {"p1_found": p1_found, "p2_found": p2_found, "p2_pieces": p2_pieces, "p3_found": p3_found, "p3_canonical": p3_canonical, "p4_found": p4_found, "p4_sentences": p4_sentences, "p6_found": p6_found, "p6_turns": p6_turns, "p7_ids": p7_ids}
+def p8_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mixture(table(spark, sf_dir, "documents"), table(spark, sf_dir, "mix_targets"))
+
+
+def p8_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.shares(table(spark, sf_dir, "documents"), table(spark, sf_dir, "mix_targets"))
+
+
+def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return subjects.subjects(table(spark, sf_dir, "documents"), table(spark, sf_dir, "area_labels"), table(spark, sf_dir, "subject_areas"))
+
+
+QUERIES = {"p1_found": p1_found, "p2_found": p2_found, "p2_pieces": p2_pieces, "p3_found": p3_found, "p3_canonical": p3_canonical, "p4_found": p4_found, "p4_sentences": p4_sentences, "p6_found": p6_found, "p6_turns": p6_turns, "p7_ids": p7_ids, "p8_mixture": p8_mixture, "p8_shares": p8_shares, "p9_found": p9_found}
 
 SQL = {
     "p2_found": """
