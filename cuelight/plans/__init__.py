@@ -1,6 +1,6 @@
 """The core's queries by name, and their SQL."""
 
-from cuelight.plans import periods
+from cuelight.plans import intervals, periods, text
 
-QUERIES = {**periods.QUERIES}
-SQL = {**periods.SQL}
+QUERIES = {**periods.QUERIES, **intervals.QUERIES, **text.QUERIES}
+SQL = {**periods.SQL, **intervals.SQL, **text.SQL}
