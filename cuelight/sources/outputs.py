@@ -62,6 +62,7 @@ def write(segments: DataFrame, keys: list[str], names: list[str], folder: str) -
     written = []
     for kind in formats(names):
         path = f"{folder}/{kind}"
-        documents(segments, keys, kind).withColumnRenamed("document", "value").write.mode("overwrite").partitionBy(*keys).option("lineSep", "").text(path)
+        rows = documents(segments, keys, kind).select(*keys, F.regexp_replace("document", "\\n\\z", "").alias("value"))  # the writer ends it
+        rows.write.mode("overwrite").partitionBy(*keys).text(path)
         written.append(path)
     return written

@@ -14,15 +14,12 @@ STATE = "last string, times int"
 def kept_stream(segments: DataFrame, keys: list[str], order: str = "pos", text: str = "text") -> DataFrame:
     """The segments of a stream (keys strings or numbers, ``order``, ``text``) that the filter keeps.
 
-    Rows of one recording must arrive in order across micro-batches; within one they are sorted. State ends with its
-    recording after an hour of processing time without rows.
+    Rows of one recording must arrive in order across micro-batches; within one they are sorted. The state is one text and a
+    number for each recording.
     """
     rows = segments.select(*keys, order, text)
 
     def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            state.remove()
-            return
         last, times = state.get if state.exists else ("", 0)
         b = pd.concat(list(batches)).sort_values(order, kind="stable")
         keep = []
@@ -34,7 +31,6 @@ def kept_stream(segments: DataFrame, keys: list[str], order: str = "pos", text:
                 times, last = 0, t
             keep.append(times < 2)
         state.update((last, times))
-        state.setTimeoutDuration(3_600_000)
         yield b[keep]
 
-    return rows.groupBy(*keys).applyInPandasWithState(step, rows.schema, STATE, "append", GroupStateTimeout.ProcessingTimeTimeout)
+    return rows.groupBy(*keys).applyInPandasWithState(step, rows.schema, STATE, "append", GroupStateTimeout.NoTimeout)
