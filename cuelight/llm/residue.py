@@ -15,6 +15,7 @@ from __future__ import annotations
 
 import math
 import re
+from bisect import bisect_left, bisect_right
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -32,8 +33,8 @@ FILLER_WORDS = 3
 _name = r"(?:[A-Za-z_][A-Za-z0-9_.]{1,40}|\d{1,3}|[一-鿿々ァ-ヺー가-힣]{2,12})"
 #: The syntaxes of an unfilled place; what stands in it must be a name, not words of speech.
 SLOT = re.compile(
-    r"\{\{\s*N\s*\}\}|[$#]\{\s*N\s*\}|\{N\}|<%=?\s*N\s*%>|\{%\s*(?:\w+\s+)?N\s*%\}|%\(N\)[sdf]|%N%|\$N\$|@@N@@|__N__|\[\[\s*N\s*\]\]"
-    r"|<<\s*N\s*>>|&lt;\s*N\s*&gt;|<your N here>|\[INSERT N\]|<N>が入ります|【Nを入力】|〔ここにN〕|\[N未設定\]".replace("N", _name)
+    r"\{\{\s*~\s*\}\}|[$#]\{\s*~\s*\}|\{~\}|<%=?\s*~\s*%>|\{%\s*(?:\w+\s+)?~\s*%\}|%\(~\)[sdf]|%~%|\$~\$|@@~@@|__~__|\[\[\s*~\s*\]\]"
+    r"|<<\s*~\s*>>|&lt;\s*~\s*&gt;|<your ~ here>|\[INSERT ~\]|<~>が入ります|【~を入力】|〔ここに~〕|\[~未設定\]".replace("~", _name)
 )
 _twins = re.compile("[" + "".join(TO_LATIN) + "]")
 _digits = re.compile(r"\d{1,5}(?!\d)")
@@ -107,6 +108,7 @@ class Index:
     def residue(self, text: str) -> bool:
         """Whether a folded text holds a passage like an exemplar."""
         hits = list(self.automaton.iter(text))
+        ends = [at for at, _ in hits]
         tried = set()
         for end, i in hits:
             for e in self.retrieves.get(i, ()):
@@ -114,7 +116,8 @@ class Index:
                 if (end, e) in tried:
                     continue
                 tried.add((end, e))
-                near = {j for at, j in hits if j in own and abs(at - end) <= size}
+                window = hits[bisect_left(ends, end - size) : bisect_right(ends, end + size)]
+                near = {j for _, j in window if j in own}
                 if sum(self.weight[j] for j in near) >= COVERAGE * total - 1e-9:
                     return True
         if any(i in self.fillers for _, i in hits):
