@@ -8,8 +8,8 @@ from pyspark.sql import functions as F
 from cuelight.functions import text as tx
 from cuelight.operators import detectors as dt
 from cuelight.operators import distance, resegment, scoring
-from cuelight.operators.intervals import points_in
-from cuelight.plans.base import BARE, CUE, REEL, SEG, SPOKEN, TAKE, WS, cues, segments, worded
+from cuelight.operators.intervals import merge, overlapping, points_in
+from cuelight.plans.base import BARE, CUE, REEL, REG, SEG, SPOKEN, TAKE, WS, cues, merged, regions, segments, worded
 from cuelight.session import table
 from cuelight.sources import outputs
 
@@ -87,6 +87,34 @@ def anomaly_totals(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
+def first_anomalies(spark: SparkSession, d: str) -> DataFrame:
+    kinds = F.filter(F.array(*(F.when(F.col(k), F.lit(f"{i}{k}")) for i, k in enumerate(("over30", "thin", "dense")))), lambda x: x.isNotNull())
+    r = _anomalies(spark, d).select("config", "stem", "reel", "pos", "seg_id", F.explode(kinds).alias("k"))
+    r = scoring.top(r, ["config", "stem"], [F.col("reel"), F.col("pos"), F.col("k")], 3)
+    return r.select("config", "stem", "seg_id", F.substring("k", 2, 9).alias("kind"))
+
+
+def clip_lists(spark: SparkSession, d: str) -> DataFrame:
+    m = merge(regions(spark, d), ["backend", *REEL]).select("backend", *REEL, "a", F.format_string("%d.%03d,%d.%03d", *(x.cast("bigint") for c in ("a", "b") for x in (F.floor(F.col(c) / 1000), F.col(c) % 1000))).alias("clip"))
+    return scoring.joined_text(m, ["backend", *REEL], ["a"], "clip", ",")
+
+
+def output_names(spark: SparkSession, d: str) -> DataFrame:
+    t = table(spark, d, "transcripts").select("config", "stem", "reel", F.lower("lang").alias("lang")).distinct()
+    return t.select("config", "stem", "reel", F.concat_ws(".", F.concat_ws("_", "stem", F.col("reel").cast("string")), "lang", F.lit("srt")).alias("name"))
+
+
+def pipeline(spark: SparkSession, d: str) -> DataFrame:
+    """The whole chain behind recognition: duplicates, loops and stock phrases go, then repair, then layout."""
+    s = worded(spark, d)
+    kept = dt.repeated_runs(segments(spark, d), TAKE, ["pos"]).where("kept").select("seg_id")
+    s = dt.loops(s.join(kept, "seg_id", "left_semi")).where("loop is null")
+    s = dt.phrases(s).where("not whole").drop("loop", "folded_chars", "phrase", "whole")
+    fixed = resegment.sanitised(s, TAKE).withColumn("pos", F.col("id"))
+    width, lines, parted = resegment.PRESETS["standard"]
+    return resegment.formatted(fixed, TAKE, width, lines, parted, 3.0).drop("words")
+
+
 def drop_stats(spark: SparkSession, d: str) -> DataFrame:
     r = segments(spark, d).withColumn("t", tx.squeeze(F.col("text"))).withColumn("hit", dt.distinct_rule(F.col("t")) | dt.run_rule(F.col("t")))
     r = r.groupBy("config").agg(F.count("*").alias("before"), F.count_if(~F.col("hit")).alias("after"), F.count_if("hit").alias("dropped"), F.sum(F.when(F.col("hit"), F.length("t")).otherwise(0)).cast("bigint").alias("chars"))
@@ -199,8 +227,6 @@ def block_scores(spark: SparkSession, d: str) -> DataFrame:
 def whole_scores(spark: SparkSession, d: str) -> DataFrame:
     """Errors of each reel's captioned stretches as one text, at the plain level."""
     b = scoring.blocks(cues(spark, d), REEL)
-    from cuelight.operators.intervals import overlapping
-
     said = scoring.joined_text(overlapping(segments(spark, d), b, REEL), TAKE, ["a", "pos"], "text").withColumnRenamed("text", "hyp")
     ref = scoring.joined_text(b.withColumnRenamed("reference", "text"), REEL, ["block"], "text").withColumnRenamed("text", "ref")
     p = said.join(ref, REEL)
@@ -244,7 +270,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         ascii_normalize, nfkc_plain, one_line_text, speech_budget, sung_cues, distinct_char_rule, char_run_rule, loop_filter, score_loops, phrase_filter, stock_phrases,
-        density_anomaly, thin_anomaly, over30_anomaly, anomaly_totals, drop_stats, dedupe_fold, dedupe_equal, file_selection, first_wins_dedupe, language_warning,
+        density_anomaly, thin_anomaly, over30_anomaly, anomaly_totals, first_anomalies, clip_lists, output_names, pipeline, drop_stats, dedupe_fold, dedupe_equal, file_selection, first_wins_dedupe, language_warning,
         duration_fallback, pseudo_word_timing, gap_split_groups, renumber, sanitize, sanitize_stats, format_wrap, greedy_blocks, edit_distance_ascii, cer_rollup,
         block_scores, whole_scores, survey_counts, survey_speakers, suspect_chars, timestamp_format, *map(_kind, ("srt", "vtt", "txt", "tsv", "lrc")), srt_documents, json_documents,
     )
@@ -293,6 +319,11 @@ select seg_id, phrase, length(t) <= length(phrase) + 2 whole from p where phrase
     "over30_anomaly": f"with {_ANOM} select seg_id, ms from an where over30",
     "anomaly_totals": f"""with {_ANOM} select config, stem, count(*) segments, count(*) filter (where dense) dense, count(*) filter (where thin) thin, count(*) filter (where over30) over30,
 cast(sum(case when over30 then ms else 0 end) as bigint) over30_ms, max(ms) longest_ms, max(rate) densest from an group by grouping sets ((config, stem), (config))""",
+    "first_anomalies": f"""with {_ANOM}, k as (select config, stem, reel, pos, seg_id, unnest([case when over30 then '0over30' end, case when thin then '1thin' end, case when dense then '2dense' end]) k from an),
+r as (select *, row_number() over (partition by config, stem order by reel, pos, k) n from k where k is not null) select config, stem, seg_id, substr(k, 2) kind from r where n <= 3""",
+    "clip_lists": f"""with {REG}, {merged("reg", "backend, stem, reel")}
+select backend, stem, reel, string_agg(printf('%d.%03d,%d.%03d', a // 1000, a % 1000, b // 1000, b % 1000), ',' order by a) clip from mrg group by all""",
+    "output_names": "select distinct config, stem, reel, concat_ws('.', stem || '_' || reel, lower(lang), 'srt') name from transcripts",
     "drop_stats": f"""with {SEG}, bare as (select config, seg_id, {_BARE} t from seg), {_RUN}, f as (select b.*, ({_DISTINCT}) or r.seg_id is not null hit from bare b left join rn r using (seg_id))
 select config, count(*) before, count(*) filter (where not hit) after, count(*) filter (where hit) dropped, cast(sum(case when hit then length(t) else 0 end) as bigint) chars,
 count(*) filter (where hit) / count(*) share from f group by config""",
