@@ -41,6 +41,17 @@ EXEMPLARS = {
         "Texte d'exemple",
         "Texto de ejemplo",
         "TBD",
+        "TODO: fill in line",
+        "Text pending",
+        "Text to be added",
+        "Type something",
+        "Sample text, replace me",
+        "Caption text placeholder",
+        "Your caption goes here",
+        "Hier steht später der Untertitel",
+        "Texte provisoire, ne pas diffuser",
+        "Texte à remplacer ici",
+        "Texto de relleno",
         "dummy line 0",
         "dummy text",
         "placeholder text",
@@ -51,6 +62,8 @@ EXEMPLARS = {
         "サンプルサンプルサンプル",
         "あああテストあああテスト",
         "あいうえおかきくけこさしすせそ",
+        "ほげほげほげ",
+        "test test 1 2 3 test",
         "blah blah blah blah",
         "asdf asdf jkl",
         "foo bar baz qux",
@@ -100,9 +113,24 @@ EXEMPLARS = {
         "Zugriff verweigert – Seite nicht gefunden",
         "Erreur 0, réessayez plus tard",
         "Something went wrong, please try again later",
+        "Something went wrong on our side, try again later",
+        "Connection reset by peer while loading subtitles",
+        "Null response from caption service (undefined)",
+        "Upstream took too long to answer",
+        "Oops, that address does not exist",
+        "Your session has run out, sign in again",
+        "This video is no longer available in your area",
+        "Page introuvable ou supprimée",
+        "Página no encontrada",
     ],
     "script": [
         "Please enable JavaScript to continue",
+        "<noscript>Turn on scripts</noscript>",
+        "You need to turn scripts on to view this transcript",
+        "We noticed that JS is switched off",
+        "Scripts are blocked, captions cannot load",
+        "Your browser does not run scripts, so nothing is shown here",
+        "JavaScriptがオフのため再生できません",
         "This player requires JavaScript",
         "Check your browser settings",
         "JavaScript is disabled in your browser",

@@ -98,8 +98,8 @@ def test_groups_of_copies_are_paired_with_other_spellings_only(spark):
     assert lookalikes.same_look(look(spark, values), ["stem", "reel"], "id").count() == 600
 
 
-RESIDUE = ["Hello {{name}}, how are you?", "こんばんは、%(氏名)sです。", "Error 504 – Gateway Time-out.", "<h1>４０４ Not Found</h1>", "Lorem ipsum dolor sint magni", "スクリプトが無効です。設定をご確認ください。", "Plеase enable JavaScript to continue", "テキストテキストテキスト", "[INSERT date]", "本日のゲストは＜名前＞が入ります", "ダミーテキスト。"]
-CLEAN = ["He fixed the 500 error last night and we all cheered.", "I never learned JavaScript, to be honest.", "Curly brackets { and } go in pairs.", "The label just said {A} or {B}, not both.", "ダミー人形を車に乗せて実験した。", "404号室の鍵をください。", "ログの先頭に[INFO]と出ています。", "売上は前の週の50%(半分)です。", "見つかりませんでした、財布が。", "He kept saying lorem something in Latin class.", "", "  ", None]
+RESIDUE = ["Hello {{name}}, how are you?", "こんばんは、%(氏名)sです。", "Error 504 – Gateway Time-out.", "<h1>４０４ Not Found</h1>", "Lorem ipsum dolor sint magni", "スクリプトが無効です。設定をご確認ください。", "Plеase enable JavaScript to continue", "テキストテキストテキスト", "[INSERT date]", "本日のゲストは＜名前＞が入ります", "ダミーテキスト。", "Scripts are blocked; captions cannot load.", "ほげほげほげほげ", "Página no encontrada"]
+CLEAN = ["He fixed the 500 error last night and we all cheered.", "I never learned JavaScript, to be honest.", "Curly brackets { and } go in pairs.", "The label just said {A} or {B}, not both.", "ダミー人形を車に乗せて実験した。", "404号室の鍵をください。", "ログの先頭に[INFO]と出ています。", "売上は前の週の50%(半分)です。", "見つかりませんでした、財布が。", "He kept saying lorem something in Latin class.", "The sample text in the museum was in old letters.", "Access to the tower was denied to visitors.", "Insert the coin here and wait.", "", "  ", None]
 
 
 def test_residue(spark):
