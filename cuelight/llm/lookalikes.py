@@ -85,7 +85,7 @@ def repairs(folded: str) -> Iterator[tuple[int, int, list[tuple[int, int, str]]]
                 continue
             latin = sum(c not in _latin_twin and c not in TO_LATIN and not "Ͱ" <= c <= "ԯ" for c in w)
             strange = sum("Ͱ" <= c <= "ԯ" and c not in TO_LATIN for c in w)
-            if strange == 0 and (latin or plain > other):
+            if strange == 0 and (latin or plain > other or other == 0):
                 yield m.start(), m.end(), [(m.start(), m.end(), "".join(TO_LATIN.get(c, c) for c in w))]
             elif strange and not latin and re.search(f"[{_letters}]", w):
                 yield m.start(), m.end(), [(m.start(), m.end(), "".join(_from_latin.get(c, c) for c in w))]
@@ -107,7 +107,7 @@ def repairs(folded: str) -> Iterator[tuple[int, int, list[tuple[int, int, str]]]
 def repair(folded: str, words: set[str]) -> str:
     """The folded text with each mixed token repaired whose repair is one of ``words``."""
     out, at = [], 0
-    for _, _, tries in repairs(folded):
+    for _, _, tries in sorted(repairs(folded)):
         for a, b, word in tries:
             if word in words:
                 out += [folded[at:a], word]

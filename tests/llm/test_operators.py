@@ -93,6 +93,11 @@ def test_look_alikes_need_a_word_of_the_corpus(spark):
     assert got[5] == "ポラニィと二人" and got[7] == "入口へ" and got[8] == "乗りトマト"
 
 
+def test_repairs_of_both_kinds_in_one_text():
+    words = {"テスト", "ver", "No"}
+    assert lookalikes.repair("単体テス卜 vеr.1 テス卜 Νо.2", words) == "単体テスト ver.1 テスト No.2"
+
+
 def test_groups_of_copies_are_paired_with_other_spellings_only(spark):
     values = [(i, "はい。") for i in range(300)] + [(900, "はい｡"), (901, "はい｡")]
     assert lookalikes.same_look(look(spark, values), ["stem", "reel"], "id").count() == 600
