@@ -6,9 +6,10 @@ from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
-from pyspark.sql.pandas.types import to_arrow_schema
+from cuelight.session import ship
 
 
 def spread(df: DataFrame, key: str) -> DataFrame:
@@ -20,6 +21,7 @@ def spread(df: DataFrame, key: str) -> DataFrame:
 def map_columns(df: DataFrame, fn: Callable[..., dict | None], schema: StructType) -> DataFrame:
     """``fn`` gets the columns of each Arrow batch as Python lists and returns the output columns by name."""
     names = df.columns
+    ship(df.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out = to_arrow_schema(schema)

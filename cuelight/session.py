@@ -4,12 +4,33 @@ from __future__ import annotations
 
 import os
 import tempfile
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
+_shipped: set[str] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Sends the package to the workers, once a session, unless their path has it already."""
+    sc = spark.sparkContext
+    root = Path(__file__).resolve().parents[1]
+    if sc.applicationId in _shipped:
+        return
+    _shipped.add(sc.applicationId)
+    if str(root) in os.environ.get("PYTHONPATH", "").split(os.pathsep):
+        return
+    archive = os.path.join(tempfile.mkdtemp(), "cuelight_package.zip")
+    with zipfile.ZipFile(archive, "w") as z:
+        for f in sorted((root / "cuelight").rglob("*.py")):
+            z.write(f, f.relative_to(root))
+    sc.addPyFile(archive)
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One Parquet table of the data folder (a file or a folder of parts)."""
+    ship(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
