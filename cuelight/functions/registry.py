@@ -9,7 +9,7 @@ from pyspark.sql.types import StringType, StructType
 
 from cuelight.functions.text import nfkc
 from cuelight.operators.detectors import most_repeats, widest_repeat
-from cuelight.operators.distance import lcs_length
+from cuelight.operators.distance import edit_length, lcs_length
 from cuelight.sources.captions import CUE, cues
 
 
@@ -32,6 +32,6 @@ class CaptionCues:
 
 def register(spark: SparkSession) -> None:
     """Makes the functions known to the session's SQL."""
-    for name, function in (("nfkc", nfkc), ("plain_text", plain_text), ("lcs_length", lcs_length), ("widest_repeat", widest_repeat), ("most_repeats", most_repeats)):
+    for name, function in (("nfkc", nfkc), ("plain_text", plain_text), ("lcs_length", lcs_length), ("edit_length", edit_length), ("widest_repeat", widest_repeat), ("most_repeats", most_repeats)):
         spark.udf.register(name, function)
     spark.udtf.register("caption_cues", CaptionCues)

@@ -23,18 +23,48 @@ def common_length(a: str, b: str) -> int:
     return len(a) - row.bit_count()
 
 
+def edits(a: str, b: str) -> int:
+    """Edit distance of two strings, one bit of a whole number for each character of the longer one."""
+    if len(a) < len(b):
+        a, b = b, a
+    if not b:
+        return len(a)
+    place: dict[str, int] = {}
+    for i, c in enumerate(a):
+        place[c] = place.get(c, 0) | 1 << i
+    full, top, score = (1 << len(a)) - 1, 1 << (len(a) - 1), len(a)
+    up, down = full, 0
+    for c in b:
+        same = place.get(c, 0)
+        vertical = same | down
+        across = (((same & up) + up) ^ up) | same
+        rise, fall = down | (full & ~(across | up)), up & across
+        score += 1 if rise & top else -1 if fall & top else 0
+        rise, fall = ((rise << 1) | 1) & full, (fall << 1) & full
+        up, down = fall | (full & ~(vertical | rise)), rise & vertical
+    return score
+
+
+@F.pandas_udf(LongType())
+def edit_length(a: pd.Series, b: pd.Series) -> pd.Series:
+    """Edit distance of two columns of long texts, always exact; null where either is."""
+    return pd.Series([None if x is None or y is None else edits(x, y) for x, y in zip(a, b)], dtype="Int64")
+
+
 @F.pandas_udf(LongType())
 def lcs_length(a: pd.Series, b: pd.Series) -> pd.Series:
     """Length of the longest common subsequence of two columns; null where either is."""
     return pd.Series([None if x is None or y is None else common_length(x, y) for x, y in zip(a, b)], dtype="Int64")
 
 
-def pair_scores(pairs: DataFrame, reference: Column, hypothesis: Column, common: bool = True) -> DataFrame:
-    """``pairs`` with ref_chars, hyp_chars, edits and matches. An empty reference has characters of the hypothesis only."""
+def pair_scores(pairs: DataFrame, reference: Column, hypothesis: Column, common: bool = True, long: bool = False) -> DataFrame:
+    """``pairs`` with ref_chars, hyp_chars, edits and matches. An empty reference has characters of the hypothesis only. The
+    built-in distance is the faster one for lines, that of whole numbers for whole files (``long``); both are exact."""
     rows = pairs.withColumn("__r", F.coalesce(reference, F.lit(""))).withColumn("__h", F.coalesce(hypothesis, F.lit("")))
     there = F.col("__r") != ""
+    distance = edit_length("__r", "__h") if long else F.levenshtein("__r", "__h")
     rows = rows.withColumn("ref_chars", F.length("__r").cast("bigint")).withColumn("hyp_chars", F.length("__h").cast("bigint"))
-    rows = rows.withColumn("edits", F.when(there, F.levenshtein("__r", "__h")).otherwise(0).cast("bigint"))
+    rows = rows.withColumn("edits", F.when(there, distance).otherwise(0).cast("bigint"))
     rows = rows.withColumn("matches", lcs_length("__r", "__h") if common else F.lit(0).cast("bigint"))
     return rows.withColumn("empty_ref", (~there).cast("bigint")).drop("__r", "__h")
 

@@ -11,6 +11,7 @@ from pyspark.sql.types import LongType, StringType, StructField, StructType
 
 from cuelight.functions.text import MUSIC, SPACE, budget_ms, squeeze, sung, trimmed
 from cuelight.operators.intervals import holes, merge, points_in, subtract
+from cuelight.session import cut
 
 #: Milliseconds between two captions that part blocks.
 PART_MS = 2000
@@ -114,7 +115,7 @@ def exclusive(spans: DataFrame, keys: list[str], config: str = "config", minimum
 
     Spans are merged once for each configuration; there are as many pairs as configurations allow, never pairs of rows.
     """
-    merged = merge(spans, [config, *keys])
+    merged = cut(merge(spans, [config, *keys]))
     there = merged.select(config, *keys).distinct()
     x = there.select(F.col(config).alias("config_a"), *keys)
     y = there.select(F.col(config).alias("config_b"), *keys)

@@ -230,7 +230,7 @@ def whole_scores(spark: SparkSession, d: str) -> DataFrame:
     said = scoring.joined_text(overlapping(segments(spark, d), b, REEL), TAKE, ["a", "pos"], "text").withColumnRenamed("text", "hyp")
     ref = scoring.joined_text(b.withColumnRenamed("reference", "text"), REEL, ["block"], "text").withColumnRenamed("text", "ref")
     p = said.join(ref, REEL)
-    return distance.pair_scores(p, tx.normalised(F.col("ref")), tx.normalised(F.col("hyp"))).drop("ref", "hyp")
+    return distance.pair_scores(p, tx.normalised(F.col("ref")), tx.normalised(F.col("hyp")), long=True).drop("ref", "hyp")
 
 
 def survey_counts(spark: SparkSession, d: str) -> DataFrame:

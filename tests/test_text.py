@@ -108,6 +108,14 @@ def test_common_length_equals_the_table():
     assert distance.common_length(x + y, y + x) == 500
 
 
+def test_long_distances_equal_the_built_in_one(spark):
+    r = random.Random(8)
+    pairs = [tuple("".join(r.choice("あいうab𠮷") for _ in range(r.randrange(40))) for _ in range(2)) for _ in range(300)]
+    df = spark.createDataFrame([*pairs, ("", ""), ("", "x"), (None, "x")], "a string, b string")
+    got = df.select(distance.edit_length("a", "b").alias("x"), F.levenshtein("a", "b").alias("y")).collect()
+    assert [g.x for g in got] == [g.y for g in got]
+
+
 def test_pair_scores_and_totals(spark):
     df = spark.createDataFrame([("c", "f", "abc", "abd"), ("c", "g", "", "xyz"), ("c", "g", None, None), ("c", "g", "ab", None)], "config string, stem string, r string, h string")
     s = distance.pair_scores(df, F.col("r"), F.col("h"))
