@@ -177,7 +177,7 @@ def propagate(graph: DataFrame, seeds: DataFrame, areas: list[str]) -> DataFrame
 
 def subjects(documents: DataFrame, labels: DataFrame, subject_areas: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(``id_col``, ``area``): the areas that each document is about. ``subject_areas`` is a small dimension."""
-    areas = sorted({r.area for r in subject_areas.select("area").where("area is not null").limit(200).collect()})
+    areas = sorted({r.area for r in subject_areas.select("area").where("area is not null").collect()})
     if not areas:
         return documents.select(id_col, F.lit("").alias("area")).limit(0)
     graph = cut(edges(documents, id_col, text_col))
