@@ -13,7 +13,8 @@ from cuelight.session import ship
 
 
 def spread(df: DataFrame, key: str) -> DataFrame:
-    """Enough partitions for the cores: small inputs of few files are hashed on ``key``, others stay as they are."""
+    """Enough partitions for the cores: small inputs of few files are hashed on ``key``, others stay as they are.
+    For rows that come straight from a scan: behind a shuffle, asking for the partitions would run it."""
     cores = df.sparkSession.sparkContext.defaultParallelism
     return df if df.rdd.getNumPartitions() >= cores else df.repartition(2 * cores, key)
 
