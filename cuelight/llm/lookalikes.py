@@ -126,6 +126,11 @@ def canonical(texts: DataFrame, keys: list[str], text_col: str = "text") -> Data
 
     ``texts`` is the whole corpus: its words are the vocabulary of the repairs.
     """
+    return _canonical(texts, keys, text_col).distinct()
+
+
+def _canonical(texts: DataFrame, keys: list[str], text_col: str) -> DataFrame:
+    """``canonical``, repeated rows as often as they are there."""
     rows = texts.select(*(texts[k] for k in keys), texts[text_col].alias("text"))
     key_fields = [rows.schema[k] for k in keys]
     seen = F.col("text").rlike(SUSPECT)
@@ -171,9 +176,9 @@ def same_look(texts: DataFrame, group: list[str], id_col: str, text_col: str = "
 
     Rows are first gathered into classes of one spelling; only groups with two spellings or more are joined, each row of a
     spelling that is not its group's most frequent one with the rows of the other spellings, so groups of copies cost
-    nothing and every row that is joined is in a pair.
+    nothing and every row that is joined is in a pair. Rows with a null in the group's columns are in no group.
     """
-    rows = canonical(texts, [*group, id_col], text_col)
+    rows = _canonical(texts, [*group, id_col], text_col)
     fields = [rows.schema[k] for k in (*group, id_col)]
     schema = StructType([*fields, StructField("look", BinaryType()), StructField("raw", BinaryType())])
 
