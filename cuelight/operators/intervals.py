@@ -84,11 +84,11 @@ def to_samples(spans: DataFrame, keys: list[str], samples: int, per_ms: int = 16
 
 
 def raster(spans: DataFrame, keys: list[str], samples_per_frame: int = 256, per_ms: int = 16) -> DataFrame:
-    """(keys, frame): the distinct frames that spans of milliseconds touch."""
+    """(keys, frame): the distinct frames that spans of milliseconds touch. They are merged as intervals before they are listed."""
     first = F.greatest(F.lit(0), F.floor(F.col("a") * per_ms / samples_per_frame)).cast("bigint")
     last = F.floor(F.col("b") * per_ms / samples_per_frame).cast("bigint")
-    rows = spans.select(*keys, first.alias("f"), last.alias("l")).where("l >= f")
-    return rows.select(*keys, F.explode(F.sequence("f", "l")).alias("frame")).distinct()
+    rows = merge(spans.select(*keys, first.alias("a"), (last + 1).alias("b")), keys)
+    return rows.select(*keys, F.explode(F.sequence(F.col("a"), F.col("b") - 1)).alias("frame"))
 
 
 def bucketed(spans: DataFrame, a: str, b: str) -> DataFrame:

@@ -151,3 +151,8 @@ def test_thresholds_must_not_cross(spark):
 
     with pytest.raises(ValueError):
         speech.runs(frame(spark, []).withColumnRenamed("a", "idx"), ["k"], "b", 1, 2, 1)
+
+
+def test_raster_lists_each_frame_once(spark):
+    got = rows(iv.raster(frame(spark, [(1, 0, 16), (1, 10, 40), (1, 90, 60), (1, -20, 3), (2, None, 4)]), ["k"]))
+    assert got == [(1, 0), (1, 1), (1, 2)]
