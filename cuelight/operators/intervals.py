@@ -87,7 +87,8 @@ def raster(spans: DataFrame, keys: list[str], samples_per_frame: int = 256, per_
     """(keys, frame): the distinct frames that spans of milliseconds touch. They are merged as intervals before they are listed."""
     first = F.greatest(F.lit(0), F.floor(F.col("a") * per_ms / samples_per_frame)).cast("bigint")
     last = F.floor(F.col("b") * per_ms / samples_per_frame).cast("bigint")
-    rows = merge(spans.select(*keys, first.alias("a"), (last + 1).alias("b")), keys)
+    timed = spans.where("a is not null and b is not null")
+    rows = merge(timed.select(*keys, first.alias("a"), (last + 1).alias("b")), keys)
     return rows.select(*keys, F.explode(F.sequence(F.col("a"), F.col("b") - 1)).alias("frame"))
 
 
