@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, BooleanType, DoubleType, StringType, StructField, StructType
 
 from cuelight.functions.batches import map_columns
+from cuelight.functions.text import squeeze
 
 #: The longest segment, and the slack of its ends, in seconds.
 LONGEST, SLACK = 30.0, 0.05
@@ -142,6 +143,28 @@ def imagined(text: str, start: float, end: float, spaceless: bool) -> list[dict]
     return out
 
 
+def is_spaceless(text: str, language: str | None) -> bool:
+    """Whether a text is written without spaces: by its language, or by its characters if that is not known."""
+    return language.lower() in SPACELESS if language else bool(_cjk.search(text))
+
+
+def imagined_words(segments: DataFrame) -> DataFrame:
+    """(seg_id, n, word, start_ms, end_ms): the imagined words of segments (with ``lang``) that have no usable word of their own."""
+    real = F.exists("words", lambda w: (squeeze(w["word"]) != "") & w["start_s"].isNotNull() & w["end_s"].isNotNull())
+    rows = segments.where(~F.coalesce(real, F.lit(False))).select("seg_id", "text", "start_s", "end_s", "lang")
+    schema = StructType([rows.schema["seg_id"], StructField("units", ArrayType(WORD))])
+
+    def batch(ids: list, texts: list, starts: list, ends: list, langs: list) -> dict:
+        starts = [a or 0.0 for a in starts]
+        ends = [a if b is None else b for a, b in zip(starts, ends)]
+        made = [imagined(t, a, b, is_spaceless(t, g)) if t.strip() else [] for t, a, b, g in zip(texts, starts, ends, langs)]
+        return {"seg_id": ids, "units": made}
+
+    out = map_columns(rows, batch, schema).select("seg_id", F.posexplode("units").alias("n", "w"))
+    at = (F.round(F.col(f"w.{k}") * 1000).cast("bigint").alias(f"{k}_ms") for k in ("start", "end"))
+    return out.select("seg_id", F.col("n").cast("bigint").alias("n"), "w.word", *at)
+
+
 def ends_sentence(text: str) -> bool:
     bare = text.rstrip().rstrip(CLOSERS)
     return bare[-1:] != "" and bare[-1] in ENDS
@@ -150,7 +173,7 @@ def ends_sentence(text: str) -> bool:
 def laid_out(text: str | None, start: float | None, end: float | None, words: list | None, language: str | None, width: int, lines: int, sentences: bool, max_gap: float | None) -> list[dict]:
     """The cues that one segment is laid out to; none if it has neither words nor text."""
     body = text or ""
-    spaceless = language.lower() in SPACELESS if language else bool(_cjk.search(body))
+    spaceless = is_spaceless(body, language)
     a = start or 0.0
     stream = usable(words) or (imagined(body, a, a if end is None else end, spaceless) if body.strip() else [])
     groups, group = [], []

@@ -22,6 +22,11 @@ def ascii_normalize(spark: SparkSession, d: str) -> DataFrame:
     return rows.select("cue_id", tx.squeeze(F.col("text")).alias("asis"), tx.squeeze(tx.without_markup(F.col("text"))).alias("markup"), bare.alias("plain"))
 
 
+def cue_levels(spark: SparkSession, d: str) -> DataFrame:
+    """Every cue at every level, of whatever script; ``ascii_normalize`` is the part of it that DuckDB can say."""
+    return cues(spark, d).select("cue_id", *(tx.normalised(F.col("text"), n).alias(n) for n in tx.LEVELS))
+
+
 def nfkc_plain(spark: SparkSession, d: str) -> DataFrame:
     return segments(spark, d).select("seg_id", tx.normalised(F.col("text"), "plain").alias("plain"))
 
@@ -164,6 +169,14 @@ def pseudo_word_timing(spark: SparkSession, d: str) -> DataFrame:
     return s.select("seg_id", F.col("n").cast("bigint").alias("n"), "word", F.expr(at.format("done - size")).alias("start_ms"), F.expr(at.format("done")).alias("end_ms"))
 
 
+def word_timing(spark: SparkSession, d: str) -> DataFrame:
+    """Words of all texts without word times: characters of spaceless languages (by the transcript's language, else by the
+    text), words with the white space before them elsewhere, spread over the segment by their lengths."""
+    lang = table(spark, d, "transcripts").groupBy(*TAKE).agg(F.max("lang").alias("lang"))
+    s = worded(spark, d).where("text is not null").join(lang, TAKE, "left")
+    return resegment.imagined_words(s)
+
+
 def gap_split_groups(spark: SparkSession, d: str) -> DataFrame:
     w = worded(spark, d).select("seg_id", F.posexplode("words").alias("n", "w"))
     w = w.where("w.word is not null and w.start_s is not null and w.end_s is not null").where(tx.squeeze(F.col("w.word")) != "")
@@ -197,9 +210,11 @@ def greedy_blocks(spark: SparkSession, d: str) -> DataFrame:
     return scoring.blocks(cues(spark, d), REEL)
 
 
-def _pairs(spark: SparkSession, d: str) -> DataFrame:
-    c = scoring.speech_spans(cues(spark, d)).where("has_text and speech_end > a").where(F.col("text").rlike(ASCII))
-    s = segments(spark, d).where(F.col("text").rlike(ASCII))
+def _pairs(spark: SparkSession, d: str, ascii_only: bool = True) -> DataFrame:
+    c = scoring.speech_spans(cues(spark, d)).where("has_text and speech_end > a")
+    s = segments(spark, d)
+    if ascii_only:
+        c, s = c.where(F.col("text").rlike(ASCII)), s.where(F.col("text").rlike(ASCII))
     hits = points_in(s, c.select("cue_id", *REEL, "a", F.col("speech_end").alias("b")), REEL, F.col("a") + F.col("b"))
     said = scoring.joined_text(hits, ["config", "cue_id"], ["a", "pos"], "text").withColumnRenamed("text", "hyp")
     return c.select("cue_id", "stem", F.col("text").alias("ref")).join(said, "cue_id")
@@ -215,6 +230,18 @@ def cer_rollup(spark: SparkSession, d: str) -> DataFrame:
     return distance.rolled_up(p, ["config"], ["stem"]).select("config", "stem", "total", "blocks", "ref_chars", "hyp_chars", "edits", "cer", "length_ratio")
 
 
+def edit_distance(spark: SparkSession, d: str) -> DataFrame:
+    """Edits of every cue that has a hypothesis, of whatever script."""
+    p = distance.pair_scores(_pairs(spark, d, False), tx.squeeze(F.col("ref")), tx.squeeze(F.col("hyp")), common=False)
+    return p.select("config", "cue_id", "ref_chars", "hyp_chars", "edits")
+
+
+def cer_totals(spark: SparkSession, d: str) -> DataFrame:
+    """The edits of ``edit_distance`` summed by file and configuration."""
+    p = distance.pair_scores(_pairs(spark, d, False), tx.squeeze(F.col("ref")), tx.squeeze(F.col("hyp")), common=False)
+    return distance.rolled_up(p, ["config"], ["stem"]).select("config", "stem", "total", "blocks", "ref_chars", "hyp_chars", "edits", "cer", "length_ratio")
+
+
 def block_scores(spark: SparkSession, d: str) -> DataFrame:
     """Errors of every block at every level, summed by file and configuration, with what dominates."""
     b = scoring.blocks(cues(spark, d), REEL)
@@ -269,9 +296,9 @@ def json_documents(spark: SparkSession, d: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        ascii_normalize, nfkc_plain, one_line_text, speech_budget, sung_cues, distinct_char_rule, char_run_rule, loop_filter, score_loops, phrase_filter, stock_phrases,
+        ascii_normalize, cue_levels, nfkc_plain, one_line_text, speech_budget, sung_cues, distinct_char_rule, char_run_rule, loop_filter, score_loops, phrase_filter, stock_phrases,
         density_anomaly, thin_anomaly, over30_anomaly, anomaly_totals, first_anomalies, clip_lists, output_names, pipeline, drop_stats, dedupe_fold, dedupe_equal, file_selection, first_wins_dedupe, language_warning,
-        duration_fallback, pseudo_word_timing, gap_split_groups, renumber, sanitize, sanitize_stats, format_wrap, greedy_blocks, edit_distance_ascii, cer_rollup,
+        duration_fallback, pseudo_word_timing, word_timing, gap_split_groups, renumber, sanitize, sanitize_stats, format_wrap, greedy_blocks, edit_distance_ascii, cer_rollup, edit_distance, cer_totals,
         block_scores, whole_scores, survey_counts, survey_speakers, suspect_chars, timestamp_format, *map(_kind, ("srt", "vtt", "txt", "tsv", "lrc")), srt_documents, json_documents,
     )
 }
