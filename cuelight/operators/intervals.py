@@ -65,19 +65,21 @@ def padded(runs: DataFrame, keys: list[str], pad: int, total: str) -> DataFrame:
     return rows.withColumn("b", b.cast("bigint")).withColumn("a", F.col("__a").cast("bigint")).drop("__a", "__p", "__n")
 
 
-def to_samples(spans: DataFrame, keys: list[str], samples: int, per_ms: int = 16) -> tuple[DataFrame, DataFrame]:
-    """Merged (keys, a, b) in samples, clamped to [0, samples]; and (keys, received, dropped, clamped, merged)."""
-    rows = spans.select(*keys, (F.col("a") * per_ms).alias("ra"), (F.col("b") * per_ms).alias("rb"))
-    rows = rows.withColumn("a", F.greatest("ra", F.lit(0))).withColumn("b", F.least("rb", F.lit(samples)))
+def to_samples(spans: DataFrame, keys: list[str], samples: int | Column, per_ms: int = 16) -> tuple[DataFrame, DataFrame]:
+    """Merged (keys, a, b) in samples, clamped to [0, samples]; and (keys, received, dropped, clamped, merged). A column
+    ``samples`` is of ``spans``; where it is null, only the lower bound holds."""
+    limit = samples if isinstance(samples, Column) else F.lit(samples)
+    rows = spans.select(*keys, (F.col("a") * per_ms).alias("ra"), (F.col("b") * per_ms).alias("rb"), limit.cast("bigint").alias("__limit"))
+    rows = rows.withColumn("a", F.greatest("ra", F.lit(0))).withColumn("b", F.least("rb", "__limit"))
     valid = F.col("a").isNotNull() & F.col("b").isNotNull() & (F.col("ra").isNotNull()) & F.col("rb").isNotNull()
     kept = valid & (F.col("b") > F.col("a"))
     counts = rows.groupBy(*keys).agg(
         F.count("*").alias("received"),
         F.count_if(~F.coalesce(kept, F.lit(False))).alias("dropped"),
-        F.count_if((F.col("ra") < 0) | (F.col("rb") > samples)).alias("clamped"),
+        F.count_if((F.col("ra") < 0) | (F.col("rb") > F.col("__limit"))).alias("clamped"),
         F.count_if(kept).alias("kept"),
     )
-    merged = merge(rows.where(kept), keys)
+    merged = merge(rows.where(kept).select(*keys, "a", "b"), keys)
     left = merged.groupBy(*keys).agg(F.count("*").alias("left"))
     counts = counts.join(left, keys, "left").select(*keys, "received", "dropped", "clamped", (F.col("kept") - F.coalesce("left", F.lit(0))).alias("merged"))
     return merged, counts

@@ -38,6 +38,20 @@ def interval_clip_counts(spark: SparkSession, d: str) -> DataFrame:
     return iv.to_samples(regions(spark, d), VOICE, SAMPLES)[1]
 
 
+def _own_samples(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    r = regions(spark, d).join(durations(spark, d), REEL, "left")
+    return iv.to_samples(r, VOICE, F.col("total") * 16)
+
+
+def reel_clip(spark: SparkSession, d: str) -> DataFrame:
+    """The regions of every reel, clamped to its own length where one is known, and merged."""
+    return _own_samples(spark, d)[0]
+
+
+def reel_clip_counts(spark: SparkSession, d: str) -> DataFrame:
+    return _own_samples(spark, d)[1]
+
+
 def interval_max_split(spark: SparkSession, d: str) -> DataFrame:
     return iv.split_long(iv.merge(regions(spark, d), VOICE), PIECE_MS)
 
@@ -121,13 +135,15 @@ def stem_intersect(spark: SparkSession, d: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        interval_merge, interval_gaps, interval_subtract, interval_clip, interval_clip_counts, interval_max_split, vad_hysteresis, vad_padded, vad_flags, vad_share,
+        interval_merge, interval_gaps, interval_subtract, interval_clip, interval_clip_counts, reel_clip, reel_clip_counts, interval_max_split, vad_hysteresis, vad_padded, vad_flags, vad_share,
         raster_frames, midpoint_gap_join, midpoint_block_join, overlap_semi, unassigned_anti, config_pairs, topk_widest, texts_in_differences, label_seconds, stem_intersect,
     )
 }
 
 _GAPS = f"""{CUE}, {SPOKEN}, sp as (select stem, reel, a, speech_end b from spoken where has_text), {merged("sp", "stem, reel")},
 gp as (select stem, reel, coalesce(greatest(lag(b) over (partition by stem, reel order by a), 0), 0) a, a b from mrg)"""
+_OWN = f"""{REG}, d as (select stem, reel, cast(round(max(duration) * 1000) as bigint) total from transcripts where duration is not null group by all),
+c as (select backend, stem, reel, a * 16 ra, b * 16 rb, total * 16 n, greatest(a * 16, 0) a, least(b * 16, total * 16) b from reg left join d using (stem, reel)), {merged("c", "backend, stem, reel", where="a < b and ra is not null and rb is not null")}"""
 _RUNS = f"""{FRM}, g as (select *, sum(case when p >= 75 then 1 else 0 end) over (partition by stem order by idx) g, count(*) over (partition by stem) n from frm),
 h as (select stem, g, min(idx) x, min(case when p < 60 then idx end) f, max(case when p < 60 then idx end) l, max(n) * 256 total from g where g > 0 group by stem, g),
 k as (select *, coalesce((l - f) * 256 >= 512, false) broke from h),
@@ -163,6 +179,11 @@ select stem, reel, a, b from sw where x > 0 and y = 0 and b - a >= 1000""",
     "interval_clip_counts": f"""with {REG}, c as (select backend, stem, reel, a * 16 ra, b * 16 rb, greatest(a * 16, 0) a, least(b * 16, {SAMPLES}) b from reg), {merged("c", "backend, stem, reel")},
 n as (select backend, stem, reel, count(*) received, count(*) filter (where not coalesce(b > a, false)) dropped, count(*) filter (where ra < 0 or rb > {SAMPLES}) clamped, count(*) filter (where b > a) kept from c group by all),
 k as (select backend, stem, reel, count(*) l from mrg group by all)
+select backend, stem, reel, received, dropped, clamped, kept - coalesce(l, 0) merged from n left join k using (backend, stem, reel)""",
+    "reel_clip": f"with {_OWN} select * from mrg",
+    "reel_clip_counts": f"""with {_OWN}, f as (select *, coalesce(b > a and ra is not null and rb is not null, false) fits from c),
+n as (select backend, stem, reel, count(*) received, count(*) filter (where not fits) dropped, count(*) filter (where ra < 0 or rb > n) clamped, count(*) filter (where fits) kept from f group by all),
+k as (select backend, stem, reel, count(*) l from mrg group by all)
 select backend, stem, reel, received, dropped, clamped, kept - coalesce(l, 0) merged from n left join k using (backend, stem, reel)""",
     "interval_max_split": f"""with {REG}, {merged("reg", "backend, stem, reel")}, p as (select *, unnest(range(0, cast(greatest(1, ceil((b - a) / {PIECE_MS}.0)) as bigint))) piece from mrg)
 select backend, stem, reel, a + piece * {PIECE_MS} a, least(b, a + (piece + 1) * {PIECE_MS}) b, cast(piece as int) piece from p""",

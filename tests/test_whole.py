@@ -119,3 +119,12 @@ def test_imagined_words_of_every_script(spark, mixed):
     assert {s[0] for s in got} == {1, 2, 3, 4, 6, 7}
     assert [g[:3] for g in got] == [w[:3] for w in sorted(want, key=repr)]
     assert all(abs(g[i] - w[i]) <= 1 for g, w in zip(got, sorted(want, key=repr)) for i in (3, 4))
+
+
+def test_reels_are_clamped_to_their_own_length(spark, tmp_path):
+    d = str(tmp_path)
+    spark.createDataFrame([("x", "a", 0, "ja", 500.0), ("y", "a", 0, "ja", 600.0), ("x", "b", 0, "ja", 10.0), ("x", "c", 0, "ja", None)], TRANSCRIPT).write.parquet(f"{d}/transcripts.parquet")
+    spans = [("a", -1.0, 2.0), ("a", 300.0, 400.0), ("a", 590.0, 700.0), ("a", 601.0, 602.0), ("b", 5.0, 8.0), ("b", 7.0, 20.0), ("c", 1000.0, 1001.0), ("c", None, 3.0)]
+    spark.createDataFrame([(s, 0, "v", a, b) for s, a, b in spans], "stem string, reel bigint, backend string, start_s double, end_s double").write.parquet(f"{d}/regions.parquet")
+    assert [(s, a / 16000, b / 16000) for s, a, b in rows(plans.QUERIES["reel_clip"](spark, d), "stem", "a", "b")] == [("a", 0.0, 2.0), ("a", 300.0, 400.0), ("a", 590.0, 600.0), ("b", 5.0, 10.0), ("c", 1000.0, 1001.0)]
+    assert rows(plans.QUERIES["reel_clip_counts"](spark, d), "stem", "received", "dropped", "clamped", "merged") == [("a", 4, 1, 3, 0), ("b", 2, 0, 1, 1), ("c", 2, 1, 0, 0)]
