@@ -126,6 +126,21 @@ def drop_stats(spark: SparkSession, d: str) -> DataFrame:
     return r.withColumn("share", F.col("dropped") / F.col("before"))
 
 
+def loop_drop_stats(spark: SparkSession, d: str) -> DataFrame:
+    """What leaving out loops by each detector drops, all rules counted, by transcript and configuration (``total`` = 1).
+    ``share`` is of the text, in characters at the plain level."""
+    r = dt.score_loops(segments(spark, d)).withColumnRenamed("loop", "score")
+    r = dt.loops(r).select(*TAKE, "plain_chars", "score", F.col("loop").isNotNull().alias("production"))
+    kinds = F.explode(F.array(*(F.struct(F.lit(k).alias("detector"), F.col(k).alias("hit")) for k in ("score", "production"))))
+    r = r.select(*TAKE, "plain_chars", kinds.alias("k")).select(*TAKE, "plain_chars", "k.*")
+    keys = [F.col(c) for c in ("detector", *TAKE)]
+    r = r.groupingSets([keys, keys[:2]], *keys).agg(
+        F.grouping("stem").cast("int").alias("total"), F.count("*").alias("before"), F.count_if(~F.col("hit")).alias("after"), F.count_if("hit").alias("dropped"),
+        F.sum("plain_chars").alias("chars"), F.sum(F.when(F.col("hit"), F.col("plain_chars")).otherwise(0)).alias("dropped_chars"),
+    )
+    return r.withColumn("share", F.when(F.col("chars") > 0, F.col("dropped_chars") / F.col("chars")).otherwise(0.0))
+
+
 def dedupe_fold(spark: SparkSession, d: str) -> DataFrame:
     return dt.repeated_runs(segments(spark, d), TAKE, ["pos"])
 
@@ -297,7 +312,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         ascii_normalize, cue_levels, nfkc_plain, one_line_text, speech_budget, sung_cues, distinct_char_rule, char_run_rule, loop_filter, score_loops, phrase_filter, stock_phrases,
-        density_anomaly, thin_anomaly, over30_anomaly, anomaly_totals, first_anomalies, clip_lists, output_names, pipeline, drop_stats, dedupe_fold, dedupe_equal, file_selection, first_wins_dedupe, language_warning,
+        density_anomaly, thin_anomaly, over30_anomaly, anomaly_totals, first_anomalies, clip_lists, output_names, pipeline, drop_stats, loop_drop_stats, dedupe_fold, dedupe_equal, file_selection, first_wins_dedupe, language_warning,
         duration_fallback, pseudo_word_timing, word_timing, gap_split_groups, renumber, sanitize, sanitize_stats, format_wrap, greedy_blocks, edit_distance_ascii, cer_rollup, edit_distance, cer_totals,
         block_scores, whole_scores, survey_counts, survey_speakers, suspect_chars, timestamp_format, *map(_kind, ("srt", "vtt", "txt", "tsv", "lrc")), srt_documents, json_documents,
     )

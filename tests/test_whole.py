@@ -128,3 +128,15 @@ def test_reels_are_clamped_to_their_own_length(spark, tmp_path):
     spark.createDataFrame([(s, 0, "v", a, b) for s, a, b in spans], "stem string, reel bigint, backend string, start_s double, end_s double").write.parquet(f"{d}/regions.parquet")
     assert [(s, a / 16000, b / 16000) for s, a, b in rows(plans.QUERIES["reel_clip"](spark, d), "stem", "a", "b")] == [("a", 0.0, 2.0), ("a", 300.0, 400.0), ("a", 590.0, 600.0), ("b", 5.0, 10.0), ("c", 1000.0, 1001.0)]
     assert rows(plans.QUERIES["reel_clip_counts"](spark, d), "stem", "received", "dropped", "clamped", "merged") == [("a", 4, 1, 3, 0), ("b", 2, 0, 1, 1), ("c", 2, 1, 0, 0)]
+
+
+def test_loop_statistics_count_all_rules_of_both_detectors(spark, tmp_path):
+    d = str(tmp_path)
+    texts = [("x", "うん。うん。うん。うん。"), ("x", "あ" * 12), ("x", "いやいやいやいや"), ("x", "よーし、よーし、よーし、よーし"), ("x", "やったーーーーーーーー"), ("x", "今日はいい天気。"), ("y", "（ｱｱ） "), ("y", None)]
+    spark.createDataFrame([(i, c, "a", 0, i, i, float(i), i + 1.0, t, None) for i, (c, t) in enumerate(texts)], SEGMENT).write.parquet(f"{d}/segments.parquet")
+    df = plans.QUERIES["loop_drop_stats"](spark, d)
+    got = rows(df.where("total = 1"), "config", "detector", "before", "after", "dropped", "chars", "dropped_chars")
+    # at the plain level the texts have 8, 12, 8, 12, 11, 7 characters; only the production detector keeps the short units
+    assert got == [("x", "production", 6, 3, 3, 58, 35), ("x", "score", 6, 1, 5, 58, 51), ("y", "production", 2, 2, 0, 0, 0), ("y", "score", 2, 2, 0, 0, 0)]
+    assert rows(df.where("total = 0"), "config", "detector", "before", "after", "dropped", "chars", "dropped_chars") == got
+    assert {(r.config, r.detector): r.share for r in df.where("total = 1").collect()} == {("x", "production"): 35 / 58, ("x", "score"): 51 / 58, ("y", "production"): 0.0, ("y", "score"): 0.0}
