@@ -122,6 +122,24 @@ def texts_in_differences(spark: SparkSession, d: str) -> DataFrame:
     return scoring.joined_text(hits, [*REEL, "x", "y"], ["a", "pos"], "text", " / ")
 
 
+def widest_differences(spark: SparkSession, d: str) -> DataFrame:
+    """The widest spans that one configuration of a pair covers alone, of every pair and both sides."""
+    only = scoring.exclusive(segments(spark, d).where("b > a"), REEL)
+    on = ["config_a", "config_b", "side", *REEL]
+    return scoring.top(only, on, [(F.col("b") - F.col("a")).desc(), F.col("a")], 3).select(*on, "a", "b")
+
+
+def difference_texts(spark: SparkSession, d: str) -> DataFrame:
+    """The texts that the configuration of the side has in those spans."""
+    only = widest_differences(spark, d).withColumnsRenamed({"a": "x", "b": "y"})
+    only = only.withColumn("config", F.when(F.col("side") == "a", F.col("config_a")).otherwise(F.col("config_b")))
+    s = iv.bucketed(segments(spark, d).where("b > a and text <> ''"), "a", "b")
+    # a pair is taken once, in the first bucket that both have
+    first = F.floor(F.greatest("a", "x") / iv.BUCKET_MS) == F.col("__bucket")
+    hits = s.join(iv.bucketed(only, "x", "y"), [*TAKE, "__bucket"]).where("a < y and b > x").where(first)
+    return scoring.joined_text(hits, ["config_a", "config_b", "side", *REEL, "x", "y"], ["a", "pos"], "text", " / ")
+
+
 def label_seconds(spark: SparkSession, d: str) -> DataFrame:
     return regions(spark, d).where("b > a").groupBy("backend").agg(F.count("*").alias("regions"), F.sum(F.col("b") - F.col("a")).alias("ms"))
 
@@ -136,7 +154,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         interval_merge, interval_gaps, interval_subtract, interval_clip, interval_clip_counts, reel_clip, reel_clip_counts, interval_max_split, vad_hysteresis, vad_padded, vad_flags, vad_share,
-        raster_frames, midpoint_gap_join, midpoint_block_join, overlap_semi, unassigned_anti, config_pairs, topk_widest, texts_in_differences, label_seconds, stem_intersect,
+        raster_frames, midpoint_gap_join, midpoint_block_join, overlap_semi, unassigned_anti, config_pairs, topk_widest, texts_in_differences, widest_differences, difference_texts, label_seconds, stem_intersect,
     )
 }
 
@@ -164,6 +182,8 @@ sw as (select config_a, config_b, stem, reel, side, t a, lead(t) over w b, sum(d
 excl as (select * from sw where x > 0 and y = 0 and b - a >= 1000)"""
 _TOP = f"""{_ONLY}, tp as (select *, row_number() over (partition by stem, reel order by b - a desc, a) n from excl
  where config_a = 'rawpass_x' and config_b = 'sil6_plain' and side = 'a'), w as (select stem, reel, a, b from tp where n <= 3)"""
+_WIDEST = f"""{_ONLY}, tp as (select *, row_number() over (partition by config_a, config_b, side, stem, reel order by b - a desc, a) n from excl),
+w as (select config_a, config_b, side, stem, reel, a, b from tp where n <= 3)"""
 
 SQL = {
     "interval_merge": f"with {REG}, {merged('reg', 'backend, stem, reel')} select * from mrg",
@@ -210,6 +230,9 @@ where not exists (select 1 from sp p where s.stem = p.stem and s.reel = p.reel a
     "topk_widest": f"with {_TOP} select * from w",
     "texts_in_differences": f"""with {_TOP} select w.stem, w.reel, w.a x, w.b y, string_agg(text, ' / ' order by s.a, s.pos, text) text from w join seg s
 on s.stem = w.stem and s.reel = w.reel and s.config = 'rawpass_x' and s.b > s.a and s.a < w.b and s.b > w.a and text <> '' group by all""",
+    "widest_differences": f"with {_WIDEST} select * from w",
+    "difference_texts": f"""with {_WIDEST} select config_a, config_b, side, w.stem, w.reel, w.a x, w.b y, string_agg(text, ' / ' order by s.a, s.pos, text) text from w join seg s
+on s.stem = w.stem and s.reel = w.reel and s.config = case when side = 'a' then config_a else config_b end and s.b > s.a and s.a < w.b and s.b > w.a and text <> '' group by all""",
     "label_seconds": f"with {REG} select backend, count(*) regions, cast(sum(b - a) as bigint) ms from reg where b > a group by 1",
     "stem_intersect": "select stem from transcripts group by stem having count(distinct config) = (select count(distinct config) from transcripts)",
 }

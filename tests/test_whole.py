@@ -140,3 +140,18 @@ def test_loop_statistics_count_all_rules_of_both_detectors(spark, tmp_path):
     assert got == [("x", "production", 6, 3, 3, 58, 35), ("x", "score", 6, 1, 5, 58, 51), ("y", "production", 2, 2, 0, 0, 0), ("y", "score", 2, 2, 0, 0, 0)]
     assert rows(df.where("total = 0"), "config", "detector", "before", "after", "dropped", "chars", "dropped_chars") == got
     assert {(r.config, r.detector): r.share for r in df.where("total = 1").collect()} == {("x", "production"): 35 / 58, ("x", "score"): 51 / 58, ("y", "production"): 0.0, ("y", "score"): 0.0}
+
+
+def test_differences_of_every_pair_and_side(spark, tmp_path):
+    d = str(tmp_path)
+    spans = [("x", 0, 10, "one"), ("x", 200, 290, "far"), ("y", 5, 30, "two"), ("z", 0, 5, "three"), ("z", 5, 9, "four")]
+    spark.createDataFrame([(i, c, "a", 0, i, i, float(a), float(b), t, None) for i, (c, a, b, t) in enumerate(spans)], SEGMENT).write.parquet(f"{d}/segments.parquet")
+    got = rows(plans.QUERIES["difference_texts"](spark, d), "config_a", "config_b", "side", "x", "y", "text")
+    assert got == sorted(
+        [
+            ("x", "y", "a", 0, 5000, "one"), ("x", "y", "a", 200_000, 290_000, "far"), ("x", "y", "b", 10_000, 30_000, "two"),
+            ("x", "z", "a", 9000, 10_000, "one"), ("x", "z", "a", 200_000, 290_000, "far"),
+            ("y", "z", "a", 9000, 30_000, "two"), ("y", "z", "b", 0, 5000, "three"),
+        ], key=repr,
+    )
+    assert rows(plans.QUERIES["widest_differences"](spark, d), "config_a", "config_b", "side", "a", "b") == [g[:5] for g in got]
