@@ -1,11 +1,12 @@
 """The subject areas of every document by label propagation over a similarity graph (problem 9).
 
 The graph is kept factored: documents that share a term are linked through it, so no pair of documents is ever listed.
-Its edges are verified by language: a term of more than ``COMMON`` of a language's documents, or of fewer than ``RARE``
-documents, links nothing. Raters' labels are clamped seeds. Labels run from the documents to the terms and back by DataFrame
-joins; a term passes on what it is concentrated in, weighed by the concentration, and an occurrence counts for the area that
-its document and its term agree on, so a document keeps several areas and a term keeps its own one in documents of
-several. A seed that its own terms contradict loses its clamp. A document is about the areas that hold ``SHARE`` of its evidence.
+Its edges are verified by language: a term of more than ``COMMON`` of a language's distinct texts links only documents that
+have no other linking term, and one of fewer than ``RARE`` documents links nothing. Raters' labels are clamped seeds. Labels
+run from the documents to the terms and back by DataFrame joins; a term passes on what it is concentrated in, weighed by the
+concentration, and an occurrence counts for the area that its document and its term agree on, so a document keeps several
+areas and a term keeps its own one in documents of several. A seed that its own terms contradict loses its clamp. A document
+is about the areas that hold ``SHARE`` of its evidence.
 
 Defined results: null, empty and wordless texts have no row; repeated labels count once; labels of unknown documents or areas
 count for nothing; a document with words but no linking term has no row; without any label there is no row.
@@ -26,7 +27,7 @@ from cuelight.llm.lookalikes import fold_all
 from cuelight.llm.sentences import script
 from cuelight.session import cut
 
-#: A term of a larger share of a language's documents is no subject word; neither is one of fewer documents than RARE.
+#: A term of a larger share of a language's distinct texts is no subject word beside others; neither is one of fewer documents than RARE.
 COMMON, RARE = 0.2, 3
 #: Documents that a language must have for its own share of a term to be told.
 LANGUAGE = 20
@@ -121,12 +122,18 @@ def propagate(graph: DataFrame, seeds: DataFrame, areas: list[str]) -> DataFrame
     """
     k = range(len(areas))
     flat = graph.select("doc", "lang", F.explode(F.arrays_zip("terms", "times")).alias("x")).select("doc", "lang", F.col("x.terms").alias("term"), F.col("x.times").alias("n"))
-    many = F.broadcast(graph.groupBy("lang").agg(F.count("*").alias("docs")))
-    links = flat.groupBy("term", "lang").agg(F.count("*").alias("df")).join(many, "lang")
-    links = links.groupBy("term").agg(F.sum("df").alias("df"), F.max(F.when(F.col("docs") >= LANGUAGE, F.col("df") / F.col("docs")).otherwise(0.0)).alias("share"))
-    links = cut(links.where((F.col("df") >= RARE) & (F.col("share") <= COMMON)).select("term"))
-    linking = links.count()
-    flat = _join_terms(flat.select("doc", "term", "n"), links, linking)
+    # shares are of distinct texts, so copies of one text make none of its terms common; RARE counts documents
+    texts = graph.where("size(terms) > 0").withColumn("text", F.xxhash64("lang", "terms", "times"))
+    firsts = texts.groupBy("lang", "text").agg(F.min("doc").alias("doc"))
+    many = F.broadcast(firsts.groupBy("lang").agg(F.count("*").alias("docs")))
+    first = flat.join(firsts.select("doc", F.lit(1).alias("first")), "doc", "left")
+    links = first.groupBy("term", "lang").agg(F.count("*").alias("df"), F.count("first").alias("own")).join(many, "lang")
+    links = links.groupBy("term").agg(F.sum("df").alias("df"), F.max(F.when(F.col("docs") >= LANGUAGE, F.col("own") / F.col("docs")).otherwise(0.0)).alias("share"))
+    links = cut(links.where(F.col("df") >= RARE).select("term", (F.col("share") > COMMON).alias("common")))
+    linked = _join_terms(flat.select("doc", "term", "n"), links, links.count())
+    # common terms link only the documents that no other term links; what they say is weighed by their concentration
+    lone = linked.groupBy("doc").agg(F.min("common").alias("lone")).where("lone").select("doc")
+    flat = cut(linked.where("not common").unionByName(linked.where("common").join(lone, "doc")))
 
     labels = seeds.where(F.col("area").isin(areas)).select("doc", "area").distinct()
     marks = [F.max((F.col("area") == a).cast("double")).alias(f"m{i}") for i, a in enumerate(areas)]
@@ -139,13 +146,13 @@ def propagate(graph: DataFrame, seeds: DataFrame, areas: list[str]) -> DataFrame
         return total
 
     given = added([F.col(f"m{i}") for i in k])
-    counted = flat.join(F.broadcast(labels) if labels.count() <= BROADCAST_ROWS else labels, "doc")
-    counted = counted.groupBy("term").agg(*(F.sum(F.col("n") * F.col(f"m{i}") / given).alias(f"c{i}") for i in k))
+    counted = linked.join(F.broadcast(labels) if labels.count() <= BROADCAST_ROWS else labels, "doc")
+    counted = counted.groupBy("term", "common").agg(*(F.sum(F.col("n") * F.col(f"m{i}") / given).alias(f"c{i}") for i in k))
     evidence = None
     for step in range(ROUNDS):
         # what each term is concentrated in, freed of the areas' sizes
         counted = cut(counted)
-        sizes = counted.agg(*(F.coalesce(F.sum(f"c{i}"), F.lit(0.0)).alias(f"c{i}") for i in k)).first()
+        sizes = counted.where("not common").agg(*(F.coalesce(F.sum(f"c{i}"), F.lit(0.0)).alias(f"c{i}") for i in k)).first()
         size = sum(sizes) or 1.0
         held = added([F.col(f"c{i}") for i in k])
         lifted = counted.select("term", *(((F.col(f"c{i}") + PRIOR / len(areas)) / (held + PRIOR) / (sizes[i] / size + 0.02)).alias(f"l{i}") for i in k))
@@ -169,7 +176,7 @@ def propagate(graph: DataFrame, seeds: DataFrame, areas: list[str]) -> DataFrame
         agreed = added([F.col(f"t{i}") * F.col(f"q{i}") for i in k])
         parts = [F.col("n") * F.col("w") * F.col(f"t{i}") * F.col(f"q{i}") / agreed for i in k]
         if step < ROUNDS - 1:
-            counted = both.groupBy("term").agg(*(F.sum(p).alias(f"c{i}") for i, p in enumerate(parts)))
+            counted = both.groupBy("term", "common").agg(*(F.sum(p).alias(f"c{i}") for i, p in enumerate(parts)))
         else:
             evidence = both.groupBy("doc").agg(*(F.sum(p).alias(f"e{i}") for i, p in enumerate(parts)))
     return evidence
