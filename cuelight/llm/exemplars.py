@@ -1,150 +1,109 @@
 """Labelled exemplars of residue: unfilled templates, filler text, error pages, notices that scripts are needed.
 
-Fixed values. ``0`` stands for any number and ``□`` for an unfilled place of a template. An exemplar of kind
-``filler`` is a set of words that filler is made of; the others are passages.
+They are written from what is publicly known: the reason phrases of HTTP, the standard filler passage and the treatise that it
+was cut from, messages of common servers, browsers, frameworks and players, hints of common forms and slides; not from the
+tables. ``0`` stands for any number.
 """
 
-EXEMPLARS = {
-    "template": [
-        "□",
-        "○の○をお送りします",
-        "○(社名)提供",
-        "○さん",
-        "●さんの発言",
-        "●原稿待ち",
-        "※原稿待ち",
-        "(仮)原稿待ち",
-        "翻訳待ち",
-        "未定・未定・未定",
-        "題名が決まり次第入れます",
-        "せりふをここへ",
-        "ここに字幕が入ります",
-        "文字を入力",
-        "テキストを入力してください",
-        "ここに本文を入れてください",
-        "字幕の見本です",
-        "この文は仮のテキストです",
-        "これはダミーの文章です",
-        "差し替えてください",
-        "後で消す",
-        "ダミーテキスト",
-        "かなかなかなかな仮置き",
-        "此处填写字幕",
-        "示例文本示例文本",
-        "여기에 자막을 입력하세요",
-        "임시 텍스트입니다",
-        "Platzhaltertext",
-        "Platzhaltertext hier einfügen",
-        "Insert text here",
-        "Insert caption here",
-        "Your text goes here",
-        "Texte d'exemple",
-        "Texto de ejemplo",
-        "TBD",
-        "TODO: fill in line",
-        "Text pending",
-        "Text to be added",
-        "Type something",
-        "Sample text, replace me",
-        "Caption text placeholder",
-        "Your caption goes here",
-        "Hier steht später der Untertitel",
-        "Texte provisoire, ne pas diffuser",
-        "Texte à remplacer ici",
-        "Texto de relleno",
-        "dummy line 0",
-        "dummy text",
-        "placeholder text",
-    ],
-    "repeated": [
-        "文字文字文字",
-        "テキストテキストテキスト",
-        "サンプルサンプルサンプル",
-        "あああテストあああテスト",
-        "あいうえおかきくけこさしすせそ",
-        "ほげほげほげ",
-        "test test 1 2 3 test",
-        "blah blah blah blah",
-        "asdf asdf jkl",
-        "foo bar baz qux",
-        "ABCDEFG abcdefg",
-        "xxx xxx xxxx xx",
-        "1234567890",
-    ],
-    "filler": ["lorem ipsum dolor amet sint magni porta laboris consec quilis nulla fugit ovis vestra velor seda nonum eum alira tempora terenda"],
-    "error": [
-        "0 Bad Request",
-        "0 Unauthorized",
-        "0 Forbidden",
-        "0 Not Found",
-        "0 Gone",
-        "0 Request Timeout",
-        "0 Too Many Requests",
-        "0 Internal Server Error",
-        "0 Bad Gateway",
-        "0 Service Unavailable",
-        "0 Gateway Time-out",
-        "Not Found (status 0)",
-        "Forbidden (status 0)",
-        "Gone (status 0)",
-        "Bad Gateway (status 0)",
-        "Service Unavailable (status 0)",
-        "Gateway Time-out (status 0)",
-        "Internal Server Error (status 0)",
-        "Too Many Requests (status 0)",
-        "HTTP 0: Gone",
-        "Error 0 – Gone",
-        "The page you asked for is not here",
-        "エラー0が発生しました。時間をおいて再度お試しください",
-        "時間をおいて再度お試しください",
-        "ただいまメンテナンス中です",
-        "ページが見つかりませんでした",
-        "お探しの動画は削除された可能性があります",
-        "このコンテンツを閲覧する権限がありません",
-        "サーバーが混み合っているため表示できません",
-        "セッションの有効期限が切れました",
-        "接続がタイムアウトしました。再読み込みしてください",
-        "服务器错误(0)",
-        "您访问的页面不存在",
-        "요청하신 페이지를 찾을 수 없습니다",
-        "일시적인 오류가 발생했습니다",
-        "ไม่พบหน้าที่คุณต้องการ",
-        "Fehler 0: Bitte laden Sie die Seite neu",
-        "Zugriff verweigert – Seite nicht gefunden",
-        "Erreur 0, réessayez plus tard",
-        "Something went wrong, please try again later",
-        "Something went wrong on our side, try again later",
-        "Connection reset by peer while loading subtitles",
-        "Null response from caption service (undefined)",
-        "Upstream took too long to answer",
-        "Oops, that address does not exist",
-        "Your session has run out, sign in again",
-        "This video is no longer available in your area",
-        "Page introuvable ou supprimée",
-        "Página no encontrada",
-    ],
-    "script": [
-        "Please enable JavaScript to continue",
-        "<noscript>Turn on scripts</noscript>",
-        "You need to turn scripts on to view this transcript",
-        "We noticed that JS is switched off",
-        "Scripts are blocked, captions cannot load",
-        "Your browser does not run scripts, so nothing is shown here",
-        "JavaScriptがオフのため再生できません",
-        "This player requires JavaScript",
-        "Check your browser settings",
-        "JavaScript is disabled in your browser",
-        "JavaScriptを有効にしてください",
-        "ご利用のブラウザではJavaScriptが無効になっています",
-        "スクリプトが無効です。設定をご確認ください",
-        "この字幕を表示するにはスクリプトの実行を許可してください",
-        "请启用 JavaScript 后继续",
-        "자바스크립트를 켜 주세요",
-        "โปรดเปิดใช้งาน JavaScript",
-        "Diese Seite benötigt Skripte",
-        "Bitte aktivieren Sie JavaScript",
-        "Veuillez activer JavaScript",
-        "Cette page a besoin de scripts pour s'afficher",
-        "Active JavaScript para ver los subtítulos",
-    ],
-}
+from __future__ import annotations
+
+from http import HTTPStatus
+
+#: The treatise (De finibus 1.10.32-33) and the standard passage made of it, whose words filler is made of.
+FILLER = """
+lorem ipsum dolor sit amet consectetur adipiscing elit sed do eiusmod tempor incididunt ut labore et dolore magna aliqua ut enim ad
+minim veniam quis nostrud exercitation ullamco laboris nisi ut aliquip ex ea commodo consequat duis aute irure dolor in reprehenderit
+in voluptate velit esse cillum dolore eu fugiat nulla pariatur excepteur sint occaecat cupidatat non proident sunt in culpa qui
+officia deserunt mollit anim id est laborum
+sed ut perspiciatis unde omnis iste natus error sit voluptatem accusantium doloremque laudantium totam rem aperiam eaque ipsa quae
+ab illo inventore veritatis et quasi architecto beatae vitae dicta sunt explicabo nemo enim ipsam voluptatem quia voluptas sit
+aspernatur aut odit aut fugit sed quia consequuntur magni dolores eos qui ratione voluptatem sequi nesciunt neque porro quisquam
+est qui dolorem ipsum quia dolor sit amet consectetur adipisci velit sed quia non numquam eius modi tempora incidunt ut labore et
+dolore magnam aliquam quaerat voluptatem ut enim ad minima veniam quis nostrum exercitationem ullam corporis suscipit laboriosam
+nisi ut aliquid ex ea commodi consequatur quis autem vel eum iure reprehenderit qui in ea voluptate velit esse quam nihil molestiae
+consequatur vel illum qui dolorem eum fugiat quo voluptas nulla pariatur
+at vero eos et accusamus et iusto odio dignissimos ducimus qui blanditiis praesentium voluptatum deleniti atque corrupti quos dolores
+et quas molestias excepturi sint occaecati cupiditate non provident similique sunt in culpa qui officia deserunt mollitia animi id
+est laborum et dolorum fuga et harum quidem rerum facilis est et expedita distinctio nam libero tempore cum soluta nobis est eligendi
+optio cumque nihil impedit quo minus id quod maxime placeat facere possimus omnis voluptas assumenda est omnis dolor repellendus
+temporibus autem quibusdam et aut officiis debitis aut rerum necessitatibus saepe eveniet ut et voluptates repudiandae sint et
+molestiae non recusandae itaque earum rerum hic tenetur a sapiente delectus
+"""
+
+#: Words that are typed again and again to fill a place.
+UNITS = "テスト テキスト サンプル ダミー 文字 ほげ ふが ぴよ 測试 测试 示例 文字 테스트 텍스트 test text sample dummy blah bla foo xxx asdf".split()
+
+#: The syllabary and rows of keys as they are typed to fill a place, and the names that stand for anything.
+ROWS = ["あいうえおかきくけこ", "いろはにほへと", "アイウエオカキクケコ", "가나다라마바사", "abcdefg", "abc def ghi", "qwerty", "asdf jkl", "asdfghjkl", "foo bar baz", "hoge fuga piyo", "一二三四五六七八九十"]
+
+TEMPLATE = """
+ここにテキストを入力してください|ここに本文を入れてください|ここに文章を入力|ここに字幕を入力してください|テキストを入力してください|文字を入力してください|文字を入力|タイトルを入力|本文を入力|本文が入ります|テキストが入ります
+ここに説明文が入ります|ここにテキストが入ります|字幕が入ります|この文章はダミーです|文字の大きさ、量、字間、行間等を確認するために入れています|ダミーテキスト|これはダミーの文章です|サンプルテキスト|サンプル文章です
+これはサンプルの文章です|これは見本です|仮の文章です|仮テキスト|差し替えてください|後で差し替えます|未翻訳|未入力|未定|○さん|○様|○株式会社|○(氏名)
+Insert text here|Insert your text here|Your text here|Your text goes here|Text goes here|Type your text here|Type something here|Type here|Enter text here|Enter your text|Click to add text|Click to add title|Add your text here
+Add caption here|Caption goes here|Title goes here|Content goes here|Subtitle goes here|Placeholder text|Text placeholder|Sample text|Dummy text|This is sample text|This is placeholder text|Replace this text|Replace me|Text to be added
+Text to follow|Text to come|Translation pending|Content pending|To be determined|To be announced|TODO fill in|TODO translate|TBD|TBA|FIXME
+Platzhaltertext|Platzhalter für Text|Blindtext|Mustertext|Beispieltext|Hier steht Ihr Text|Hier steht der Text|Text hier eingeben|Text hier einfügen|Bitte Text eingeben|Dies ist ein Blindtext|Titel durch Klicken hinzufügen|Geben Sie Ihren Text ein
+Texte d'exemple|Exemple de texte|Faux texte|Texte provisoire|Texte de remplacement|Texte à remplacer|Texte à insérer|Votre texte ici|Saisissez votre texte ici|Insérer le texte ici|Ajouter du texte ici|Cliquez pour ajouter un titre
+Texto de ejemplo|Texto de relleno|Texto de muestra|Texto provisional|Su texto aquí|Escriba su texto aquí|Inserte el texto aquí|Introduzca el texto|Haga clic para agregar título
+请在此输入文字|在此处输入内容|请输入内容|此处填写|此处填写内容|此处输入字幕|单击此处添加标题|点击添加文本|单击以编辑标题|示例文本|示例文字|占位文字|占位文本|样例文本
+여기에 텍스트를 입력하세요|여기에 내용을 입력하세요|여기에 자막을 입력|내용을 입력하세요|제목을 입력하십시오|텍스트를 입력하십시오|예시 텍스트|샘플 텍스트|임시 텍스트|임시 문구입니다
+ข้อความตัวอย่าง|พิมพ์ข้อความที่นี่|ใส่ข้อความที่นี่|यहाँ पाठ लिखें|यहां टेक्स्ट दर्ज करें|नमूना पाठ|नमूना टेक्स्ट
+"""
+
+ERROR = """
+The page you are looking for cannot be found|The page you requested could not be found|The page you were looking for doesn't exist|The page may have been moved or deleted
+The requested URL was not found on this server|Page not found|Oops, that page can't be found|Oops, this page does not exist|You may have mistyped the address|The link you followed may be broken
+This page isn't available|This page isn't working|This site can't be reached|This webpage is not available|The server is not responding|The server took too long to respond
+The server encountered an internal error and was unable to complete your request|The server is temporarily unable to service your request|Internal server error|Server error 0|Error 0 on the server|Error code 0
+You don't have permission to access this resource|You do not have permission to view this page|Access denied|Access to this page has been denied|Permission denied
+Something went wrong|Something went wrong, please try again later|Something went wrong on our end|We're sorry, but something went wrong|Whoops, looks like something went wrong|An error occurred, please try again later|An unexpected error has occurred
+An unknown error occurred while loading the page|Failed to load resource|Failed to load captions|Could not load subtitles|Unable to load the video|Loading failed, reload the page|Please reload the page|Please refresh the page and try again
+The connection was reset|Connection reset by peer|The connection has timed out|Connection timed out|Connection refused|Network error, check your internet connection|Upstream request timeout|Bad gateway, invalid response from the upstream server
+Your session has expired, please log in again|Session timed out, sign in again|You have been signed out|Please sign in to continue
+This video is unavailable|This video is no longer available|This video is not available in your country|This content is not available in your region|This video has been removed by the uploader|This content is currently unavailable
+The site is down for maintenance|We are down for scheduled maintenance|We'll be back soon|Too many requests, try again later|Rate limit exceeded|Error establishing a database connection|Application error, a client-side exception has occurred
+Uncaught TypeError, undefined is not a function|Cannot read properties of undefined|NullPointerException|Traceback most recent call last|Fatal error, uncaught exception|Segmentation fault core dumped|object Object undefined|undefined null NaN
+お探しのページは見つかりませんでした|お探しのページが見つかりません|ページが見つかりません|ページが存在しません|指定されたページは存在しません|お探しのページは削除されたか移動した可能性があります|お探しのコンテンツは削除された可能性があります|お探しの動画は見つかりません
+エラーが発生しました|エラー0が発生しました|予期しないエラーが発生しました|通信エラーが発生しました|サーバーエラーが発生しました|内部サーバーエラー|もう一度お試しください|しばらくしてからもう一度お試しください|時間をおいて再度お試しください|時間をおいて再度アクセスしてください
+アクセスが集中しています|アクセスが集中しているためページを表示できません|サーバーが混み合っています|サーバーに接続できません|サーバーが応答していません|接続がタイムアウトしました|接続が切断されました|ページを再読み込みしてください|読み込みに失敗しました
+ただいまメンテナンス中です|システムメンテナンス中のためご利用いただけません|現在ご利用いただけません|このページを閲覧する権限がありません|アクセスする権限がありません|アクセスが拒否されました|セッションの有効期限が切れました|セッションがタイムアウトしました|再度ログインしてください
+この動画は再生できません|動画を再生できません|この動画は非公開です|この動画は削除されました|お住まいの地域では視聴できません|お使いの地域ではご利用いただけません
+您访问的页面不存在|页面不存在|找不到页面|抱歉，找不到您要访问的页面|页面已被删除或移动|服务器错误|服务器内部错误|服务器繁忙，请稍后再试|系统繁忙，请稍后再试|网络连接超时|加载失败，请刷新重试|系统维护中|您没有权限访问此页面|访问被拒绝|登录已过期，请重新登录|该视频已被删除|视频无法播放|发生错误，请稍后重试
+페이지를 찾을 수 없습니다|요청하신 페이지를 찾을 수 없습니다|존재하지 않는 페이지입니다|일시적인 오류가 발생했습니다|오류가 발생했습니다. 잠시 후 다시 시도해 주세요|서버 오류가 발생했습니다|접근 권한이 없습니다|접근이 거부되었습니다|세션이 만료되었습니다|다시 로그인해 주세요|시스템 점검 중입니다|동영상을 재생할 수 없습니다|연결 시간이 초과되었습니다
+ไม่พบหน้าที่คุณต้องการ|ไม่พบหน้าที่ร้องขอ|ไม่พบหน้านี้|เกิดข้อผิดพลาด กรุณาลองใหม่อีกครั้ง|เซิร์ฟเวอร์ขัดข้อง|คุณไม่มีสิทธิ์เข้าถึงหน้านี้|ปิดปรับปรุงระบบชั่วคราว|पृष्ठ नहीं मिला|यह पेज उपलब्ध नहीं है|कुछ गलत हो गया, कृपया बाद में पुनः प्रयास करें|सर्वर में त्रुटि हुई
+Seite nicht gefunden|Die angeforderte Seite wurde nicht gefunden|Die gesuchte Seite existiert nicht|Zugriff verweigert|Es ist ein Fehler aufgetreten, bitte versuchen Sie es später erneut|Fehler 0|Fehler 0 auf dem Server|Interner Serverfehler|Bitte laden Sie die Seite neu|Ihre Sitzung ist abgelaufen|Dieses Video ist nicht verfügbar|Wegen Wartungsarbeiten nicht erreichbar|Zeitüberschreitung der Verbindung
+Page introuvable|Page non trouvée|La page demandée est introuvable|La page que vous recherchez n'existe pas|Cette page a été supprimée ou déplacée|Accès refusé|Vous n'avez pas l'autorisation d'accéder à cette page|Une erreur est survenue, veuillez réessayer plus tard|Erreur 0|Erreur 0 du serveur, réessayez plus tard|Erreur interne du serveur|Votre session a expiré|Cette vidéo n'est pas disponible|Site en maintenance
+Página no encontrada|La página solicitada no existe|La página que busca no existe|No se ha encontrado la página|Acceso denegado|No tiene permiso para acceder a esta página|Se ha producido un error, inténtelo de nuevo más tarde|Error 0 del servidor|Error interno del servidor|Su sesión ha caducado|Este vídeo no está disponible|Sitio en mantenimiento
+"""
+
+SCRIPT = """
+Please enable JavaScript|Please enable JavaScript to continue|Please enable JavaScript in your browser settings|JavaScript is disabled|JavaScript is disabled in your browser|JavaScript is turned off in your browser|JavaScript is switched off|JavaScript is not enabled
+This site requires JavaScript|This page requires JavaScript to work|JavaScript is required to view this page|JavaScript must be enabled to use this site|It is necessary to enable JavaScript for full functionality|Your browser does not support JavaScript|Your browser does not run scripts
+Please turn on JavaScript and reload the page|Enable JavaScript and cookies to continue|We've detected that JavaScript is disabled in your browser|Scripts are blocked|Scripts are disabled in your browser|Allow scripts to run|This page needs scripts|noscript
+JavaScriptを有効にしてください|JavaScriptが無効になっています|お使いのブラウザではJavaScriptが無効になっています|このページを表示するにはJavaScriptを有効にする必要があります|JavaScriptをオンにしてください|JavaScriptがオフになっています|JavaScriptがオフのため表示できません
+当サイトではJavaScriptを使用しています|JavaScriptに対応していません|スクリプトが無効です|スクリプトが無効になっています|スクリプトの実行を許可してください|スクリプトを有効にしてください|ブラウザの設定をご確認ください
+请启用JavaScript|请启用JavaScript后继续|您的浏览器不支持JavaScript|您的浏览器已禁用JavaScript|请开启JavaScript后刷新页面|请在浏览器设置中启用脚本|자바스크립트를 활성화해 주세요|자바스크립트가 꺼져 있습니다|자바스크립트를 켜세요|자바스크립트를 사용할 수 없습니다|이 사이트는 자바스크립트가 필요합니다|스크립트를 허용해 주세요
+โปรดเปิดใช้งาน JavaScript|กรุณาเปิดใช้งาน JavaScript ในเบราว์เซอร์ของคุณ|เบราว์เซอร์ของคุณไม่รองรับ JavaScript|कृपया JavaScript सक्षम करें|आपके ब्राउज़र में JavaScript अक्षम है|JavaScript चालू करें
+Bitte aktivieren Sie JavaScript|JavaScript ist in Ihrem Browser deaktiviert|Diese Seite benötigt JavaScript|Diese Seite benötigt aktivierte Skripte|Ihr Browser unterstützt kein JavaScript|Skripte sind deaktiviert
+Veuillez activer JavaScript|JavaScript est désactivé dans votre navigateur|Cette page nécessite JavaScript|Ce site a besoin de scripts pour fonctionner|Votre navigateur ne prend pas en charge JavaScript|Les scripts sont désactivés
+Active JavaScript para continuar|Active JavaScript para ver esta página|JavaScript está desactivado en su navegador|Este sitio requiere JavaScript|Habilite JavaScript|Su navegador no admite JavaScript|Los scripts están desactivados
+"""
+
+
+def listed(text: str) -> list[str]:
+    """The passages of one of the lists."""
+    return [p.strip() for line in text.strip().split("\n") for p in line.split("|")]
+
+
+def passages() -> list[tuple[str, str]]:
+    """(kind, passage): all exemplars but filler; those of HTTP's errors are made of its reason phrases."""
+    out = [("template", p) for p in listed(TEMPLATE)]
+    out += [("repeated", (u if not u.isascii() else u + " ") * 3) for u in UNITS] + [("repeated", r) for r in ROWS]
+    out += [("error", p) for p in listed(ERROR)]
+    for s in HTTPStatus:
+        if s >= 400:
+            out += [("error", form.format(s.phrase)) for form in ("0 {}", "{} status 0", "{} error 0", "error 0: {}", "HTTP 0: {}")]
+    out.append(("error", "0 Gateway Time-out"))
+    out += [("script", p) for p in listed(SCRIPT)]
+    return list(dict.fromkeys(out))

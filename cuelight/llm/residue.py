@@ -1,12 +1,15 @@
 """Segments that hold an unfilled template, filler, an error page or a script notice (problem 1).
 
-A text is read as terms: words and pairs of words, and three characters at a time where a script has no spaces. Labelled
-exemplars stand in an inverted index from terms; an unfilled place of a template is a term too, found by its syntax. The
-index is searched by an automaton over all terms. A passage window of the exemplar's length is scored by the TF-IDF weight
-of the exemplar's terms that it contains, with document frequencies counted over all texts; a segment is residue from a
-containment of ``COVERAGE`` on. An exemplar is retrieved by its heaviest terms only, of which a window with that containment
-must hold one, so retrieval loses nothing. Filler words are scored the other way round, by the share of the window's words
-that they cover.
+A text is read as terms: beginnings of words and pairs of words, and two and three characters at a time where a script has no
+spaces. Labelled exemplars stand in an inverted index from terms, searched by an automaton; document frequencies are counted
+over all texts. Containment is scored in two ways. A passage window of an exemplar's length holds ``COVERAGE`` of the exemplar's
+weight: the exemplar is there in its own words. Or a sentence is covered by ``KIND`` by the terms of the exemplars of one kind
+and holds ``LIKE`` of the weight of one of them: it says the same in other words. An exemplar is retrieved by its heaviest terms
+only, of which any such window must hold one, so retrieval loses nothing.
+
+Filler is scored by the words of the treatise that it is cut from. As filler is often made of words like those, words that stand
+among them and nowhere else in the whole corpus are learned (``LEARNED`` of them at most, the most frequent ones).
+An unfilled place of a template is found by its syntax: those of public template languages, and a bracket around an instruction.
 
 Defined results: null, empty and blank texts are no residue; a segment delivered twice gives one row.
 """
@@ -16,161 +19,283 @@ from __future__ import annotations
 import math
 import re
 from bisect import bisect_left, bisect_right
+from collections import Counter
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import LongType, StructField, StructType
+from pyspark.sql.types import LongType, StringType, StructField, StructType
 
 from cuelight.functions.batches import map_columns, spread
-from cuelight.llm.exemplars import EXEMPLARS
+from cuelight.llm.exemplars import FILLER, UNITS, passages
 from cuelight.llm.lookalikes import TO_LATIN, fold_all
 
-#: Least share of an exemplar's weight that a window must hold, or of a window's words that filler must cover.
+#: Least share of an exemplar's weight that a window of its length must hold.
 COVERAGE = 0.8
-#: Words of a window that is scored for filler.
-FILLER_WORDS = 3
-
-_name = r"(?:[A-Za-z_][A-Za-z0-9_.]{1,40}|\d{1,3}|[一-鿿々ァ-ヺー가-힣]{2,12})"
-#: The syntaxes of an unfilled place; what stands in it must be a name, not words of speech.
+#: Least share of a sentence's weight that one kind of exemplars must cover, and of one exemplar's that it must hold.
+KIND, LIKE = 0.6, 0.35
+#: Terms that a sentence must share with the exemplar that it is like: words, pairs of characters. One of few words (BRIEF) shares one less.
+SHARED, BRIEF = (3, 4), 4
+#: Terms up to which an exemplar without a number is short: words, pairs of characters. Unless it is of kind
+#: script, it counts only where KIND of its clause is covered.
+SHORT = (4, 8)
+#: Kinds whose messages are made of the same words cover a sentence together.
+GROUP = {"template": "template", "repeated": "repeated", "error": "notice", "script": "notice"}
+#: Words of a window of filler, the share of them that must be filler, and the share that makes a window filler's company.
+WORDS, FILLED, COMPANY = 3, 0.75, 0.4
+#: Learned filler words: most, least texts of each, and the least share of its texts in which it stands in filler's company.
+LEARNED, SEEN, ALONE = 2_000, 3, 0.9
+#: First letters of a word that stand for its forms, and first syllables of a Korean one.
+STEM, SYLLABLES = 4, 2
+
+_name = r"(?:[A-Za-z_][A-Za-z0-9_.]{1,60}|\d{1,3}|[一-鿿々ァ-ヺー가-힣ぁ-ゖ]{2,16})"
+#: The syntaxes of an unfilled place in public template languages; what stands in it must be a name, not words of speech.
 SLOT = re.compile(
-    r"\{\{\s*~\s*\}\}|[$#]\{\s*~\s*\}|\{~\}|<%=?\s*~\s*%>|\{%\s*(?:\w+\s+)?~\s*%\}|%\(~\)[sdf]|%~%|\$~\$|@@~@@|__~__|\[\[\s*~\s*\]\]"
-    r"|<<\s*~\s*>>|&lt;\s*~\s*&gt;|<your ~ here>|\[INSERT ~\]|<~>が入ります|【~を入力】|〔ここに~〕|\[~未設定\]".replace("~", _name)
+    r"\{\{\{?[#/^&>]?\s*~\s*\}?\}\}|[$#@*]\{\s*~\s*\}|\{\$?~\}|<%[=-]?\s*~\s*-?%>|\{%-?\s*(?:\w+\s+)?~\s*-?%\}|\[%\s*~\s*%\]|<\?=?\s*\$?~\s*\?>"
+    r"|%\(~\)[sdf]|%~%|\$~\$|@@~@@|__~__|\[\[\s*~\s*\]\]|<<\s*~\s*>>|&lt;\s*~\s*&gt;|\*\|~\|\*".replace("~", _name)
 )
+#: Instructions that stand in the bracket of an unfilled place or behind it, and fields that are named there.
+_order = r"(?:insert|enter|add|type|fill in|your) (?=\w)|placeholder|to be (?:added|announced|confirmed|determined)|einfügen|eingeben|insérer|saisir|insertar|escriba|ここ|此处|此處|여기"
+_order_after = r"を?(?:入力|記入|挿入|入れる)|未設定|未入力|未定|が入ります|here|hier|ici|aquí|输入|填写|입력"
+_field = "(?:first |last |full |your |company |user )?name|company|date|title|subject|address|e-?mail|phone|city|url|氏名|お名前|名前|会社名|社名|日付|題名|件名|番組名|商品名|担当者名|住所|姓名|公司|日期|标题|이름|날짜|제목"
+BRACKET = re.compile(rf"[\[<{{【〔［〈(](?=[^\[\]<>{{}}【】〔〕［］〈〉()\n]{{1,60}}[\]>}}】〕］〉)])(?:(?:{_order})[^\]>}}】〕］〉)]*|[^\]>}}】〕］〉)\n]*?(?:{_order_after})[^\]>}}】〕］〉)\n]{{0,8}}|(?:{_field}))[\]>}}】〕］〉)]", re.I)
+BEHIND = re.compile(rf"[<【〔［〈]{_name}[>】〕］〉](?=が入ります|を入力|を記入)")
+
 _twins = re.compile("[" + "".join(TO_LATIN) + "]")
 _digits = re.compile(r"\d{1,5}(?!\d)")
-_fill = re.compile("(?:[○◯〇]{2,}|[○◯])|●+")
-_gap = re.compile(r"[^\w○●□※()\n\x00]+|_+")
-_spaceless = re.compile("[ぁ-ゖァ-ヺー一-鿿々฀-๿○●※()]")
-_words = re.compile(r"[^\s()]+")
+_fill = re.compile("(?:[○◯〇●]{2,}|[○◯])")
+_end = re.compile(r"[。.!?…]+(?=\s|$|\x00|[^\x00-\x7f])|[。!?…]+|\n+|[;:](?=\s)|\s[–—|]\s")
+_clause = re.compile(r"[、,，]|\s[-–—]\s|[:：](?!//)")
+_gap = re.compile(r"[^\w○□|,\x00]+|_+")
+_js = re.compile(r"\bjs\b")
+_keys = re.compile("(?:1234567890|0123456789)+")
+_again = re.compile(r"^\s*(\S(?:.{0,11}?\S)?)\s*(?:\1\s*){2,}.{0,12}$")
+_spaceless = re.compile("[ぁ-ゖァ-ヺー一-鿿々฀-๿○□]")
+_kana = re.compile("[ぁ-ゖー]+")
+_bound = re.compile("[ぁ-ゖァ-ヺー一-鿿々฀-๿○□가-힣]")
+_run = re.compile("[ぁ-ゖァ-ヺー一-鿿々฀-๿○□]+|[^ぁ-ゖァ-ヺー一-鿿々฀-๿○□ ]+")
 
 
 def plain(texts: list[str]) -> list[str]:
-    """The texts folded for the index: case, widths, numbers, unfilled places; one space around every word."""
-    joined = "\x00".join(fold_all([t.replace("\x00", "") for t in texts]))
+    """The texts folded for the index: case, widths, numbers, unfilled places; one space around every word, | between
+    sentences, a comma between clauses."""
+    joined = "\x00".join(fold_all([t.replace("\x00", "").replace("|", " ") if "*|" not in t else t.replace("\x00", "") for t in texts]))
     if not joined.isascii():
         joined = _twins.sub(lambda m: TO_LATIN[m.group()], joined)
     joined = SLOT.sub(" □ ", joined)
-    joined = _fill.sub(lambda m: m.group()[0], joined)
-    joined = _digits.sub("0", joined)
-    joined = _gap.sub(" ", joined.lower().replace("\n", " "))
+    joined = BRACKET.sub(" □ ", BEHIND.sub(" □ ", joined))
+    joined = _fill.sub("○", joined)
+    joined = _digits.sub("0", _keys.sub(" □ ", joined))
+    joined = _clause.sub(" , ", _end.sub(" | ", joined))
+    joined = _js.sub("javascript", _gap.sub(" ", joined.lower()))
     return [f" {t} " for t in re.sub(" +", " ", joined).replace(" \x00", "\x00").replace("\x00 ", "\x00").strip().split("\x00")]
 
 
-def terms(text: str) -> list[str]:
-    """The terms of a folded text, each a part of it."""
+def _around(text: str, at: int) -> str:
+    """The clause of a folded text at a place."""
+    return re.split("[|,]", text[max(text.rfind("|", 0, at), text.rfind(",", 0, at)) + 1 :], maxsplit=1)[0]
+
+
+def coarse(passage: str) -> list[str]:
+    """The terms of a folded passage by which it is like another: beginnings of words, pairs of characters; endings in kana and
+    single letters say nothing."""
     out = []
-    words = text.split()
-    for w in words:
-        if _spaceless.search(w):
-            out += [w[i : i + 3] for i in range(max(1, len(w) - 2))]
-        else:
-            out.append(f" {w} ")
-    out += [f" {a} {b} " for a, b in zip(words, words[1:]) if not _spaceless.search(a + b)]
+    for w in _run.findall(passage):
+        if w in "|,":
+            continue
+        if _spaceless.match(w):
+            out += [x for x in (w[i : i + 2] for i in range(len(w) - 1)) if not _kana.fullmatch(x)] or ([w] if len(w) == 1 else [])
+        elif len(w) > 1 or not w.isalpha():
+            size = SYLLABLES if "가" <= w[0] <= "힣" else STEM
+            out.append(f" {w[:size]}" if len(w) >= size else f" {w} ")
+    return out
+
+
+def fine(passage: str) -> list[str]:
+    """The terms by which a passage is the same as another: pairs of words, three characters; each a part of it."""
+    out = []
+    for part in re.split("[|,]", passage):
+        words = part.split()
+        for w in words:
+            if _spaceless.search(w):
+                out += [w[i : i + 3] for i in range(max(1, len(w) - 2))]
+            else:
+                out.append(f" {w[:SYLLABLES]}" if "가" <= w[0] <= "힣" else f" {w} ")
+        out += [f" {a} {b} " for a, b in zip(words, words[1:]) if not _bound.search(a + b)]
     return out
 
 
 class Index:
     """The inverted index: an automaton over the exemplars' terms and, with weights, their retrieval terms."""
 
-    def __init__(self, weight: dict[str, float] | None = None):
+    def __init__(self, exemplars: list[tuple[str, str]] | None = None):
         import ahocorasick
 
-        passages = [x for kind, xs in EXEMPLARS.items() if kind != "filler" for x in xs]
-        self.filler = {f" {w} " for x in EXEMPLARS["filler"] for w in x.split()}
+        labelled = passages() if exemplars is None else exemplars
         self.exemplars = []
-        for text in plain(passages):
-            self.exemplars.append((len(text), frozenset(terms(text))))
-        self.all = sorted(set().union(*(t for _, t in self.exemplars)) | self.filler)
+        for (kind, _), text in zip(labelled, plain([x for _, x in labelled])):
+            self.exemplars.append((kind, len(text), frozenset(fine(text)), frozenset(coarse(text))))
+        self.exemplars.append(("template", 3, frozenset(["□"]), frozenset(["□"])))
+        self.filler = frozenset(w for w in FILLER.split() if len(w) > 3)
+        self.all = sorted(set().union(*(a | b for _, _, a, b in self.exemplars)) | {f" {w} " for w in self.filler})
         self.number = {t: i for i, t in enumerate(self.all)}
         self.automaton = ahocorasick.Automaton()
         for t, i in self.number.items():
-            self.automaton.add_word(t, i)
+            self.automaton.add_word(t, (i, len(t)))
         self.automaton.make_automaton()
-        if weight is not None:
-            self.weigh(weight)
 
-    def weigh(self, weight: dict[str, float]) -> None:
+    def weigh(self, weight: dict[str, float], learned: frozenset = frozenset()) -> "Index":
+        """With the weight of every term (that of "" is a term's without any text) and learned words of filler."""
+        self.known, self.unknown = self.filler | learned, weight[""]
         self.weight = [weight[t] for t in self.all]
-        self.scored = []
-        self.retrieves: dict[int, list[int]] = {}
-        for e, (size, own) in enumerate(self.exemplars):
-            ids = sorted((self.number[t] for t in own), key=lambda i: -self.weight[i])
-            total = sum(self.weight[i] for i in ids)
-            self.scored.append((size, frozenset(ids), total))
-            left = total
-            for i in ids:  # without these terms less than COVERAGE is left
-                self.retrieves.setdefault(i, []).append(e)
-                left -= self.weight[i]
-                if left < COVERAGE * total - 1e-9:
-                    break
-        self.fillers = frozenset(self.number[t] for t in self.filler)
+        self.same, self.like, self.alike = [], [], []
+        self.by_kind: dict[str, set[str]] = {}
+        retrieves: list[dict[int, list[int]]] = [{}, {}]
+        for kind, size, own, wide in self.exemplars:
+            self.by_kind.setdefault(GROUP[kind], set()).update(wide)
+            for k, terms, least in ((0, own, COVERAGE), (1, wide, LIKE)):
+                ids = sorted((self.number[t] for t in terms), key=lambda i: -self.weight[i])
+                total = left = sum(self.weight[i] for i in ids)
+                at = len((self.same, self.like)[k])
+                short = kind != "script" and len(wide) <= SHORT[any(map(_spaceless.search, wide))] and " 0 " not in wide and "□" not in wide
+                (self.same, self.like)[k].append((kind, size, frozenset(ids), total, short))
+                for i in ids:  # without these terms less than the least share is left
+                    retrieves[k].setdefault(i, []).append(at)
+                    left -= self.weight[i]
+                    if left < least * total - 1e-9:
+                        break
+        self.retrieves, self.retrieves_like = retrieves
+        return self
+
+    def hits(self, text: str) -> list[tuple[int, int]]:
+        """(end, number) of the terms that a folded text holds."""
+        return [(end, i) for end, (i, _) in self.automaton.iter(text)]
 
     def residue(self, text: str) -> bool:
         """Whether a folded text holds a passage like an exemplar."""
-        hits = list(self.automaton.iter(text))
+        hits = self.hits(text)
         ends = [at for at, _ in hits]
         tried = set()
+        wide: set[int] = set()
         for end, i in hits:
             for e in self.retrieves.get(i, ()):
-                size, own, total = self.scored[e]
+                kind, size, own, total, short = self.same[e]
                 if (end, e) in tried:
                     continue
                 tried.add((end, e))
                 window = hits[bisect_left(ends, end - size) : bisect_right(ends, end + size)]
                 near = {j for _, j in window if j in own}
                 if sum(self.weight[j] for j in near) >= COVERAGE * total - 1e-9:
-                    return True
-        if any(i in self.fillers for _, i in hits):
-            words = [f" {w} " in self.filler for w in text.split()]
-            span = max(FILLER_WORDS, min(len(words), 2 * FILLER_WORDS))
-            for k in range(max(1, len(words) - span + 1)):
-                part = words[k : k + span]
-                if len(part) >= FILLER_WORDS and sum(part) >= COVERAGE * len(part):
-                    return True
+                    if not short or self.covered(_around(text, end), kind):
+                        return True
+            wide.update(self.retrieves_like.get(i, ()))
+        if wide and any(self.said_otherwise(p, wide) for p in {*text.split("|"), *re.split("[|,]", text), text}):
+            return True
+        return self.fills(text) or any(self.typed(p) for p in text.split("|"))
+
+    def typed(self, passage: str) -> bool:
+        """Whether a sentence is one unit again and again that holds a word which is typed to fill a place."""
+        unit = _again.match(passage)
+        return unit is not None and any(u in unit.group(1) for u in UNITS)
+
+    def covered(self, passage: str, kind: str) -> bool:
+        """Whether the terms of a kind cover a sentence."""
+        number, own = self.number, self.by_kind[GROUP[kind]]
+        terms = {t: self.weight[number[t]] if t in number else self.unknown for t in coarse(passage)}
+        return sum(w for t, w in terms.items() if t in own) >= KIND * sum(terms.values())
+
+    def said_otherwise(self, passage: str, candidates: set[int]) -> bool:
+        """Whether a sentence or clause is covered by the terms of one kind and holds much of one exemplar of it."""
+        terms = set(coarse(passage))
+        number, weight = self.number, self.weight
+        there = {number[t] for t in terms if t in number}
+        wide = bool(_spaceless.search(passage))
+        there.discard(number.get(" 0 ", -1))  # any number is like any other
+        least = SHARED[wide] - (2 < len(terms) <= BRIEF)
+        if len(there) < least:
+            return False
+        total = sum(weight[number[t]] if t in number else self.unknown for t in terms)
+        for kind, own in self.by_kind.items():
+            covered = sum(weight[number[t]] for t in terms if t in own)
+            if covered >= KIND * total:
+                for e in candidates:
+                    k, _, ids, all_of_it, _ = self.like[e]
+                    if GROUP[k] == kind:
+                        shared = ids & there
+                        if len(shared) >= least and sum(weight[j] for j in shared) >= LIKE * all_of_it:
+                            return True
         return False
 
+    def fills(self, text: str) -> bool:
+        """Whether a window of words is filler."""
+        words = text.split()
+        own = [w in self.known for w in words]
+        if sum(own) < WORDS:
+            return False
+        kept = [x for x, w in zip(own, words) if w not in "|,"]
+        span = max(WORDS, min(len(kept), 2 * WORDS))
+        return any(sum(kept[k : k + span]) >= max(WORDS, FILLED * len(kept[k : k + span])) for k in range(max(1, len(kept) - span + 1)))
+
+    def company(self, text: str) -> list[str]:
+        """The words of a folded text that stand in filler's company, if it is that."""
+        words = [w for w in text.split() if w not in "|,"]
+        own = sum(w in self.filler for w in words)
+        return words if own >= WORDS - 1 and own >= COMPANY * len(words) else []
 
-def weights(texts: DataFrame, text_col: str = "text") -> dict[str, float]:
-    """The inverse document frequency of every term of the index over all texts. One number a term comes to the driver,
-    and the terms are those of the exemplars, so their number does not depend on the data."""
-    schema = StructType([StructField("term", LongType()), StructField("n", LongType())])
+
+def statistics(texts: DataFrame, text_col: str = "text") -> tuple[dict[str, float], frozenset]:
+    """The inverse document frequency of every term of the index over all texts, and the learned words of filler.
+
+    One number a term of the index and the learned words come to the driver; the former are those of the exemplars, the
+    latter ``LEARNED`` at most, so neither grows with the data.
+    """
+    schema = StructType([StructField("term", LongType()), StructField("word", StringType()), StructField("n", LongType()), StructField("among", LongType())])
 
     def count(column: list) -> dict:
-        index = _index(None)
-        many: dict[str, int] = {}
-        for t in column:
-            if t:
-                many[t] = many.get(t, 0) + 1
+        index = _index()
+        many = Counter(t for t in column if t)
         found = [0] * len(index.all)
+        seen: Counter = Counter()
+        among: Counter = Counter()
         for text, n in zip(plain(list(many)), many.values()):
-            for i in {i for _, i in index.automaton.iter(text)}:
+            for i in {i for _, i in index.hits(text)}:
                 found[i] += n
-        rows = [(-1, sum(many.values())), *((i, n) for i, n in enumerate(found) if n)]
-        return {"term": [r[0] for r in rows], "n": [r[1] for r in rows]}
-
-    rows = map_columns(texts.select(texts[text_col].alias("text")), count, schema)
-    counts = {r.term: r.n for r in rows.groupBy("term").agg(F.sum("n").alias("n")).collect()}
-    index = _index(None)
-    return {t: math.log((counts.get(-1, 0) + 1) / (counts.get(i, 0) + 1)) + 1 for i, t in enumerate(index.all)}
+            words = {w for w in text.split() if w.isalpha() and len(w) < 40 and "a" <= w[0] <= "ɏ"}
+            for w in words:
+                seen[w] += n
+            if words:
+                for w in {*index.company(text)} & words:
+                    among[w] += n
+        rows = [(-1, None, many.total(), 0), *((i, None, n, 0) for i, n in enumerate(found) if n), *((None, w, n, among[w]) for w, n in seen.items())]
+        return {name: [r[k] for r in rows] for k, name in enumerate(schema.names)}
+
+    rows = map_columns(texts.select(texts[text_col].alias("text")), count, schema).groupBy("term", "word").agg(F.sum("n").alias("n"), F.sum("among").alias("among"))
+    # the most frequent of the words that stand in filler's company only, and all counts of the index's terms
+    learned = F.col("word").isNotNull() & (F.col("among") >= SEEN) & (F.col("among") >= ALONE * F.col("n"))
+    rank = F.when(F.col("term").isNotNull(), F.lit(1 << 62)).otherwise(F.col("among"))
+    index = _index()
+    got = rows.where(F.col("term").isNotNull() | learned).orderBy(rank.desc(), "word").limit(len(index.all) + 1 + LEARNED).collect()
+    counts = {r.term: r.n for r in got if r.term is not None}
+    n = counts.get(-1, 0) + 1
+    weight = {t: math.log(n / (counts.get(i, 0) + 1)) + 1 for i, t in enumerate(index.all)}
+    return weight | {"": math.log(n) + 1}, frozenset([r.word for r in got if r.term is None][:LEARNED])
 
 
 _made: dict = {}
 
 
-def _index(weight: dict[str, float] | None) -> Index:
-    """One index a worker process."""
-    key = None if weight is None else id(weight)
+def _index(known: tuple | None = None) -> Index:
+    """One index a worker process for each of the last statistics."""
+    key = None if known is None else id(known)
     if key not in _made:
-        if key is not None:
-            for k in [k for k in _made if k is not None]:
-                del _made[k]
-        _made[key] = (Index(weight), weight)
+        for k in [k for k in _made if k is not None and k != key]:
+            del _made[k]
+        _made[key] = (Index() if known is None else Index().weigh(*known), known)
     return _made[key][0]
 
 
-def flags(texts: list[str | None], weight: dict[str, float]) -> list[bool]:
-    """Whether each text is residue; equal texts are looked at once."""
-    index = _index(weight)
+def flags(texts: list[str | None], known: tuple) -> list[bool]:
+    """Whether each text is residue, by the ``statistics``; equal texts are looked at once."""
+    index = _index(known)
     distinct = list({t for t in texts if t and not t.isspace()})
     found = {t for t, p in zip(distinct, plain(distinct)) if index.residue(p)} if distinct else set()
     return [t in found for t in texts]
@@ -179,9 +304,9 @@ def flags(texts: list[str | None], weight: dict[str, float]) -> list[bool]:
 def residue(segments: DataFrame, id_col: str = "seg_id", text_col: str = "text") -> DataFrame:
     """(``id_col``): the rows whose text holds residue."""
     rows = segments.select(segments[id_col], segments[text_col].alias("__text")).where("__text is not null")
-    weight = segments.sparkSession.sparkContext.broadcast(weights(rows, "__text"))
+    known = segments.sparkSession.sparkContext.broadcast(statistics(rows, "__text"))
 
     def keep(ids: list, texts: list) -> dict:
-        return {id_col: list(dict.fromkeys(i for i, f in zip(ids, flags(texts, weight.value)) if f))}
+        return {id_col: list(dict.fromkeys(i for i, f in zip(ids, flags(texts, known.value)) if f))}
 
     return map_columns(spread(rows, id_col), keep, StructType([rows.schema[id_col]])).distinct()

@@ -8,8 +8,12 @@ sentences that are a text's last, and one that never ends a text (an abbreviatio
 The posteriors come from the forward-backward recursion over a text's gaps, whose states are event and no event, as the
 words before a gap reach back to an event at the gap before. Events inside a quotation count only if one follows it.
 
-The model is fitted on a bounded sample of texts (``SAMPLE``) in the order of their ids' hashes and broadcast; its size
-is bounded with the sample. All texts are split, whole.
+Where there is neither a mark nor a space that could end a sentence, every gap between two words (two characters where a
+script has no spaces) is one for a second n-gram model of the same kind, ``Inner``: it is counted over the sentences that
+the first one finds, without their marks and capitals, so it knows how sentences end and begin when nothing shows it.
+
+The model is fitted on a bounded sample of texts (``SAMPLE``, ``CHARACTERS``) by the hashes of their ids and broadcast; its
+size is bounded with the sample. All texts are split, whole.
 
 Defined results: null, empty and blank texts have no sentence and no cut; a text delivered twice is split once.
 """
@@ -28,8 +32,12 @@ from cuelight.functions.batches import map_columns, spread
 from cuelight.llm import residue
 from cuelight.llm.lookalikes import INVISIBLE, TO_LATIN, fold
 
-#: Texts that the model is fitted on, about (a share of the hashes of their ids).
-SAMPLE = 25_000
+#: Texts that the model is fitted on, about (a share of the hashes of their ids), and their characters; longer texts than LONG are
+#: split, but not learned from.
+SAMPLE, CHARACTERS, LONG = 25_000, 2_000_000, 2_000
+#: Tokens that the second model looks back on and log odds that it needs, in scripts without spaces and with them; and the least
+#: share of the places after the last words of a gap that end a sentence, for its text to be looked at.
+ORDER, SPACED, SURE, SURE_SPACED, ENDING = 5, 4, 4.0, 2.5, 0.02
 #: Weight of the shorter context in every backing off.
 BACK = 8.0
 #: Tokens before a gap that the event depends on, and after it that weigh in.
@@ -153,6 +161,109 @@ def tokens(part: str) -> list[str]:
     return ["<0>" if t[0].isdigit() else " " if t.isspace() else t for t in _token.findall(part)]
 
 
+class Inner:
+    """The hidden-event n-gram model of texts that show no boundary: P(word or event | words before), by Witten-Bell."""
+
+    def __init__(self, sentences: Counter):
+        self.counts: dict[tuple, float] = {}
+        kinds: Counter = Counter()
+        for sentence, times in sentences.items():
+            s = script(sentence)
+            order = ORDER if s in _dense else SPACED
+            words = [t for t, _, _ in self.words(sentence)]
+            if len(words) < 2:
+                continue
+            row = ["<b>", *words, "<b>"]
+            many = 1 + log(times)  # copies say a little more
+            for i in range(1, len(row)):
+                for k in range(min(order, i + 1)):
+                    key = (s, *row[i - k : i + 1])
+                    if key not in self.counts:
+                        self.counts[key] = 0.0
+                        kinds[key[:-1]] += 1
+                    self.counts[key] += many
+        totals: dict[tuple, float] = defaultdict(float)
+        for key, n in self.counts.items():
+            totals[key[:-1]] += n
+        self.after = {k: (n, kinds[k]) for k, n in totals.items()}
+        self.types = Counter(k[0] for k in self.counts if len(k) == 2)
+        # last words of which a share of at least ENDING is followed by the event
+        self.endings = {k[:-1] for k, n in self.counts.items() if k[-1] == "<b>" and len(k) == 4 and n >= ENDING * self.after[k[:-1]][0]}
+        self.memo: dict[str, list[int]] = {}
+
+    @staticmethod
+    def words(text: str) -> list[tuple[str, int, int]]:
+        """The words of a text, folded and in lower case, with their places; white space, marks and invisible characters are none."""
+        out = []
+        folded = fold(text)
+        for m in _token.finditer(folded if len(folded) == len(text) else text):
+            t = m.group()
+            if not t.isascii():
+                t = fold(t)
+            t = t.strip().lower()
+            if t and t[0] not in MARKS and t not in CLOSERS and t[0] not in "、,，「『“‘«„":
+                out.append(("<0>" if t[0].isdigit() else t, m.start(), m.end()))
+        return out
+
+    def p(self, s: str, before: tuple, word: str) -> float:
+        """P(word | words before), interpolated with shorter contexts."""
+        got = 1 / (self.types.get(s, 0) + 1000)
+        for k in range(len(before) + 1):
+            context = (s, *before[len(before) - k :])
+            seen = self.after.get(context)
+            if seen is None:
+                break
+            n, kinds = seen
+            got = (self.counts.get((*context, word), 0.0) + kinds * got) / (n + kinds)
+        return got
+
+    def cuts(self, text: str, s: str) -> list[int]:
+        """Where a sentence ends in a text that shows nothing, by the posteriors of forward-backward over all its gaps."""
+        known = self.memo.get(text)
+        if known is not None:
+            return known
+        words = self.words(text)
+        names = [w for w, _, _ in words]
+        out: list[int] = []
+        if len(words) > 3 and any((s, a, b) in self.endings for a, b in zip(names, names[1:-1])):
+            on = self.posterior(names, s)
+            for i, x in enumerate(on):
+                between = text[words[i][2] : words[i + 1][1]]
+                half = (i + 1) // 2  # the same again says nothing of its words
+                twice = names[i + 1 : i + 2] == names[i : i + 1] or half and names[i + 1 - half : i + 1] == names[i + 1 : i + 1 + half]
+                if x > (SURE if s in _dense else SURE_SPACED) and not between.strip(_i_all + " ") and not twice and names[i + 1][0] not in "ー~〜～":
+                    out.append(words[i][2])
+        if len(self.memo) > MEMO:
+            self.memo.clear()
+        self.memo[text] = out
+        return out
+
+    def posterior(self, names: list[str], s: str) -> list[float]:
+        """log odds of an event at each gap between two words; the context reaches back to an event at the gap before."""
+        back = (ORDER if s in _dense else SPACED) - 1
+        edge = ("<b>",)
+        steps = []  # log weight of the next word by (event before the last word, event before it)
+        for i in range(1, len(names)):
+            far = tuple(([*edge, *names[:i]])[-back:]) if i < back else tuple(names[max(0, i - back) : i])
+            near = (*edge, names[i - 1])
+            begin = log(self.p(s, edge, names[i]))
+            row = []
+            for before in (far, near):
+                row.append((log(self.p(s, before, names[i])), log(self.p(s, before, "<b>")) + begin))
+            steps.append(row)
+        forward, f = [], (0.0, -1e9)
+        for row in steps:
+            f = tuple(_add(f[0] + row[0][x], f[1] + row[1][x]) for x in (0, 1))
+            forward.append(f)
+        # the text ends after its last word
+        b = tuple(log(self.p(s, x, "<b>")) for x in (tuple(names[-back:]), (*edge, names[-1])))
+        out = []
+        for k in range(len(steps) - 1, -1, -1):
+            out.append(forward[k][1] + b[1] - forward[k][0] - b[0])
+            b = tuple(_add(steps[k][x][0] + b[0], steps[k][x][1] + b[1]) for x in (0, 1))
+        return out[::-1]
+
+
 class Model:
     """Counts of the hidden-event n-gram model."""
 
@@ -214,6 +325,13 @@ class Model:
                     self.kinds[k[:-1]] += 1
         self.first, self.after = dict(self.first), dict(self.after)
         self.lefts, self.rights, self.ratios = {}, {}, {}
+        self.inner = None
+        parts: Counter = Counter()
+        for t, times in copies.items():
+            at = [0, *self.cuts(t), len(t)]
+            for a, b in zip(at, at[1:]):
+                parts[t[a:b].strip()] += times
+        self.inner = Inner(parts)
 
     def starts(self, s: str, r: list[str], times: int) -> None:
         self.first[s,] += times
@@ -305,10 +423,10 @@ class Model:
     def cuts(self, text: str) -> list[int]:
         """Where a sentence ends and another follows, as characters from the start."""
         found = gaps(text)
-        if not found:
-            return []
         inner = spans(text)
         s = script(text)
+        if not found:
+            return self.unmarked(text, [], [], inner, s)
         # the gaps outside quotations, and those that close one, first
         outer = [g for g in found if not any(a < g[0] and g[1] <= b for a, b in inner)]
         on = self.posterior(text, outer, s)
@@ -320,7 +438,20 @@ class Model:
                 if a in starts and b + 1 in ends:  # the quotation is whole sentences, and an event follows it
                     within = [g for g in found if a < g[0] and g[1] < b]
                     cuts += [g for g, p in zip(within, self.posterior(text, within, s, a + 1)) if p > 0.5]
-        return sorted({g[1] for g in cuts})
+        return self.unmarked(text, sorted({g[1] for g in cuts}), found, inner, s)
+
+    def unmarked(self, text: str, cuts: list[int], found: list, inner: list, s: str) -> list[int]:
+        """``cuts`` and those that nothing shows, outside quotations and the places ``found`` that were decided."""
+        if self.inner is None:
+            return cuts
+        at, more = [0, *cuts, len(text)], []
+        shown = [g for g in found if g[3] or s in _dense]
+        decided = {g[0] for g in shown} | {g[1] for g in shown}
+        for a, b in zip(at, at[1:]):
+            for x in self.inner.cuts(text[a:b], s):
+                if a + x not in decided and not any(p < a + x <= q for p, q in inner):
+                    more.append(a + x)
+        return sorted({*cuts, *more}) if more else cuts
 
     def posterior(self, text: str, found: list, s: str, since: int = 0) -> list[float]:
         """P(event) of each gap by forward-backward; the states are no event and event."""
@@ -363,30 +494,33 @@ def _add(a: float, b: float) -> float:
     return hi + log(1 + exp(lo - hi)) if hi - lo < 50 else hi
 
 
-def fit(texts: DataFrame, id_col: str, text_col: str = "text") -> Model:
-    """The model of a bounded sample of the texts, about SAMPLE of them, copies as often as they are there."""
-    rows = texts.select(texts[id_col], texts[text_col].alias("t")).where(F.col("t").rlike("\\S"))
-    # rows whose hash lies under the share that makes SAMPLE rows of all; a count first, so that no more are sent
-    total = rows.count()
-    share = F.expr(f"pmod(xxhash64({id_col}), {1 << 40}) < {min(1.0, SAMPLE / max(total, 1))!r} * {1 << 40}")
+def fit(texts: DataFrame, id_col: str, known: tuple, text_col: str = "text") -> Model:
+    """The model of a bounded sample of the texts, copies as often as they are there; ``known`` are residue's statistics."""
+    rows = texts.select(texts[id_col], texts[text_col].alias("t")).where(F.col("t").rlike("\\S") & (F.length("t") <= LONG))
+    # rows whose hash lies under the share that makes the sample's size of all; counted first, so that no more are sent
+    total, characters = rows.agg(F.count("*"), F.coalesce(F.sum(F.length("t")), F.lit(0))).first()
+    part = min(1.0, SAMPLE / max(total, 1), CHARACTERS / max(characters, 1))
+    share = F.expr(f"pmod(xxhash64({id_col}), {1 << 40}) < {part!r} * {1 << 40}")
     sample = sorted(r.t for r in rows.where(share).select("t").limit(2 * SAMPLE).collect())
-    flagged = residue.flags(sample, {t: 1.0 for t in residue._index(None).all})
-    return Model([t for t, f in zip(sample, flagged) if not f])
+    return Model([t for t, f in zip(sample, residue.flags(sample, known)) if not f])
 
 
-def boundaries(segments: DataFrame, id_col: str = "seg_id", text_col: str = "text") -> DataFrame:
-    """(``id_col``, ``cut``): every place in a text where one sentence ends and another follows. Residue is left out."""
+def boundaries(segments: DataFrame, id_col: str = "seg_id", text_col: str = "text", of_residue: bool = False) -> DataFrame:
+    """(``id_col``, ``cut``): every place in a text where one sentence ends and another follows. Residue is split only if
+    that is wanted (``of_residue``)."""
     rows = segments.select(segments[id_col], segments[text_col].alias("__text")).where("__text is not null")
     context = segments.sparkSession.sparkContext
-    weight = context.broadcast(residue.weights(rows, "__text"))
-    model = context.broadcast(fit(rows, id_col, "__text"))
+    known = residue.statistics(rows, "__text")
+    model = context.broadcast(fit(rows, id_col, known, "__text"))
+    weight = context.broadcast(known)
 
     def split(ids: list, texts: list) -> dict:
         m = model.value
         by = {}
         distinct = list({t for t in texts if t})
-        for t, bad in zip(distinct, residue.flags(distinct, weight.value)):
-            cuts = [] if bad else m.cuts(t)
+        bad = [False] * len(distinct) if of_residue else residue.flags(distinct, weight.value)
+        for t, out in zip(distinct, bad):
+            cuts = [] if out else m.cuts(t)
             if cuts:
                 by[t] = cuts
         out = {(i, c) for i, t in zip(ids, texts) if t in by for c in by[t]}
@@ -396,9 +530,9 @@ def boundaries(segments: DataFrame, id_col: str = "seg_id", text_col: str = "tex
 
 
 def sentences(segments: DataFrame, id_col: str = "seg_id", text_col: str = "text") -> DataFrame:
-    """(``id_col``, ``sentence``, ``text``): the sentences of every text in order, numbered from 1, without outer white space."""
+    """(``id_col``, ``sentence``, ``text``): the sentences of every text in order, residue too, numbered from 1, without outer white space."""
     rows = segments.select(segments[id_col], segments[text_col].alias("text")).where("text is not null and text rlike '\\\\S'").dropDuplicates([id_col])
-    cuts = boundaries(segments, id_col, text_col).groupBy(id_col).agg(F.array_sort(F.collect_list("cut")).alias("cuts"))
+    cuts = boundaries(segments, id_col, text_col, of_residue=True).groupBy(id_col).agg(F.array_sort(F.collect_list("cut")).alias("cuts"))
     rows = rows.join(cuts, id_col, "left").withColumn("cuts", F.expr("concat(array(0L), coalesce(cuts, array()), array(cast(length(text) as bigint)))"))
     rows = rows.select(id_col, F.posexplode(F.expr("transform(sequence(2, size(cuts)), i -> substring(text, cast(cuts[i - 2] + 1 as int), cast(cuts[i - 1] - cuts[i - 2] as int)))")).alias("p", "s"))
     return rows.select(id_col, (F.col("p") + 1).alias("sentence"), F.expr("regexp_replace(s, '^\\\\s+|\\\\s+$', '')").alias("text"))

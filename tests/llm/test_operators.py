@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import random
+import re
 
 import pytest
 from hypothesis import given, settings
@@ -103,33 +104,64 @@ def test_groups_of_copies_are_paired_with_other_spellings_only(spark):
     assert lookalikes.same_look(look(spark, values), ["stem", "reel"], "id").count() == 600
 
 
-RESIDUE = ["Hello {{name}}, how are you?", "こんばんは、%(氏名)sです。", "Error 504 – Gateway Time-out.", "<h1>４０４ Not Found</h1>", "Lorem ipsum dolor sint magni", "スクリプトが無効です。設定をご確認ください。", "Plеase enable JavaScript to continue", "テキストテキストテキスト", "[INSERT date]", "本日のゲストは＜名前＞が入ります", "ダミーテキスト。", "Scripts are blocked; captions cannot load.", "ほげほげほげほげ", "Página no encontrada"]
+RESIDUE = ["Hello {{name}}, how are you?", "こんばんは、%(氏名)sです。", "Error 504 – Gateway Time-out.", "<h1>４０４ Not Found</h1>", "Lorem ipsum dolor sint magni", "スクリプトが無効です。設定をご確認ください。", "Plеase enable JavaScript to continue", "テキストテキストテキスト", "[INSERT date]", "本日のゲストは＜名前＞が入ります", "ダミーテキスト。", "Scripts are blocked; captions cannot load.", "ほげほげほげほげ", "Página no encontrada", "We laughed. {% block title %} Then we left."]
 CLEAN = ["He fixed the 500 error last night and we all cheered.", "I never learned JavaScript, to be honest.", "Curly brackets { and } go in pairs.", "The label just said {A} or {B}, not both.", "ダミー人形を車に乗せて実験した。", "404号室の鍵をください。", "ログの先頭に[INFO]と出ています。", "売上は前の週の50%(半分)です。", "見つかりませんでした、財布が。", "He kept saying lorem something in Latin class.", "The sample text in the museum was in old letters.", "Access to the tower was denied to visitors.", "Insert the coin here and wait.", "", "  ", None]
 
 
 def test_residue(spark):
-    df = segs(spark, [(0.0, 1.0, t) for t in [*RESIDUE, *CLEAN]] + [(0.0, 1.0, "語る。" * 30_000)])
+    from tests.llm.heldout_residue import SPEECH
+
+    df = segs(spark, [(0.0, 1.0, t) for t in [*RESIDUE, *CLEAN, *SPEECH * 20]] + [(0.0, 1.0, "語る。" * 30_000)])
     got = rows(residue.residue(df.unionByName(df)))
     assert sorted(got) == [(i,) for i in range(len(RESIDUE))]
     assert residue.residue(df.limit(0)).collect() == []
 
 
 def test_retrieval_loses_nothing():
-    """Retrieval by the heaviest terms against scoring every exemplar at every place."""
+    """Retrieval by the heaviest terms against scoring every exemplar at every place and in every sentence and clause."""
     index = residue.Index()
-    index.weigh({t: 1 + random.Random(i).random() * 6 for i, t in enumerate(index.all)})
+    index.weigh({t: 1 + random.Random(i).random() * 6 for i, t in enumerate([*index.all, ""])})
     r = random.Random(3)
     parts = [t for x in (RESIDUE + [c for c in CLEAN if c]) for t in residue.plain([x])[0].split()]
-    for _ in range(300):
+    for _ in range(150):
         text = " " + " ".join(r.choice(parts) for _ in range(r.randrange(1, 9))) + " "
-        hits = list(index.automaton.iter(text))
-        want = any(sum(index.weight[j] for j in {j for at, j in hits if j in own and abs(at - end) <= size}) >= residue.COVERAGE * total - 1e-9 for end, i in hits for size, own, total in index.scored if i in own)
-        words = [f" {w} " in index.filler for w in text.split()]
-        n = max(residue.FILLER_WORDS, min(len(words), 2 * residue.FILLER_WORDS))
-        want |= any(len(words[k : k + n]) >= residue.FILLER_WORDS and sum(words[k : k + n]) >= residue.COVERAGE * len(words[k : k + n]) for k in range(max(1, len(words) - n + 1)))
+        hits = index.hits(text)
+        want = any(
+            sum(index.weight[j] for j in {j for at, j in hits if j in own and abs(at - end) <= size}) >= residue.COVERAGE * total - 1e-9
+            and (not short or index.covered(residue._around(text, end), kind))
+            for end, i in hits for kind, size, own, total, short in index.same if i in own
+        )
+        every = set(range(len(index.like)))
+        want |= any(index.said_otherwise(p, every) for p in {*text.split("|"), *re.split("[|,]", text), text})
+        want |= index.fills(text) or any(map(index.typed, text.split("|")))
         assert index.residue(text) == want
 
 
+def test_residue_in_wordings_that_are_no_exemplars():
+    """Recall and precision on messages written apart from the exemplars; rare terms weigh alike."""
+    from tests.llm import heldout_residue as held
+
+    index = residue.Index()
+    index.weigh({t: 11.0 if len(t.strip()) > 3 or not t.isascii() else 4.0 for t in [*index.all, ""]} | {"": 11.0})
+
+    def found(texts):
+        return sum(map(index.residue, residue.plain(texts)))
+
+    for texts, speech, recall in ((held.RESIDUE, held.SPEECH, 0.9), (held.FRESH, held.FRESH_SPEECH, 0.85)):
+        right, wrong = found(texts), found(speech)
+        assert right >= recall * len(texts) and right >= 0.95 * (right + wrong)
+
+
+def test_filler_words_are_learned(spark):
+    """Words of no treatise that stand among filler only; a word that speech has too is none."""
+    r = random.Random(7)
+    old, new = ["lorem", "ipsum", "dolor", "magni", "fugit"], ["velorum", "quassil", "terrenda"]
+    texts = [" ".join([*r.sample(old, 3), *r.sample(new, 2), "letter"]) for _ in range(40)] + ["a letter came from the harbour"] * 10 + ["Velorum quassil terrenda velorum."]
+    df = segs(spark, [(0.0, 1.0, t) for t in texts])
+    assert residue.statistics(df)[1] >= set(new) and "letter" not in residue.statistics(df)[1]
+    assert (50,) in rows(residue.residue(df))
+
+
 def corpus():
     r = random.Random(5)
     en = ["Mr. Pell went home.", "It costs approx. 3.5 coins.", "Where did Wren go?", "Found it at last!", "“Run!” Bram said.", "She left at 6 p.m. yesterday.", "“Look. Run!” Wren said."]
@@ -156,6 +188,70 @@ def test_sentence_cuts():
     assert m.cuts("待ってくれ。​朔はまだ来ていません。") == [6] and m.cuts("") == [] and m.cuts("。。。") == [] and m.cuts(" 待ってくれ。 ") == []
 
 
+def unmarked_corpus():
+    """Sentences of several scripts, made of frames and names, each a text of its own."""
+    r = random.Random(6)
+    names = {"ja": "朔 迅 湊人 ハルカ".split(), "zh": "老葛 小砚 云岚".split(), "th": "มะลิ ตะวัน".split(), "la": "wren pell odette bram".split()}
+    frames = {
+        "ja": "{}はまだ来ていません|待ってくれ{}|{}から手紙が届いた|今日は{}人も集まったらしい|{}が望遠鏡を持って帰った|確かに{}の声が聞こえた|次は{}の番ですか|部屋の明かりが消えている|もう一度最初から説明します|{}を信じたい",
+        "zh": "{}还没有来|我想相信{}|{}把望远镜带回家了|收到了{}的信|确实听到了{}的声音|房间的灯灭了|再从头说明一遍",
+        "th": "{}ยังไม่มาเลย|ได้รับจดหมายจาก{}แล้ว|ไฟในห้องดับอยู่|ขออธิบายใหม่อีกครั้งนะ|{}เอากล้องกลับบ้าน",
+        "la": "{} has not shown up yet|a letter came from {} today|i could hear {} through the wall|somebody left the lights on|let me explain it from the start|did {} take the telescope home",
+    }
+    return {s: [f.format(n) for f in fs.split("|") for n in names[s]] for s, fs in frames.items()}, r
+
+
+def test_unmarked_texts_are_cut_between_words():
+    """All marks and capitals are gone, and in scripts without spaces every space: recall and precision by script."""
+    known, r = unmarked_corpus()
+    marks = {"ja": "。", "zh": "。", "th": " ", "la": ". "}
+    texts = []
+    for s, own in known.items():
+        for _ in range(400):
+            part = r.sample(own, r.choice([1, 2, 3]))
+            texts.append(marks[s].join(p.capitalize() for p in part) + marks[s].strip())
+    m = sentences.Model(texts)
+    for s, own in known.items():
+        found = right = true = 0
+        for _ in range(150):
+            part = r.sample(own, r.choice([1, 2, 3, 4]))
+            gap = " " if s == "la" else ""
+            want, at = set(), 0
+            for p in part[:-1]:
+                want.add(at + len(p))
+                at += len(p) + len(gap)
+            got = set(m.cuts(gap.join(part)))
+            found, right, true = found + len(got), right + len(got & want), true + len(want)
+        assert right >= 0.9 * true and right >= 0.9 * found, (s, right / true, right / found)
+
+
+def test_inner_posteriors_equal_all_paths():
+    from itertools import product
+    from math import exp, log
+
+    known, _ = unmarked_corpus()
+    inner = sentences.Inner(sentences.Counter(known["ja"]))
+    names = [t for t, _, _ in inner.words("待ってくれ朔朔を信じ")]
+    back, s, total = sentences.ORDER - 1, "ja", 0.0
+    on = [0.0] * (len(names) - 1)
+    for path in product([0, 1], repeat=len(names) - 1):
+        w = 0.0
+        for i in range(1, len(names) + 1):
+            near = i > 1 and path[i - 2]
+            far = tuple((["<b>", *names[:i]])[-back:]) if i < back else tuple(names[max(0, i - back) : i])
+            before = ("<b>", names[i - 1]) if near else far
+            if i == len(names):
+                w += log(inner.p(s, ("<b>", names[-1]) if near else tuple(names[-back:]), "<b>"))
+            elif path[i - 1]:
+                w += log(inner.p(s, before, "<b>")) + log(inner.p(s, ("<b>",), names[i]))
+            else:
+                w += log(inner.p(s, before, names[i]))
+        total += exp(w)
+        on = [o + exp(w) * x for o, x in zip(on, path)]
+    got = [1 / (1 + exp(-x)) for x in inner.posterior(names, s)]
+    assert got == pytest.approx([o / total for o in on], rel=1e-6)
+
+
 def test_posteriors_equal_all_paths():
     """Forward-backward against the sum over every sequence of events."""
     from itertools import product
@@ -183,8 +279,9 @@ def test_boundaries_of_odd_rows(spark):
     assert len(set(got)) == len(got) and not [1 for i, _ in got if len(values) - 5 <= i < len(values) - 1]
     assert len([1 for i, _ in got if i == len(values) - 1]) == 4999
     assert sentences.boundaries(df.limit(0)).collect() == []
-    one = rows(sentences.sentences(df.where("seg_id < 3 or text = ''")))
+    one = rows(sentences.sentences(df.where("seg_id < 3 or text = '' or text like '{{%'")))
     assert one and all(t == t.strip() and t for _, _, t in one)
+    assert [t for i, _, t in one if i == len(values) - 2] == ["{{name}}です。", "待ってくれ。"]
 
 
 CUE = "cue_id bigint, stem string, reel bigint, start_s double, end_s double, text string, ruby array<string>, id string, who string, block int"
