@@ -15,7 +15,7 @@ allowed piece, the overlap shrinks to the other half.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 #: Marks that end a sentence, closers that may follow them, and marks that end a clause.
@@ -32,7 +32,7 @@ def boundary_pattern(size: str) -> str:
     strong = f"(?<=[{ENDS}][{closers}]{{0,3}}\\s{{0,4}}|[.!?][{closers}]{{0,3}}\\s{{1,4}}|\\n{{1,4}})(?![{ENDS}{closers}\\s])"
     weak = [f"(?<=[{CLAUSES}]\\s{{0,4}})(?![{CLAUSES}\\s])", "(?<=\\s)(?!\\s)", "(?![\\p{M}\\u200d\\ufe00-\\ufe0f])", ""]
     parts = [f"concat('.{{1,', {size}, '}}{text(b)}')" for b in (strong, *weak)]
-    rest = f"concat('.{{1,', {size}, '}}$')"
+    rest = f"concat('.{{1,', {size}, '}}\\\\z')"
     return "concat('(?s)', concat_ws('|', " + ", ".join([rest, *parts]) + "))"
 
 
@@ -51,21 +51,22 @@ def pieces(segments: DataFrame, limits: DataFrame) -> DataFrame:
     s = s.withColumn("__most", F.expr("case when __t > __ms then least(__chars, __ms * __n div __t) else __chars end"))
     s = s.withColumn("__back", F.expr("least(coalesce(__overlap, 0), __most div 2)")).withColumn("__step", F.expr("__most - __back"))
     s = s.withColumn("__parts", F.expr(f"case when __n > 0 and __step > 0 then regexp_extract_all(text, {boundary_pattern('__step')}, 0) else array() end"))
-    lengths = "transform(__parts, p -> cast(char_length(p) as bigint))"
-    s = s.withColumn("__ends", F.expr(f"aggregate({lengths}, cast(array(0) as array<bigint>), (a, x) -> concat(a, array(element_at(a, -1) + x)))"))
-    cut = F.expr(
-        "transform(__parts, (p, i) -> named_struct('piece', i + 1, 'offset', greatest(__ends[i] - __back, 0L), 'end', __ends[i + 1]))"
-    )
-    even = F.expr(
-        "transform(sequence(1, cast(ceil(__t / __ms) as int)), i -> named_struct('piece', i, 'offset', case when i = 1 then 0L else __n end, 'end', __n))"
-    )
-    s = s.withColumn("__even", F.expr("__step < 1 or __n = 0")).withColumn("x", F.explode(F.when(F.col("__even"), even).otherwise(cut)))
-    share = "__a + (case when __even then (x.piece - {0}) * __t div cast(ceil(__t / __ms) as int) else {1} * __t div __n end)"
+    s = s.withColumn("__even", F.expr("__step < 1 or __n = 0"))
+    # the look-back of every part: the end of the part before, or of as many parts as the overlap has characters
+    near = "case when i = 0 or __back = 0 then '' when char_length(__parts[i - 1]) >= __back then right(__parts[i - 1], cast(__back as int))"
+    far = "right(array_join(slice(__parts, cast(greatest(i - __back, 0L) as int) + 1, cast(least(i, __back) as int)), ''), cast(__back as int)) end"
+    parts = F.expr(f"transform(__parts, (p, i) -> named_struct('back', {near} else {far}, 'new', p))")
+    even = F.expr("transform(sequence(1, cast(ceil(__t / __ms) as int)), i -> named_struct('back', '', 'new', case when i = 1 then text else substring(text, 1, 0) end))")
+    s = s.select("seg_id", "__a", "__t", "__ms", "__n", "__even", F.posexplode(F.when(F.col("__even"), even).otherwise(parts)).alias("i", "x"))
+    upto = Window.partitionBy("seg_id").orderBy("i").rowsBetween(Window.unboundedPreceding, 0)
+    s = s.withColumn("piece", F.col("i") + 1).withColumn("__end", F.sum(F.coalesce(F.char_length("x.new"), F.lit(0))).over(upto).cast("bigint"))
+    s = s.withColumn("offset", F.expr("__end - coalesce(char_length(x.new), 0) - char_length(x.back)"))
+    share = "__a + (case when __even then (piece - {0}) * __t div cast(ceil(__t / __ms) as int) else {1} * __t div __n end)"
     return s.select(
         "seg_id",
-        F.col("x.piece").alias("piece"),
-        F.col("x.offset").alias("offset"),
-        F.expr("substring(text, cast(x.offset + 1 as int), cast(x.end - x.offset as int))").alias("text"),
-        F.expr(share.format(1, "x.offset")).alias("start_ms"),
-        F.expr(share.format(0, "x.end")).alias("end_ms"),
+        "piece",
+        "offset",
+        F.expr("case when x.new is not null then concat(x.back, x.new) end").alias("text"),
+        F.expr(share.format(1, "offset")).alias("start_ms"),
+        F.expr(share.format(0, "__end")).alias("end_ms"),
     )

@@ -71,6 +71,28 @@ def test_pieces_of_a_very_long_text(spark):
     assert max(len(r.text) for r in got) == 80 + 20 and sum(len(r.text) for r in got) - 20 * (len(got) - 1) == 30_000
 
 
+def test_pieces_take_time_in_proportion(spark):
+    """Four times the text takes about four times as long, and the last piece is no lone line end."""
+    import time
+
+    took = []
+    for n in (25_000, 100_000, 400_000):
+        df = segs(spark, [(0.0, 1.0, "語る。また" * (n // 5) + "\n")]).cache()
+        df.count()
+        began = time.time()
+        got = pieces.pieces(df, limits(spark, 80, 10**9, 20)).selectExpr("sum(length(text))", "min(length(text))").first()
+        took.append(time.time() - began)
+        assert got[0] > n and got[1] > 1
+    assert took[2] < 8 * max(took[1], 0.5)
+
+
+def test_pieces_look_back_over_several_parts(spark):
+    text = "a\nb\nc\nd\ne\nf\ng\n" * 3
+    own = sorted(pieces.pieces(segs(spark, [(0.0, 1.0, text)]), limits(spark, 8, 10**9, 4)).collect())
+    for x, y in zip(own, own[1:]):
+        assert x.offset + len(x.text) - y.offset == min(4, x.offset + len(x.text)) and text[y.offset :].startswith(y.text)
+
+
 LOOK = "stem string, reel bigint, id bigint, text string, look string, raw int, usual string"
 
 
