@@ -68,8 +68,8 @@ SPOKEN = (
 
 
 def merged(source: str, keys: str, name: str = "mrg", where: str = "a < b") -> str:
-    """SQL of the union of spans (keys, a, b) of ``source``."""
+    """SQL of the union of spans (keys, a, b) of ``source``; equal spans count once, as two windows may take ties in two orders."""
     over = f"over (partition by {keys} order by a, b"
-    return f"""{name}0 as (select {keys}, a, b, max(b) {over} rows between unbounded preceding and 1 preceding) m from {source} where {where}),
+    return f"""{name}0 as (select {keys}, a, b, max(b) {over} rows between unbounded preceding and 1 preceding) m from (select distinct {keys}, a, b from {source} where {where})),
 {name}1 as (select *, sum(case when m is null or a > m then 1 else 0 end) {over} rows unbounded preceding) k from {name}0),
 {name} as (select {keys}, min(a) a, max(b) b from {name}1 group by {keys}, k)"""

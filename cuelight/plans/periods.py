@@ -18,7 +18,7 @@ QUERIES = {"p5_found": p5_found}
 
 SQL = {
     "p5_found": """
-with s as (select config, stem, reel, cast(round(start_s * 1000) as bigint) a, cast(round(end_s * 1000) as bigint) b
+with s as (select distinct config, stem, reel, cast(round(start_s * 1000) as bigint) a, cast(round(end_s * 1000) as bigint) b
            from segments where start_s is not null and end_s > start_s),
 r as (select *, max(b) over (partition by config, stem, reel order by a, b rows between unbounded preceding and 1 preceding) m from s where a < b),
 i as (select *, sum(case when m is null or a > m then 1 else 0 end) over (partition by config, stem, reel order by a, b rows unbounded preceding) k from r),
