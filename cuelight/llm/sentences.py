@@ -58,6 +58,8 @@ _alnum = re.compile("[0-9A-Za-z０-９Ａ-Ｚａ-ｚ]")
 _spaceless = re.compile("[ぁ-ヿ一-鿿㐀-䶿々豈-﫿ｦ-ﾟ⺀-⿕฀-๿]")
 _word = "A-Za-zªµºÀ-ÖØ-öø-ʯ̀-ͯͰ-ԯḀ-ỿऀ-ॣ॰-ॿᄀ-ᇿ가-힣"
 _token = re.compile(f"[0-9]+(?:[.:,][0-9]+)*|[{_word}]+(?:'[{_word}]+)*|\\s+|[。.!?…।]+|.", re.S)
+_number = re.compile("[0-9]+(?:[.:,][0-9]+)*")
+_tail = MARKS + CLOSERS + " \t\n\r　"
 _quote = re.compile("[「」｢｣『』“”‘’«»„\"]")
 _scripts = (("th", re.compile("[฀-๿]")), ("ko", re.compile("[ᄀ-ᇿ가-힣]")), ("hi", re.compile("[ऀ-ॿ]")), ("ja", re.compile("[ぁ-ヿｦ-ﾟ]")), ("zh", re.compile("[一-鿿⺀-⿕豈-﫿]")))
 
@@ -187,10 +189,33 @@ class Inner:
             totals[key[:-1]] += n
         self.after = {k: (n, kinds[k]) for k, n in totals.items()}
         self.types = Counter(k[0] for k in self.counts if len(k) == 2)
-        # last words of which a share of at least ENDING is followed by the event
-        self.endings = {k[:-1] for k, n in self.counts.items() if k[-1] == "<b>" and len(k) == 4 and n >= ENDING * self.after[k[:-1]][0]}
+        # pairs of last words of which a share of at least ENDING is followed by the event, as they stand in a text
+        endings = [k[:-1] for k, n in self.counts.items() if k[-1] == "<b>" and len(k) == 4 and n >= ENDING * self.after[k[:-1]][0]]
+        self.endings = {("" if s in _dense else " ").join(pair) for s, *pair in endings if "<b>" not in pair}
         self.memo: dict[str, list[int]] = {}
 
+    def search(self):
+        """The automaton of the endings, one a worker process."""
+        import ahocorasick
+
+        if self.automaton is None:
+            self.automaton = ahocorasick.Automaton()
+            for e in self.endings:
+                self.automaton.add_word(e.replace("<0>", "0"), len(e))
+            self.automaton.make_automaton()
+        return self.automaton
+
+    automaton = None
+
+    def __getstate__(self) -> dict:
+        return {k: v for k, v in self.__dict__.items() if k != "automaton"} | {"memo": {}}
+
+    def may_end(self, text: str) -> bool:
+        """Whether a pair of words that ends sentences stands before the end of a text."""
+        t = _number.sub("0", (text if text.isascii() else fold(text)).lower()).rstrip(_tail)
+        last = len(t) - 1
+        return any(end < last for end, _ in self.search().iter(t)) if self.endings else False
+
     @staticmethod
     def words(text: str) -> list[tuple[str, int, int]]:
         """The words of a text, folded and in lower case, with their places; white space, marks and invisible characters are none."""
@@ -222,12 +247,14 @@ class Inner:
         known = self.memo.get(text)
         if known is not None:
             return known
-        words = self.words(text)
-        names = [w for w, _, _ in words]
         out: list[int] = []
-        if len(words) > 3 and any((s, a, b) in self.endings for a, b in zip(names, names[1:-1])):
-            on = self.posterior(names, s)
-            for i, x in enumerate(on):
+        words = self.words(text) if self.may_end(text) else []
+        names = [w for w, _, _ in words]
+        glue = "" if s in _dense else " "
+        places = [i for i in range(1, len(names) - 1) if names[i - 1] + glue + names[i] in self.endings]
+        if places:
+            on = self.posterior(names, s, places)
+            for i, x in zip(places, on):
                 between = text[words[i][2] : words[i + 1][1]]
                 half = (i + 1) // 2  # the same again says nothing of its words
                 twice = names[i + 1 : i + 2] == names[i : i + 1] or half and names[i + 1 - half : i + 1] == names[i + 1 : i + 1 + half]
@@ -238,30 +265,44 @@ class Inner:
         self.memo[text] = out
         return out
 
-    def posterior(self, names: list[str], s: str) -> list[float]:
-        """log odds of an event at each gap between two words; the context reaches back to an event at the gap before."""
+    def posterior(self, names: list[str], s: str, places: list[int]) -> list[float]:
+        """log odds of an event behind each of the words ``places``, of which no other has one (the search's beam); the
+        context reaches back to an event at the gap before. What all paths share is left out."""
         back = (ORDER if s in _dense else SPACED) - 1
         edge = ("<b>",)
-        steps = []  # log weight of the next word by (event before the last word, event before it)
-        for i in range(1, len(names)):
-            far = tuple(([*edge, *names[:i]])[-back:]) if i < back else tuple(names[max(0, i - back) : i])
-            near = (*edge, names[i - 1])
-            begin = log(self.p(s, edge, names[i]))
+        open_ = set(places)
+        steps = {}  # log weight of the word behind a gap, or of the end, by (event at the gap before, event at this gap)
+
+        def context(i: int) -> tuple:
+            return tuple((([*edge] if i < back else []) + names[max(0, i - back) : i])[-back:])
+
+        for i in range(1, len(names) + 1):
+            here, before = i - 1 in open_, i - 2 in open_
+            if not (here or before):
+                continue
+            word = names[i] if i < len(names) else "<b>"
             row = []
-            for before in (far, near):
-                row.append((log(self.p(s, before, names[i])), log(self.p(s, before, "<b>")) + begin))
-            steps.append(row)
-        forward, f = [], (0.0, -1e9)
-        for row in steps:
-            f = tuple(_add(f[0] + row[0][x], f[1] + row[1][x]) for x in (0, 1))
-            forward.append(f)
-        # the text ends after its last word
-        b = tuple(log(self.p(s, x, "<b>")) for x in (tuple(names[-back:]), (*edge, names[-1])))
-        out = []
-        for k in range(len(steps) - 1, -1, -1):
-            out.append(forward[k][1] + b[1] - forward[k][0] - b[0])
-            b = tuple(_add(steps[k][x][0] + b[0], steps[k][x][1] + b[1]) for x in (0, 1))
-        return out[::-1]
+            for c in (context(i), (*edge, names[i - 1])) if before else (context(i),):
+                on = log(self.p(s, c, "<b>")) + log(self.p(s, edge, word)) if here else -1e9
+                row.append((log(self.p(s, c, word)), on))
+            steps[i - 1] = row
+        order = sorted(steps)
+        forward, f, last = {}, (0.0, -1e9), -2
+        for k in order:
+            row = steps[k]
+            if k - 1 != last:
+                f = (_add(*f), -1e9)
+            f = tuple(_add(f[0] + row[0][x], f[1] + row[1][x]) if len(row) > 1 else f[0] + row[0][x] for x in (0, 1))
+            forward[k], last = f, k
+        out, b, after = {}, (0.0, 0.0), None
+        for k in reversed(order):
+            if after != k + 1:
+                b = (_add(*b) if after is not None and len(steps[after]) == 1 else b[0],) * 2
+            out[k] = forward[k][1] + b[1] - forward[k][0] - b[0]
+            row = steps[k]
+            b = tuple(_add(r[0] + b[0], r[1] + b[1]) for r in (row if len(row) > 1 else row * 2))
+            after = k
+        return [out[i] for i in places]
 
 
 class Model:

@@ -247,31 +247,33 @@ def test_unmarked_texts_are_cut_between_words():
         assert right >= 0.9 * true and right >= 0.9 * found, (s, right / true, right / found)
 
 
-def test_inner_posteriors_equal_all_paths():
+@pytest.mark.parametrize("places", [[0, 1, 2, 3, 4, 5, 6, 7], [1, 2, 5], [4], [7], [0, 3, 4, 7]])
+def test_inner_posteriors_equal_all_paths(places):
     from itertools import product
     from math import exp, log
 
     known, _ = unmarked_corpus()
     inner = sentences.Inner(sentences.Counter(known["ja"]))
-    names = [t for t, _, _ in inner.words("待ってくれ朔朔を信じ")]
+    names = [t for t, _, _ in inner.words("待ってくれ朔朔を信")]
     back, s, total = sentences.ORDER - 1, "ja", 0.0
-    on = [0.0] * (len(names) - 1)
-    for path in product([0, 1], repeat=len(names) - 1):
+    on = [0.0] * len(names)
+    for path in product([0, 1], repeat=len(places)):
+        event = dict(zip(places, path))
         w = 0.0
         for i in range(1, len(names) + 1):
-            near = i > 1 and path[i - 2]
             far = tuple((["<b>", *names[:i]])[-back:]) if i < back else tuple(names[max(0, i - back) : i])
-            before = ("<b>", names[i - 1]) if near else far
+            before = ("<b>", names[i - 1]) if event.get(i - 2) else far
             if i == len(names):
-                w += log(inner.p(s, ("<b>", names[-1]) if near else tuple(names[-back:]), "<b>"))
-            elif path[i - 1]:
+                w += log(inner.p(s, before, "<b>"))
+            elif event.get(i - 1):
                 w += log(inner.p(s, before, "<b>")) + log(inner.p(s, ("<b>",), names[i]))
             else:
                 w += log(inner.p(s, before, names[i]))
         total += exp(w)
-        on = [o + exp(w) * x for o, x in zip(on, path)]
-    got = [1 / (1 + exp(-x)) for x in inner.posterior(names, s)]
-    assert got == pytest.approx([o / total for o in on], rel=1e-6)
+        for i, x in event.items():
+            on[i] += exp(w) * x
+    got = [1 / (1 + exp(-x)) for x in inner.posterior(names, s, places)]
+    assert got == pytest.approx([on[i] / total for i in places], rel=1e-6)
 
 
 def test_posteriors_equal_all_paths():
