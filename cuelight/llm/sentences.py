@@ -37,7 +37,7 @@ from cuelight.llm.lookalikes import INVISIBLE, TO_LATIN, fold
 SAMPLE, CHARACTERS, LONG = 25_000, 2_000_000, 2_000
 #: Tokens that the second model looks back on and log odds that it needs, in scripts without spaces and with them; and the least
 #: share of the places after the last words of a gap that end a sentence, for its text to be looked at.
-ORDER, SPACED, SURE, SURE_SPACED, ENDING = 5, 4, 4.0, 2.5, 0.02
+ORDER, SPACED, SURE, SURE_SPACED, ENDING = 5, 4, 4.0, 2.5, 0.05
 #: Weight of the shorter context in every backing off.
 BACK = 8.0
 #: Tokens before a gap that the event depends on, and after it that weigh in.
@@ -58,7 +58,7 @@ _alnum = re.compile("[0-9A-Za-z０-９Ａ-Ｚａ-ｚ]")
 _spaceless = re.compile("[ぁ-ヿ一-鿿㐀-䶿々豈-﫿ｦ-ﾟ⺀-⿕฀-๿]")
 _word = "A-Za-zªµºÀ-ÖØ-öø-ʯ̀-ͯͰ-ԯḀ-ỿऀ-ॣ॰-ॿᄀ-ᇿ가-힣"
 _token = re.compile(f"[0-9]+(?:[.:,][0-9]+)*|[{_word}]+(?:'[{_word}]+)*|\\s+|[。.!?…।]+|.", re.S)
-_number = re.compile("[0-9]+(?:[.:,][0-9]+)*")
+_zeros = dict.fromkeys(range(49, 58), "0")
 _tail = MARKS + CLOSERS + " \t\n\r　"
 _quote = re.compile("[「」｢｣『』“”‘’«»„\"]")
 _scripts = (("th", re.compile("[฀-๿]")), ("ko", re.compile("[ᄀ-ᇿ가-힣]")), ("hi", re.compile("[ऀ-ॿ]")), ("ja", re.compile("[ぁ-ヿｦ-ﾟ]")), ("zh", re.compile("[一-鿿⺀-⿕豈-﫿]")))
@@ -212,9 +212,13 @@ class Inner:
 
     def may_end(self, text: str) -> bool:
         """Whether a pair of words that ends sentences stands before the end of a text."""
-        t = _number.sub("0", (text if text.isascii() else fold(text)).lower()).rstrip(_tail)
+        t = (text if text.isascii() else fold(text)).lower().translate(_zeros).rstrip(_tail)
         last = len(t) - 1
-        return any(end < last for end, _ in self.search().iter(t)) if self.endings else False
+        if not self.endings:
+            return False
+        for end, _ in self.search().iter(t):
+            return end < last  # the first one decides
+        return False
 
     @staticmethod
     def words(text: str) -> list[tuple[str, int, int]]:
