@@ -56,6 +56,11 @@ _words = re.compile("[a-zß-öø-ɏḀ-ỿ]+(?:'[a-z]+)?|[ァ-ヺー]{2,}|[一-
 _next = re.compile("[ぁ-ゖ]{2}")
 
 
+#: Hashes that a worker remembers; results do not depend on it.
+HASHES = 500_000
+_hashes: dict[str, int] = {}
+
+
 def terms(text: str) -> tuple[str, Counter]:
     """The language group of a folded text in lower case and its terms: words and pairs of words, pairs of characters in
     runs of kanji, four characters of Thai, Korean words without their last syllable."""
@@ -99,11 +104,19 @@ def edges(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     schema = StructType([rows.schema["doc"], StructField("lang", StringType()), StructField("terms", ArrayType(LongType())), StructField("times", ArrayType(IntegerType()))])
 
     def batch(docs: list, texts: list) -> dict:
+        known = _hashes
+
+        def remember(term: str) -> int:
+            if len(known) >= HASHES:
+                known.clear()
+            known[term] = xxhash.xxh3_64_intdigest(term) - (1 << 63)
+            return known[term]
+
         out: dict = {"doc": docs, "lang": [], "terms": [], "times": []}
         for text in fold_all(texts):
             lang, found = terms(text.lower())
             out["lang"].append(lang)
-            out["terms"].append([xxhash.xxh3_64_intdigest(t) - (1 << 63) for t in found])
+            out["terms"].append([known.get(t) or remember(t) for t in found])
             out["times"].append([min(n, TIMES) for n in found.values()])
         return out
 
