@@ -2,8 +2,9 @@
 
 Widths, combining marks, spaces and invisible characters are folded for whole Arrow batches at once. Look-alike letters
 are repaired by script: the dominant script of a token is that of its letters that have no twin in the other script; the
-twins in such a mixed token are put into it, but only if the word that results exists in the corpus, unmixed. Tokens
-of twins alone follow the dominant script of their text. The vocabulary is never held in one place: the words that
+twins in such a mixed token are put into it, but only if the word that results exists in the corpus, unmixed. A token
+of twins alone is mixed with the text that it stands in, if that is dominated by another script; a text of such tokens only
+stays as it is. The vocabulary is never held in one place: the words that
 repairs would give are joined with the words of the corpus.
 
 Defined results: a null text stays null; a text of nothing but space and invisible characters becomes empty; repeated rows
@@ -25,14 +26,18 @@ from pyspark.sql.types import ArrayType, BinaryType, StringType, StructField, St
 from cuelight.functions.batches import map_columns
 from cuelight.session import cut
 
-#: Letters of other scripts and the Latin letters that look the same.
-TO_LATIN = dict(zip("аеосрухіјѕһԁԛԝвАВЕКМНОРСТХІЅЈУΑΒΕΖΗΙΚΜΝΟΡΤΥΧοανυ", "aeocpyxijshdqwBABEKMHOPCTXISJYABEZHIKMNOPTYXoavu"))
-del TO_LATIN["в"], TO_LATIN["α"], TO_LATIN["υ"]  # these are seen to differ
+#: Cyrillic and Greek letters and the Latin letters that look the same in common type; letters that are
+#: seen to differ (a Greek alpha, a Cyrillic ve in small) are none.
+TO_LATIN = dict(zip("аеосрухіјѕһԁԛԝӏүАВЕКМНОРСТХІЅЈУҮӀԚԜҺ", "aeocpyxijshdqwlyABEKMHOPCTXISJYYIQWH")) | dict(zip("ονιϲϳΑΒΕΖΗΙΚΜΝΟΡΤΥΧϹϿ", "ovicjABEZHIKMNOPTYXCJ"))
+del TO_LATIN["ι"], TO_LATIN["Ͽ"]  # an iota has no dot, and the last one is turned
 #: Kanji, kana and dashes and the katakana that look the same.
 TO_KATAKANA = dict(zip("口力夕卜二工八一―りへべぺ", "ロカタトニエハーーリヘベペ"))
 #: Characters without a shape of their own.
 INVISIBLE = "­͏؜ᅟᅠ឴឵᠋-᠏​-‏‪-‮⁠-⁯︀-️﻿\U000e0001-\U000e007f\U000e0100-\U000e01ef"
 
+#: Rows of one lot of a class that looks the same.
+LOT = 1_000
+
 _invisible = re.compile(f"[{INVISIBLE}]+")
 _space = re.compile("[    -   　]")
 _dash = re.compile("[‐‑−]")
@@ -41,6 +46,7 @@ _blocks = re.compile("([ª²³¹º¼-¾ʰ-˿ᴀ-ᶿ⁰-₟℀-⅏⅐-↏①-⓿
 _differ = ("<circle>", "<super>", "<sub>", "<fraction>", "<square>", "<font>")
 _letters = "A-Za-zªµºÀ-ÖØ-öø-ɏḀ-ỿ"
 _other = "Ͱ-ϿЀ-ԯ"
+_elsewhere = re.compile("[ぁ-ヿ一-鿿가-힣฀-๿ऀ-ॿ]")
 _twins = "".join(TO_KATAKANA)
 _latin_word = re.compile(f"[{_letters}{_other}]+")
 _kana_word = re.compile(f"[ァ-ヺー{_twins}]+")
@@ -79,13 +85,15 @@ def repairs(folded: str) -> Iterator[tuple[int, int, list[tuple[int, int, str]]]
     if re.search(f"[{_other}]", folded):
         plain = sum(c not in _latin_twin for w in re.findall(f"[{_letters}]+", folded) for c in w)
         other = sum(c not in TO_LATIN for w in re.findall(f"[{_other}]+", folded) for c in w)
+        elsewhere = _elsewhere.search(folded)
         for m in _latin_word.finditer(folded):
             w = m.group()
             if _clean.fullmatch(w) and re.fullmatch(f"[{_letters}]+", w):
                 continue
             latin = sum(c not in _latin_twin and c not in TO_LATIN and not "Ͱ" <= c <= "ԯ" for c in w)
             strange = sum("Ͱ" <= c <= "ԯ" and c not in TO_LATIN for c in w)
-            if strange == 0 and (latin or plain > other or other == 0):
+            mixed = len({"l" if c < "Ͱ" or c >= "Ḁ" else "g" if c < "Ѐ" else "c" for c in w}) > 1
+            if strange == 0 and (latin or mixed or plain > other or (elsewhere and other == plain == 0)):
                 yield m.start(), m.end(), [(m.start(), m.end(), "".join(TO_LATIN.get(c, c) for c in w))]
             elif strange and not latin and re.search(f"[{_letters}]", w):
                 yield m.start(), m.end(), [(m.start(), m.end(), "".join(_from_latin.get(c, c) for c in w))]
@@ -171,13 +179,8 @@ def _canonical(texts: DataFrame, keys: list[str], text_col: str) -> DataFrame:
     return plain.unionByName(map_columns(tried, repair_batch, out_schema))
 
 
-def same_look(texts: DataFrame, group: list[str], id_col: str, text_col: str = "text") -> DataFrame:
-    """(group, ``id_a``, ``id_b``): pairs of rows of a group whose texts look the same and are not the same characters.
-
-    Rows are first gathered into classes of one spelling; only groups with two spellings or more are joined, each row of a
-    spelling that is not its group's most frequent one with the rows of the other spellings, so groups of copies cost
-    nothing and every row that is joined is in a pair. Rows with a null in the group's columns are in no group.
-    """
+def spellings(texts: DataFrame, group: list[str], id_col: str, text_col: str = "text") -> DataFrame:
+    """(group, ``id_col``, ``look``, ``raw``): digests of the form and of the characters of every text that is not blank."""
     rows = _canonical(texts, [*group, id_col], text_col)
     fields = [rows.schema[k] for k in (*group, id_col)]
     schema = StructType([*fields, StructField("look", BinaryType()), StructField("raw", BinaryType())])
@@ -188,12 +191,37 @@ def same_look(texts: DataFrame, group: list[str], id_col: str, text_col: str = "
         out = {n: [c[i] for i in keep] for n, c in zip([*group, id_col], keys)}
         return out | {"look": [digest(form[i]) for i in keep], "raw": [digest(text[i].strip()) for i in keep]}
 
-    rows = cut(map_columns(rows, digests, schema))
+    return map_columns(rows, digests, schema)
+
+
+def look_classes(texts: DataFrame, group: list[str], id_col: str, text_col: str = "text") -> DataFrame:
+    """(group, ``id_col``, ``class_id``, ``spelling_id``): every text's class of one look and its spelling in it, each named by
+    its smallest id. Copies and pairs are not expanded; a class is one if it has one ``class_id``, and rows of it with another
+    ``spelling_id`` are written with other characters. Rows with a null in the group's columns are in no class."""
+    rows = cut(spellings(texts, group, id_col, text_col).dropna(subset=group).distinct())
+    own = rows.groupBy(*group, "look", "raw").agg(F.min(id_col).alias("spelling_id"))
+    classes = own.groupBy(*group, "look").agg(F.min("spelling_id").alias("class_id"))
+    named = own.join(classes, [*group, "look"])
+    return rows.join(named, [*group, "look", "raw"]).select(*group, id_col, "class_id", "spelling_id")
+
+
+def same_look(texts: DataFrame, group: list[str], id_col: str, text_col: str = "text") -> DataFrame:
+    """(group, ``id_a``, ``id_b``): pairs of rows of a group whose texts look the same and are not the same characters.
+
+    Rows are first gathered into classes of one spelling; only groups with two spellings or more are joined, each row of a
+    spelling that is not its group's most frequent one with the rows of the other spellings, so groups of copies cost
+    nothing and every row that is joined is in a pair. Large classes are salted: their rows are spread in lots of ``LOT``, to
+    each of which the rows of unusual spellings go. ``look_classes`` gives the same without any pair. Rows with a null in the
+    group's columns are in no group.
+    """
+    rows = cut(spellings(texts, group, id_col, text_col))
     look = [*group, "look"]
     spelt = rows.groupBy(*look, "raw").agg(F.count("*").alias("n"))
-    varied = spelt.groupBy(*look).agg(F.max_by("raw", F.struct("n", "raw")).alias("usual"), F.count("*").alias("spellings"))
-    rows = rows.join(varied.where("spellings > 1").select(*look, "usual"), look)
-    a = rows.select(*look, F.col(id_col).alias("a"), F.col("raw").alias("raw_a"), F.expr("raw = usual").alias("usual_a"))
-    b = rows.where("raw <> usual").select(*look, F.col(id_col).alias("b"), F.col("raw").alias("raw_b"))
-    pairs = a.join(b, look).where("raw_a <> raw_b and a <> b and (usual_a or a < b)")
+    varied = spelt.groupBy(*look).agg(F.max_by("raw", F.struct("n", "raw")).alias("usual"), F.count("*").alias("spellings"), F.sum("n").alias("n"))
+    varied = varied.where("spellings > 1").select(*look, "usual", F.ceil(F.col("n") / LOT).cast("int").alias("lots"))
+    rows = rows.join(varied, look)
+    lot = F.pmod(F.xxhash64(id_col), F.col("lots")).cast("int")
+    a = rows.select(*look, lot.alias("lot"), F.col(id_col).alias("a"), F.col("raw").alias("raw_a"), F.expr("raw = usual").alias("usual_a"))
+    b = rows.where("raw <> usual").select(*look, F.explode(F.sequence(F.lit(0), F.col("lots") - 1)).alias("lot"), F.col(id_col).alias("b"), F.col("raw").alias("raw_b"))
+    pairs = a.join(b, [*look, "lot"]).where("raw_a <> raw_b and a <> b and (usual_a or a < b)")
     return pairs.select(*group, F.least("a", "b").alias("id_a"), F.greatest("a", "b").alias("id_b")).distinct()

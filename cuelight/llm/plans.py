@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-
 from pyspark.sql import functions as F
 
 from cuelight.llm import bpe, lookalikes, mixing, pieces, residue, sentences, subjects, turns
@@ -37,6 +36,13 @@ def p3_canonical(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lookalikes.canonical(_captions(spark, sf_dir), ["tab", "id"]).select("tab", "id", "canonical")
 
 
+def p3_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The rows of classes of one look that are written in several ways, with their class and spelling."""
+    rows = lookalikes.look_classes(_captions(spark, sf_dir), ["tab", "stem", "reel"], "id")
+    varied = rows.where("spelling_id <> class_id").select("tab", "stem", "reel", "class_id").distinct()
+    return rows.join(varied, ["tab", "stem", "reel", "class_id"], "left_semi").select("tab", "id", "class_id", "spelling_id")
+
+
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sentences.boundaries(table(spark, sf_dir, "segments"))
 
@@ -69,7 +75,7 @@ def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return subjects.subjects(table(spark, sf_dir, "documents"), table(spark, sf_dir, "area_labels"), table(spark, sf_dir, "subject_areas"))
 
 
-QUERIES = {"p1_found": p1_found, "p2_found": p2_found, "p2_pieces": p2_pieces, "p3_found": p3_found, "p3_canonical": p3_canonical, "p4_found": p4_found, "p4_sentences": p4_sentences, "p6_found": p6_found, "p6_turns": p6_turns, "p7_ids": p7_ids, "p8_mixture": p8_mixture, "p8_shares": p8_shares, "p9_found": p9_found}
+QUERIES = {"p1_found": p1_found, "p2_found": p2_found, "p2_pieces": p2_pieces, "p3_found": p3_found, "p3_canonical": p3_canonical, "p3_classes": p3_classes, "p4_found": p4_found, "p4_sentences": p4_sentences, "p6_found": p6_found, "p6_turns": p6_turns, "p7_ids": p7_ids, "p8_mixture": p8_mixture, "p8_shares": p8_shares, "p9_found": p9_found}
 
 SQL = {
     "p2_found": """

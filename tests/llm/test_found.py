@@ -75,6 +75,14 @@ def test_pairs_look_the_same_and_all_are_found(spark, data):
     assert {tuple(r) for r in plans.QUERIES["p3_found"](spark, data).collect()} == want
 
 
+def test_classes_expand_to_the_pairs(spark, data):
+    own = defaultdict(list)
+    for r in plans.QUERIES["p3_classes"](spark, data).collect():
+        own[r.tab, r.class_id].append((r.id, r.spelling_id))
+    want = {(tab, min(a, b), max(a, b)) for (tab, _), rows in own.items() for a, x in rows for b, y in rows if a < b and x != y}
+    assert want and {tuple(r) for r in plans.QUERIES["p3_found"](spark, data).collect()} == want
+
+
 def test_ids_decode_to_the_texts(spark, data):
     texts = {r.doc_id: r.text for r in read(spark, data, "documents").collect()}
     e = bpe.Encoder(open(bpe.VOCABULARY, "rb").read())

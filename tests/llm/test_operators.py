@@ -121,6 +121,16 @@ def test_repairs_of_both_kinds_in_one_text():
     assert lookalikes.repair("単体テス卜 vеr.1 テス卜 Νо.2", words) == "単体テスト ver.1 テスト No.2"
 
 
+def test_words_of_one_script_stay():
+    assert not list(lookalikes.repairs("хор")) and not list(lookalikes.repairs("сор и рос"))
+    assert [t for *_, tries in lookalikes.repairs("Νо.3の棚") for *_, t in tries] == ["No"]
+
+
+def test_large_classes_are_joined_in_lots(spark):
+    values = [(i, "はい。") for i in range(2500)] + [(9000 + i, "はい｡") for i in range(3)] + [(9100, "は​い。")]
+    assert lookalikes.same_look(look(spark, values), ["stem", "reel"], "id").count() == 2500 * 4 + 3
+
+
 def test_groups_of_copies_are_paired_with_other_spellings_only(spark):
     values = [(i, "はい。") for i in range(300)] + [(900, "はい｡"), (901, "はい｡")]
     assert lookalikes.same_look(look(spark, values), ["stem", "reel"], "id").count() == 600
