@@ -370,12 +370,26 @@ def test_mixture(spark):
 
 
 def test_poisson_inversion():
+    """Counts at a rate are the distribution's: mean, variance and the counts of a direct inversion."""
     import numpy as np
 
     u = np.random.default_rng(2).random(40_000)
-    for rate in (0.3, 1.0, 2.5):
-        counts = sum((mixing.thresholds(u, k) <= rate).astype(int) for k in range(1, 12))
-        assert abs(counts.mean() - rate) < 0.03 and abs(counts.var() - rate) < 0.08
+    rates = np.array([0.3, 1.0, 2.5, 7.0])
+    bins = mixing.entering(u, mixing.at_least(30, rates))
+    for g, rate in enumerate(rates):
+        counts = (bins <= g).sum(axis=1)
+        assert abs(counts.mean() - rate) < 0.05 and abs(counts.var() - rate) < 0.2
+        mass = np.exp(-rate) * np.cumprod([1.0, *(rate / k for k in range(1, 40))])
+        assert (np.abs(counts - np.searchsorted(np.cumsum(mass), u)) <= 0).mean() > 0.999
+    assert mixing.at_least(2, np.array([1e-9]))[0, 0] == pytest.approx(1e-9, rel=1e-6)
+
+
+def test_sources_at_the_ends_of_the_range(spark):
+    """A source that is needed once in very many documents, and one with a large cap."""
+    values = [("vast", "word") for _ in range(30_000)] + [("tiny", "word") for _ in range(40)]
+    got = {s.source: s for s in mixing.shares(docs(spark, values), targets(spark, [("vast", 0.002, 1), ("tiny", 0.998, 60)])).collect()}
+    assert got["vast"].actual_share == pytest.approx(0.002, abs=0.0005) and 0 < got["vast"].copies < 20
+    assert 0.8 * 40 * 60 < got["tiny"].copies < 40 * 60
 
 
 def test_subjects(spark):
