@@ -38,6 +38,8 @@ SAMPLE, CHARACTERS, LONG = 25_000, 2_000_000, 2_000
 #: Tokens that the second model looks back on and log odds that it needs, in scripts without spaces and with them; and the least
 #: share of the places after the last words of a gap that end a sentence, for its text to be looked at.
 ORDER, SPACED, SURE, SURE_SPACED, ENDING = 5, 4, 4.0, 2.5, 0.05
+#: Last words by which an end is looked for, in scripts with spaces and without.
+LAST = (2, 3)
 #: Weight of the shorter context in every backing off.
 BACK = 8.0
 #: Tokens before a gap that the event depends on, and after it that weigh in.
@@ -189,9 +191,10 @@ class Inner:
             totals[key[:-1]] += n
         self.after = {k: (n, kinds[k]) for k, n in totals.items()}
         self.types = Counter(k[0] for k in self.counts if len(k) == 2)
-        # pairs of last words of which a share of at least ENDING is followed by the event, as they stand in a text
-        endings = [k[:-1] for k, n in self.counts.items() if k[-1] == "<b>" and len(k) == 4 and n >= ENDING * self.after[k[:-1]][0]]
-        self.endings = {("" if s in _dense else " ").join(pair) for s, *pair in endings if "<b>" not in pair}
+        # last words (LAST of them) of which a share of at least ENDING is followed by the event, as they stand in a text
+        endings = [k[:-1] for k, n in self.counts.items() if k[-1] == "<b>" and len(k) == LAST[k[0] in _dense] + 2 and n >= ENDING * self.after[k[:-1]][0]]
+        self.endings = {("" if s in _dense else " ").join(words) for s, *words in endings if "<b>" not in words}
+        self.firsts = {k[2][0] for k in self.counts if len(k) == 3 and k[1] == "<b>"} | {"0"}
         self.memo: dict[str, list[int]] = {}
 
     def search(self):
@@ -210,14 +213,20 @@ class Inner:
     def __getstate__(self) -> dict:
         return {k: v for k, v in self.__dict__.items() if k != "automaton"} | {"memo": {}}
 
-    def may_end(self, text: str) -> bool:
-        """Whether a pair of words that ends sentences stands before the end of a text."""
-        t = (text if text.isascii() else fold(text)).lower().translate(_zeros).rstrip(_tail)
+    @staticmethod
+    def plain(text: str) -> str:
+        """A text as the endings are written."""
+        return (text if text.isascii() else fold(text)).lower().translate(_zeros)
+
+    def may_end(self, plain: str) -> bool:
+        """Whether words that end sentences stand in a text before one that may begin a sentence."""
+        t = plain.rstrip(_tail)
         last = len(t) - 1
         if not self.endings:
             return False
         for end, _ in self.search().iter(t):
-            return end < last  # the first one decides
+            if end < last and (t[end + 1] if t[end + 1] != " " else t[end + 2 : end + 3]) in self.firsts:
+                return True
         return False
 
     @staticmethod
@@ -246,16 +255,17 @@ class Inner:
             got = (self.counts.get((*context, word), 0.0) + kinds * got) / (n + kinds)
         return got
 
-    def cuts(self, text: str, s: str) -> list[int]:
+    def cuts(self, text: str, s: str, plain: str | None = None) -> list[int]:
         """Where a sentence ends in a text that shows nothing, by the posteriors of forward-backward over all its gaps."""
         known = self.memo.get(text)
         if known is not None:
             return known
         out: list[int] = []
-        words = self.words(text) if self.may_end(text) else []
+        words = self.words(text) if self.may_end(self.plain(text) if plain is None else plain) else []
         names = [w for w, _, _ in words]
         glue = "" if s in _dense else " "
-        places = [i for i in range(1, len(names) - 1) if names[i - 1] + glue + names[i] in self.endings]
+        many = LAST[s in _dense]
+        places = [i for i in range(many - 1, len(names) - 1) if glue.join(names[i + 1 - many : i + 1]) in self.endings and (names[i + 1][0] if names[i + 1] != "<0>" else "0") in self.firsts]
         if places:
             on = self.posterior(names, s, places)
             for i, x in zip(places, on):
@@ -492,8 +502,10 @@ class Model:
         at, more = [0, *cuts, len(text)], []
         shown = [g for g in found if g[3] or s in _dense]
         decided = {g[0] for g in shown} | {g[1] for g in shown}
+        plain = self.inner.plain(text)
+        same = len(plain) == len(text)
         for a, b in zip(at, at[1:]):
-            for x in self.inner.cuts(text[a:b], s):
+            for x in self.inner.cuts(text[a:b], s, plain[a:b] if same else None):
                 if a + x not in decided and not any(p < a + x <= q for p, q in inner):
                     more.append(a + x)
         return sorted({*cuts, *more}) if more else cuts
@@ -563,11 +575,15 @@ def boundaries(segments: DataFrame, id_col: str = "seg_id", text_col: str = "tex
         m = model.value
         by = {}
         distinct = list({t for t in texts if t})
-        bad = [False] * len(distinct) if of_residue else residue.flags(distinct, weight.value)
-        for t, out in zip(distinct, bad):
-            cuts = [] if out else m.cuts(t)
+        for t in distinct:
+            cuts = m.cuts(t)
             if cuts:
                 by[t] = cuts
+        if not of_residue:
+            several = list(by)
+            for t, out in zip(several, residue.flags(several, weight.value)):
+                if out:
+                    del by[t]
         out = {(i, c) for i, t in zip(ids, texts) if t in by for c in by[t]}
         return {id_col: [i for i, _ in out], "cut": [c for _, c in out]}
 
