@@ -66,6 +66,7 @@ _fill = re.compile("(?:[○◯〇●]{2,}|[○◯])")
 _end = re.compile(r"[。.!?…]+(?=\s|$|\x00|[^\x00-\x7f])|[。!?…]+|\n+|[;:](?=\s)|\s[–—|]\s")
 _clause = re.compile(r"[、,，]|\s[-–—]\s|[:：](?!//)")
 _gap = re.compile(r"[^\w○□|,\x00]+|_+")
+_blank = re.compile("  +")
 _js = re.compile(r"\bjs\b")
 _keys = re.compile("(?:1234567890|0123456789)+")
 _again = re.compile(r"^\s*(\S(?:.{0,11}?\S)?)\s*(?:\1\s*){2,}.{0,12}$")
@@ -84,10 +85,14 @@ def plain(texts: list[str]) -> list[str]:
     joined = SLOT.sub(" □ ", joined)
     joined = BRACKET.sub(" □ ", BEHIND.sub(" □ ", joined))
     joined = _fill.sub("○", joined)
-    joined = _digits.sub("0", _keys.sub(" □ ", joined))
+    if "123456789" in joined:
+        joined = _keys.sub(" □ ", joined)
+    joined = _digits.sub("0", joined)
     joined = _clause.sub(" , ", _end.sub(" | ", joined))
-    joined = _js.sub("javascript", _gap.sub(" ", joined.lower()))
-    return [f" {t} " for t in re.sub(" +", " ", joined).replace(" \x00", "\x00").replace("\x00 ", "\x00").strip().split("\x00")]
+    joined = _gap.sub(" ", joined.lower())
+    if "js" in joined:
+        joined = _js.sub("javascript", joined)
+    return [f" {t} " for t in _blank.sub(" ", joined).replace(" \x00", "\x00").replace("\x00 ", "\x00").strip().split("\x00")]
 
 
 def _around(text: str, at: int) -> str:
@@ -188,8 +193,13 @@ class Index:
                     if not short or self.covered(_around(text, end), kind):
                         return True
             wide.update(self.retrieves_like.get(i, ()))
-        if wide and any(self.said_otherwise(p, wide) for p in {*text.split("|"), *re.split("[|,]", text), text}):
-            return True
+        if wide:  # the exemplars of which the whole text holds enough
+            there, weight, like = {i for _, i in hits}, self.weight, self.like
+            wide = {e for e in wide if sum(map(weight.__getitem__, there & like[e][2])) >= LIKE * like[e][3]}
+        if wide:
+            parts = text.split("|")
+            if any(self.said_otherwise(p, wide) for p in {*parts, text, *(c for p in parts if "," in p for c in p.split(","))}):
+                return True
         return self.fills(text) or any(self.typed(p) for p in text.split("|"))
 
     def typed(self, passage: str) -> bool:

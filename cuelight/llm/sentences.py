@@ -38,6 +38,8 @@ SAMPLE, CHARACTERS, LONG = 25_000, 2_000_000, 2_000
 #: Tokens that the second model looks back on and log odds that it needs, in scripts without spaces and with them; and the least
 #: share of the places after the last words of a gap that end a sentence, for its text to be looked at.
 ORDER, SPACED, SURE, SURE_SPACED, ENDING = 5, 4, 4.0, 2.5, 0.05
+#: Probability of a state that is taken as none.
+EPSILON = 1e-9
 #: Last words by which an end is looked for, in scripts with spaces and without.
 LAST = (2, 3)
 #: Weight of the shorter context in every backing off.
@@ -60,7 +62,7 @@ _alnum = re.compile("[0-9A-Za-z０-９Ａ-Ｚａ-ｚ]")
 _spaceless = re.compile("[ぁ-ヿ一-鿿㐀-䶿々豈-﫿ｦ-ﾟ⺀-⿕฀-๿]")
 _word = "A-Za-zªµºÀ-ÖØ-öø-ʯ̀-ͯͰ-ԯḀ-ỿऀ-ॣ॰-ॿᄀ-ᇿ가-힣"
 _token = re.compile(f"[0-9]+(?:[.:,][0-9]+)*|[{_word}]+(?:'[{_word}]+)*|\\s+|[。.!?…।]+|.", re.S)
-_zeros = dict.fromkeys(range(49, 58), "0")
+_digit = re.compile("[1-9]")
 _tail = MARKS + CLOSERS + " \t\n\r　"
 _quote = re.compile("[「」｢｣『』“”‘’«»„\"]")
 _scripts = (("th", re.compile("[฀-๿]")), ("ko", re.compile("[ᄀ-ᇿ가-힣]")), ("hi", re.compile("[ऀ-ॿ]")), ("ja", re.compile("[ぁ-ヿｦ-ﾟ]")), ("zh", re.compile("[一-鿿⺀-⿕豈-﫿]")))
@@ -159,9 +161,8 @@ def shape(token: str) -> str:
 
 def tokens(part: str) -> list[str]:
     """Words and characters of a part of a text, folded; numbers are all alike."""
-    part = fold(part)
     if not part.isascii():
-        part = _twin.sub(lambda m: TO_LATIN[m.group()], part)
+        part = _twin.sub(lambda m: TO_LATIN[m.group()], fold(part))
     return ["<0>" if t[0].isdigit() else " " if t.isspace() else t for t in _token.findall(part)]
 
 
@@ -216,7 +217,7 @@ class Inner:
     @staticmethod
     def plain(text: str) -> str:
         """A text as the endings are written."""
-        return (text if text.isascii() else fold(text)).lower().translate(_zeros)
+        return _digit.sub("0", (text if text.isascii() else fold(text)).lower())
 
     def may_end(self, plain: str) -> bool:
         """Whether words that end sentences stand in a text before one that may begin a sentence."""
@@ -497,7 +498,7 @@ class Model:
 
     def unmarked(self, text: str, cuts: list[int], found: list, inner: list, s: str) -> list[int]:
         """``cuts`` and those that nothing shows, outside quotations and the places ``found`` that were decided."""
-        if self.inner is None:
+        if self.inner is None or not self.inner.endings:
             return cuts
         at, more = [0, *cuts, len(text)], []
         shown = [g for g in found if g[3] or s in _dense]
@@ -511,39 +512,27 @@ class Model:
         return sorted({*cuts, *more}) if more else cuts
 
     def posterior(self, text: str, found: list, s: str, since: int = 0) -> list[float]:
-        """P(event) of each gap by forward-backward; the states are no event and event."""
+        """P(event) of each gap by forward-backward; the states are no event and event. Each step's weights are probabilities
+        given the state before, so the backward messages are one everywhere and the forward ones are the posteriors. What a
+        state of a probability under EPSILON would say is not asked for."""
         if not found:
             return []
         start = since + len(text[since:]) - len(text[since:].lstrip())
-        steps = []
-        before = None
+        out, p, before = [], 0.0, 0
         for begin, end, follow, _ in found:
-            far = self.odds(text, begin, end, follow, s, start)
-            # after an event at the gap before, the context reaches back to that event only
-            near = far if before is None else self.odds(text, begin, end, follow, s, before)
-            steps.append((far, near))
-            before = follow
-        f, forward = (0.0, 0.0), []
-        for k, (far, near) in enumerate(steps):
-            # log weights of (no event, event) at this gap
-            if k == 0:
-                f = (-_soft(far), far - _soft(far))
-            else:
-                f = (_add(f[0] - _soft(far), f[1] - _soft(near)), _add(f[0] + far - _soft(far), f[1] + near - _soft(near)))
-            forward.append(f)
-        b, out = (0.0, 0.0), []
-        for k in range(len(steps) - 1, -1, -1):
-            f = forward[k]
-            no, yes = f[0] + b[0], f[1] + b[1]
-            out.append(1 / (1 + exp(max(-50.0, min(50.0, no - yes)))))
-            far, near = steps[k]
-            b = (_add(b[0] - _soft(far), b[1] + far - _soft(far)), _add(b[0] - _soft(near), b[1] + near - _soft(near)))
-        return out[::-1]
+            q = 0.0
+            if p < 1 - EPSILON:
+                q = (1 - p) * _share(self.odds(text, begin, end, follow, s, start))
+            if p > EPSILON:  # after an event at the gap before, the context reaches back to that event only
+                q += p * _share(self.odds(text, begin, end, follow, s, before))
+            out.append(q)
+            p, before = q, follow
+        return out
 
 
-def _soft(x: float) -> float:
-    """log(1 + e^x)."""
-    return x if x > 30 else log(1 + exp(x))
+def _share(odds: float) -> float:
+    """The probability of log odds."""
+    return 1 / (1 + exp(-odds)) if odds > -50 else 0.0
 
 
 def _add(a: float, b: float) -> float:
@@ -584,8 +573,13 @@ def boundaries(segments: DataFrame, id_col: str = "seg_id", text_col: str = "tex
             for t, out in zip(several, residue.flags(several, weight.value)):
                 if out:
                     del by[t]
-        out = {(i, c) for i, t in zip(ids, texts) if t in by for c in by[t]}
-        return {id_col: [i for i, _ in out], "cut": [c for _, c in out]}
+        own, out = [], []
+        for i, t in set(zip(ids, texts)):
+            cuts = by.get(t)
+            if cuts:
+                own += [i] * len(cuts)
+                out += cuts
+        return {id_col: own, "cut": out}
 
     return map_columns(spread(rows, id_col), split, StructType([rows.schema[id_col], StructField("cut", LongType())])).distinct()
 
