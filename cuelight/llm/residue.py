@@ -44,6 +44,8 @@ GROUP = {"template": "template", "repeated": "repeated", "error": "notice", "scr
 WORDS, FILLED, COMPANY = 3, 0.75, 0.4
 #: Learned filler words: most, least texts of each, and the least share of its texts in which it stands in filler's company.
 LEARNED, SEEN, ALONE = 2_000, 3, 0.9
+#: Texts that a worker remembers, and the longest of them; results do not depend on them.
+MEMO, BRIEF_TEXT = 200_000, 200
 #: First letters of a word that stand for its forms, and first syllables of a Korean one.
 STEM, SYLLABLES = 4, 2
 
@@ -151,6 +153,7 @@ class Index:
     def weigh(self, weight: dict[str, float], learned: frozenset = frozenset()) -> "Index":
         """With the weight of every term (that of "" is a term's without any text) and learned words of filler."""
         self.known, self.unknown = self.filler | learned, weight[""]
+        self.done: dict[str, bool] = {}  # texts that a worker has looked at
         self.weight = [weight[t] for t in self.all]
         self.same, self.like, self.alike = [], [], []
         self.by_kind: dict[str, set[str]] = {}
@@ -306,9 +309,14 @@ def _index(known: tuple | None = None) -> Index:
 def flags(texts: list[str | None], known: tuple) -> list[bool]:
     """Whether each text is residue, by the ``statistics``; equal texts are looked at once."""
     index = _index(known)
-    distinct = list({t for t in texts if t and not t.isspace()})
-    found = {t for t, p in zip(distinct, plain(distinct)) if index.residue(p)} if distinct else set()
-    return [t in found for t in texts]
+    done = index.done
+    fresh = list({t for t in texts if t and t not in done and not t.isspace()})
+    found = {t: index.residue(p) for t, p in zip(fresh, plain(fresh))} if fresh else {}
+    out = [found[t] if t in found else done.get(t, False) for t in texts]
+    if len(done) > MEMO:
+        done.clear()
+    done.update((t, x) for t, x in found.items() if len(t) <= BRIEF_TEXT)
+    return out
 
 
 def residue(segments: DataFrame, id_col: str = "seg_id", text_col: str = "text") -> DataFrame:

@@ -49,8 +49,8 @@ BEFORE, AFTER = 4, 3
 #: A word of fewer texts is known by its shape only.
 RARE = 4
 
-#: Entries of each memo of a worker; results do not depend on it.
-MEMO = 200_000
+#: Entries of each memo of a worker, and the longest texts in one; results do not depend on them.
+MEMO, SHORT = 200_000, 200
 
 #: End marks, closers that belong to the sentence before them, and pairs of quotation marks.
 MARKS, CLOSERS = "。｡．.!！?？…‥।", "」｣』”’»）)\"'］】〉》"
@@ -388,6 +388,7 @@ class Model:
             for a, b in zip(at, at[1:]):
                 parts[t[a:b].strip()] += times
         self.inner = Inner(parts)
+        self.done: dict[str, list[int]] = {}  # texts that a worker has split
 
     def starts(self, s: str, r: list[str], times: int) -> None:
         self.first[s,] += times
@@ -562,12 +563,19 @@ def boundaries(segments: DataFrame, id_col: str = "seg_id", text_col: str = "tex
 
     def split(ids: list, texts: list) -> dict:
         m = model.value
+        done = m.done
         by = {}
         distinct = list({t for t in texts if t})
         for t in distinct:
-            cuts = m.cuts(t)
+            cuts = done.get(t)
+            if cuts is None:
+                cuts = m.cuts(t)
+                if len(t) <= SHORT:
+                    done[t] = cuts
             if cuts:
                 by[t] = cuts
+        if len(done) > MEMO:
+            done.clear()
         if not of_residue:
             several = list(by)
             for t, out in zip(several, residue.flags(several, weight.value)):
