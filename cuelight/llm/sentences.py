@@ -39,7 +39,7 @@ SAMPLE, CHARACTERS, LONG = 25_000, 2_000_000, 2_000
 #: share of the places after the last words of a gap that end a sentence, for its text to be looked at.
 ORDER, SPACED, SURE, SURE_SPACED, ENDING = 5, 4, 4.0, 2.5, 0.05
 #: Probability of a state that is taken as none.
-EPSILON = 1e-9
+EPSILON = 1e-5
 #: Last words by which an end is looked for, in scripts with spaces and without.
 LAST = (2, 3)
 #: Weight of the shorter context in every backing off.
