@@ -101,6 +101,32 @@ def clock(ms: Column) -> Column:
     return F.format_string("%d:%02d:%02d.%d", F.floor(tenths / 36000).cast("bigint"), (F.floor(tenths / 600) % 60).cast("bigint"), (F.floor(tenths / 10) % 60).cast("bigint"), (tenths % 10).cast("bigint"))
 
 
+def wall_clock(ms: Column) -> Column:
+    """``HH:MM:SS`` of milliseconds, cut to seconds; a day begins anew."""
+    seconds = F.floor(F.greatest(ms, F.lit(0)) / 1000) % 86400
+    return F.format_string("%02d:%02d:%02d", *(x.cast("bigint") for x in (F.floor(seconds / 3600), F.floor(seconds / 60) % 60, seconds % 60)))
+
+
+def slug(name: Column) -> Column:
+    """A name for a file: what is no letter, number, dash, point or underline becomes a dash; none at the ends."""
+    return F.coalesce(F.nullif(F.regexp_replace(F.regexp_replace(name, "[^\\p{L}\\p{N}._-]", "-"), "^-+|-+$", ""), F.lit("")), F.lit("model"))
+
+
+def short(name: Column, width: int = 26) -> Column:
+    """A name of at most ``width`` characters; a longer one ends in an ellipsis."""
+    return F.when(F.length(name) <= width, name).otherwise(F.concat(F.substring(name, 1, width - 1), F.lit("…")))
+
+
+@F.pandas_udf(StringType())
+def described(ch: pd.Series) -> pd.Series:
+    """Code point and name of a character."""
+    return ch.map(lambda c: None if c is None else f"U+{ord(c):04X} {unicodedata.name(c, 'UNNAMED')}")
+
+
+@F.pandas_udf(StringType())
+def escaped(text: pd.Series) -> pd.Series:
+    """Text as ASCII, for outputs that are not UTF-8."""
+    return text.map(lambda t: t if t is None or t.isascii() else t.encode("unicode_escape").decode("ascii"))
 
 
 def plain_py(text: str) -> str:

@@ -83,12 +83,13 @@ def rolled_up(scores: DataFrame, outer: list[str], inner: list[str]) -> DataFram
 
 def levels(pairs: DataFrame, reference: str, hypothesis: str) -> DataFrame:
     """``pairs`` once for each level, with both texts at it."""
-    rows = None
-    for level in LEVELS:
-        r = F.coalesce(F.col(reference), F.lit("")), F.coalesce(F.col(hypothesis), F.lit(""))
-        one = pairs.withColumn("level", F.lit(level)).withColumn(reference, normalised(r[0], level)).withColumn(hypothesis, normalised(r[1], level))
-        rows = one if rows is None else rows.unionByName(one)
-    return rows
+    def at_levels(column: str) -> Column:
+        text = F.coalesce(F.col(column), F.lit(""))
+        return F.array(*(normalised(text, level) for level in LEVELS))
+
+    rows = pairs.withColumns({"__r": at_levels(reference), "__h": at_levels(hypothesis)}).withColumn("__i", F.explode(F.lit(list(range(len(LEVELS))))))
+    rows = rows.withColumn("level", F.lit(list(LEVELS))[F.col("__i")]).withColumns({reference: F.col("__r")[F.col("__i")], hypothesis: F.col("__h")[F.col("__i")]})
+    return rows.drop("__r", "__h", "__i")
 
 
 def diagnosis(coverage: Column, precision: Column) -> Column:

@@ -99,10 +99,30 @@ def bucketed(spans: DataFrame, a: str, b: str) -> DataFrame:
     return spans.withColumn("__bucket", F.explode(F.sequence(F.floor(F.col(a) / BUCKET_MS), F.floor(F.greatest(F.col(a), F.col(b) - 1) / BUCKET_MS))))
 
 
+def _same(keys: list[str]) -> Column:
+    """Equal keys of ``l`` and ``r``, nulls too."""
+    on = F.lit(True)
+    for k in keys:
+        on = on & F.col(f"l.{k}").eqNullSafe(F.col(f"r.{k}"))
+    return on
+
+
+def within(spans: DataFrame, others: DataFrame, keys: list[str]) -> DataFrame:
+    """The spans (__from, __to) cut to the time that ``others`` (__from, __to) of the key have from first to last; spans
+    outside it go. So a span with a corrupt end is not listed for buckets that nothing else touches."""
+    reach = others.groupBy(*keys).agg(F.min("__from").alias("__lo"), F.max("__to").alias("__hi"))
+    rows = spans.alias("l").join(reach.alias("r"), _same(keys)).select("l.*", "r.__lo", "r.__hi")
+    rows = rows.withColumn("__from", F.greatest("__from", "__lo")).withColumn("__to", F.least("__to", "__hi"))
+    return rows.where("__from < __to").drop("__lo", "__hi")
+
+
 def points_in(points: DataFrame, spans: DataFrame, keys: list[str], twice: Column, how: str = "inner") -> DataFrame:
     """Points joined with the spans [a, b) that hold them. ``twice`` is twice the point, so halves stay whole numbers."""
     p = points.withColumn("__twice", twice).withColumn("__bucket", F.floor(F.col("__twice") / (2 * BUCKET_MS)))
-    s = bucketed(spans.withColumnsRenamed({"a": "span_a", "b": "span_b"}).where("span_b > span_a"), "span_a", "span_b")
+    at = F.floor(F.col("__twice") / 2)
+    s = spans.withColumnsRenamed({"a": "span_a", "b": "span_b"}).where("span_b > span_a")
+    s = within(s.withColumns({"__from": F.col("span_a"), "__to": F.col("span_b")}), p.select(*keys, at.alias("__from"), (at + 1).alias("__to")), keys)
+    s = bucketed(s, "__from", "__to").drop("__from", "__to")
     on = [F.col(f"p.{k}").eqNullSafe(F.col(f"s.{k}")) for k in (*keys, "__bucket")]
     hit = (F.col("p.__twice") >= 2 * F.col("s.span_a")) & (F.col("p.__twice") < 2 * F.col("s.span_b"))
     condition = hit
@@ -115,16 +135,15 @@ def points_in(points: DataFrame, spans: DataFrame, keys: list[str], twice: Colum
 
 
 def overlapping(left: DataFrame, spans: DataFrame, keys: list[str], how: str = "left_semi") -> DataFrame:
-    """Rows of ``left`` (a, b) that overlap a span strictly on both sides (``left_semi``), or none (``left_anti``)."""
-    rows = left.withColumn("__id", F.monotonically_increasing_id())
-    s = bucketed(spans.select(*keys, F.col("a").alias("span_a"), F.col("b").alias("span_b")), "span_a", "span_b")
-    wide = rows.withColumn("__bucket", F.explode(F.sequence(F.floor(F.col("a") / BUCKET_MS), F.floor(F.greatest("a", "b") / BUCKET_MS))))
-    on = (F.col("l.a") < F.col("s.span_b")) & (F.col("l.b") > F.col("s.span_a"))
-    for k in (*keys, "__bucket"):
-        on = on & F.col(f"l.{k}").eqNullSafe(F.col(f"s.{k}"))
-    found = wide.alias("l").join(s.alias("s"), on, "left_semi")
-    if how == "left_semi":
-        return found.dropDuplicates(["__id"]).drop("__id", "__bucket")
-    names = left.columns
-    flagged = wide.select(*names, "__id").unionByName(found.select(*names, "__id").withColumn("__hit", F.lit(1)), allowMissingColumns=True)
-    return flagged.groupBy("__id").agg(*(F.first(c).alias(c) for c in names), F.max("__hit").alias("__hit")).where("__hit is null").drop("__id", "__hit")
+    """Rows of ``left`` (a, b) that overlap a span strictly on both sides (``left_semi``), or none (``left_anti``). A row with a
+    missing time overlaps nothing. Equal rows of ``left`` are as many in the result."""
+    # what a row touches depends on its keys and times only, so these stand for it: no row needs an id
+    own = [*keys, "a", "b"]
+    rows = left.select(*own).where("a is not null and b is not null").distinct()
+    rows = rows.withColumns({"__from": F.col("a"), "__to": F.greatest("a", "b") + 1})
+    s = spans.select(*keys, F.col("a").alias("span_a"), F.col("b").alias("span_b")).where("span_a is not null and span_b is not null")
+    s = s.withColumns({"__from": F.col("span_a"), "__to": F.greatest("span_a", "span_b") + 1})
+    s, rows = (bucketed(within(x, y, keys), "__from", "__to").drop("__from", "__to") for x, y in ((s, rows), (rows, s)))
+    on = _same([*keys, "__bucket"]) & (F.col("l.a") < F.col("r.span_b")) & (F.col("l.b") > F.col("r.span_a"))
+    found = rows.alias("l").join(s.alias("r"), on, "left_semi").select(*own).distinct()
+    return left.alias("l").join(found.alias("r"), _same(own), how)

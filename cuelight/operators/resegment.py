@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, BooleanType, DoubleType, StringType, StructField, StructType
 
 from cuelight.functions.batches import map_columns
+from cuelight.functions.options import PRESETS as LAYOUTS
 from cuelight.functions.text import squeeze
 
 #: The longest segment, and the slack of its ends, in seconds.
@@ -23,8 +24,8 @@ CLOSERS = "」』｣）)】〉》〕］]｝}”’\"'"
 NO_START = "、。，．,.!！？?:;：；）)｝}】」』〉》］]〕｣”’\"'…‥ー々ゝゞぁぃぅぇぉっゃゅょゎゕゖァィゥェォッャュョヮヵヶ"
 #: Languages that are written without spaces.
 SPACELESS = ("ja", "zh", "yue", "th", "lo", "my", "km")
-#: Fixed values of the layouts: width, lines, and whether sentences are parted.
-PRESETS = {"standard": (42, 2, True), "standard_asia": (16, 2, True)}
+#: The layouts: width, lines, and whether sentences are parted.
+PRESETS = {n: (v["max_line_width"], v["max_line_count"], v["sentence"]) for n, v in LAYOUTS.items()}
 
 _cjk = re.compile("[぀-ヿ㐀-䶿一-鿿豈-﫿]")
 WORD = StructType([StructField("word", StringType()), StructField("start", DoubleType()), StructField("end", DoubleType()), StructField("probability", DoubleType())])

@@ -25,11 +25,18 @@ def interval_gaps(spark: SparkSession, d: str) -> DataFrame:
 
 def interval_subtract(spark: SparkSession, d: str) -> DataFrame:
     r = regions(spark, d)
-    names = sorted(x.backend for x in r.select("backend").distinct().limit(2).collect())
-    left, right = (iv.merge(r.where(F.col("backend") == n), REEL) for n in (names[0], names[-1]))
+    ends = r.agg(F.min("backend").alias("lo"), F.max("backend").alias("hi"))  # one row
+    r = r.join(F.broadcast(ends), (F.col("backend") == F.col("lo")) | (F.col("backend") == F.col("hi")))
+    left, right = (iv.merge(r.where(F.col("backend") == F.col(x)), REEL) for x in ("lo", "hi"))
     return iv.subtract(left, right, REEL, 1000)
 
 
+def backend_differences(spark: SparkSession, d: str) -> DataFrame:
+    """What only one of two detectors covers, of every pair of detectors and both sides; ``interval_subtract`` is one of them."""
+    only = scoring.exclusive(regions(spark, d).where("b > a"), REEL, "backend")
+    return only.select("config_a", "config_b", "side", *REEL, "a", "b")
+
+
 def interval_clip(spark: SparkSession, d: str) -> DataFrame:
     return iv.to_samples(regions(spark, d), VOICE, SAMPLES)[0]
 
@@ -153,7 +160,7 @@ def stem_intersect(spark: SparkSession, d: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        interval_merge, interval_gaps, interval_subtract, interval_clip, interval_clip_counts, reel_clip, reel_clip_counts, interval_max_split, vad_hysteresis, vad_padded, vad_flags, vad_share,
+        interval_merge, interval_gaps, interval_subtract, backend_differences, interval_clip, interval_clip_counts, reel_clip, reel_clip_counts, interval_max_split, vad_hysteresis, vad_padded, vad_flags, vad_share,
         raster_frames, midpoint_gap_join, midpoint_block_join, overlap_semi, unassigned_anti, config_pairs, topk_widest, texts_in_differences, widest_differences, difference_texts, label_seconds, stem_intersect,
     )
 }
@@ -180,6 +187,7 @@ st as (select config_a, config_b, stem, reel, side, t, sum(dx) dx, sum(dy) dy fr
 sw as (select config_a, config_b, stem, reel, side, t a, lead(t) over w b, sum(dx) over (w rows unbounded preceding) x, sum(dy) over (w rows unbounded preceding) y
  from st window w as (partition by config_a, config_b, stem, reel, side order by t)),
 excl as (select * from sw where x > 0 and y = 0 and b - a >= 1000)"""
+_APART = _ONLY.replace(SEG, "seg as (select backend config, stem, reel, cast(round(start_s * 1000) as bigint) a, cast(round(end_s * 1000) as bigint) b from regions)")
 _TOP = f"""{_ONLY}, tp as (select *, row_number() over (partition by stem, reel order by b - a desc, a) n from excl
  where config_a = 'rawpass_x' and config_b = 'sil6_plain' and side = 'a'), w as (select stem, reel, a, b from tp where n <= 3)"""
 _WIDEST = f"""{_ONLY}, tp as (select *, row_number() over (partition by config_a, config_b, side, stem, reel order by b - a desc, a) n from excl),
@@ -195,6 +203,7 @@ ev as (select stem, reel, unnest([a, b]) t, unnest([1, -1]) dx, 0 dy from mrg, n
 st as (select stem, reel, t, sum(dx) dx, sum(dy) dy from ev group by all),
 sw as (select stem, reel, t a, lead(t) over w b, sum(dx) over (w rows unbounded preceding) x, sum(dy) over (w rows unbounded preceding) y from st window w as (partition by stem, reel order by t))
 select stem, reel, a, b from sw where x > 0 and y = 0 and b - a >= 1000""",
+    "backend_differences": f"with {_APART} select config_a, config_b, side, stem, reel, a, b from excl",
     "interval_clip": f"""with {REG}, c as (select backend, stem, reel, greatest(a * 16, 0) a, least(b * 16, {SAMPLES}) b from reg), {merged("c", "backend, stem, reel")} select * from mrg""",
     "interval_clip_counts": f"""with {REG}, c as (select backend, stem, reel, a * 16 ra, b * 16 rb, greatest(a * 16, 0) a, least(b * 16, {SAMPLES}) b from reg), {merged("c", "backend, stem, reel")},
 n as (select backend, stem, reel, count(*) received, count(*) filter (where not coalesce(b > a, false)) dropped, count(*) filter (where ra < 0 or rb > {SAMPLES}) clamped, count(*) filter (where b > a) kept from c group by all),

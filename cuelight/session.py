@@ -35,10 +35,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The shared checkpoint folder; the session's own setting holds, a local one is only set where none is."""
+    """The shared checkpoint folder of the session's setting. Only a local session without the setting gets a local one; a
+    cluster must name a folder that all its executors share."""
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
         named = spark.conf.get("spark.checkpoint.dir", None)
+        if not named and not sc.master.startswith("local[") and sc.master != "local":
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         sc.setCheckpointDir(named or os.path.join(tempfile.gettempdir(), "cuelight-checkpoint"))
     return sc.getCheckpointDir()
 
