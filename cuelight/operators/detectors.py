@@ -151,6 +151,15 @@ def selected(rows: DataFrame, column: str, only: list[str], exclude: list[str])
     return rows
 
 
+#: Labels of a segmenter that are speech.
+SPEECH_LABELS = ("speech", "male", "female")
+
+
+def labelled(regions: DataFrame, label: str, labels: tuple[str, ...] = SPEECH_LABELS) -> DataFrame:
+    """The regions of one of the labels; those of a null label are none."""
+    return regions.where(F.col(label).isin(list(labels)))
+
+
 def first_delivery(rows: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
     """The first row of each key in the order; ties are broken by the order's columns only."""
     by = Window.partitionBy(*keys).orderBy(*order)

@@ -304,17 +304,13 @@ def srt_documents(spark: SparkSession, d: str) -> DataFrame:
     return outputs.documents(segments(spark, d), TAKE, "srt")
 
 
-def json_documents(spark: SparkSession, d: str) -> DataFrame:
-    return outputs.documents(segments(spark, d), TAKE, "json")
-
-
 QUERIES = {
     f.__name__: f
     for f in (
         ascii_normalize, cue_levels, nfkc_plain, one_line_text, speech_budget, sung_cues, distinct_char_rule, char_run_rule, loop_filter, score_loops, phrase_filter, stock_phrases,
         density_anomaly, thin_anomaly, over30_anomaly, anomaly_totals, first_anomalies, clip_lists, output_names, pipeline, drop_stats, loop_drop_stats, dedupe_fold, dedupe_equal, file_selection, first_wins_dedupe, language_warning,
         duration_fallback, pseudo_word_timing, word_timing, gap_split_groups, renumber, sanitize, sanitize_stats, format_wrap, greedy_blocks, edit_distance_ascii, cer_rollup, edit_distance, cer_totals,
-        block_scores, whole_scores, survey_counts, survey_speakers, suspect_chars, timestamp_format, *map(_kind, ("srt", "vtt", "txt", "tsv", "lrc")), srt_documents, json_documents,
+        block_scores, whole_scores, survey_counts, survey_speakers, suspect_chars, timestamp_format, *map(_kind, ("srt", "vtt", "txt", "tsv", "lrc")), srt_documents,
     )
 }
 

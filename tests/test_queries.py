@@ -14,7 +14,7 @@ def test_query_equals_its_sql(spark, data, name):
 @pytest.mark.parametrize("name", sorted(set(plans.QUERIES) - set(plans.SQL)))
 def test_query_without_sql_runs(spark, data, name):
     df = plans.QUERIES[name](spark, data)
-    assert df.columns and df.count() >= 0
+    assert df.columns and df.count() > (-1 if name == "stock_phrases" else 0)  # the tables hold no stock phrase
 
 
 def test_entry_point(spark):
