@@ -235,9 +235,10 @@ class Inner:
         """The words of a text, folded and in lower case, with their places; white space, marks and invisible characters are none."""
         out = []
         folded = fold(text)
-        for m in _token.finditer(folded if len(folded) == len(text) else text):
+        same = len(folded) == len(text)  # else places are those of the text, and its words are folded one by one
+        for m in _token.finditer(folded if same else text):
             t = m.group()
-            if not t.isascii():
+            if not same and not t.isascii():
                 t = fold(t)
             t = t.strip().lower()
             if t and t[0] not in MARKS and t not in CLOSERS and t[0] not in "、,，「『“‘«„":
@@ -329,6 +330,7 @@ class Model:
         for t in copies:
             many.update(set(tokens(t)))
         self.known = {w for w, n in many.items() if n >= RARE}
+        self.known_lefts: dict[tuple, tuple] = {}
         self.ends: dict = defaultdict(lambda: [0.0, 0.0])  # context -> texts it ends, texts it is in
         self.first: Counter = Counter()
         self.after: Counter = Counter()
@@ -389,6 +391,8 @@ class Model:
                 parts[t[a:b].strip()] += times
         self.inner = Inner(parts)
         self.done: dict[str, list[int]] = {}  # texts that a worker has split
+        for memo in (self.known_lefts, self.lefts, self.rights, self.ratios):
+            memo.clear()  # they are not sent to the workers
 
     def starts(self, s: str, r: list[str], times: int) -> None:
         self.first[s,] += times
@@ -402,10 +406,19 @@ class Model:
         """The context before a gap: script, up to BEFORE tokens (a boundary among them) and the marks."""
         at = max(since, begin - (12 if s in _dense else 28))
         part = text[at:begin]
+        key = (part, at == since, marks, s)
+        got = self.known_lefts.get(key)
+        if got is None:
+            if len(self.known_lefts) > MEMO:
+                self.known_lefts.clear()
+            got = self.known_lefts[key] = self._left(part, at > since, marks, s)
+        return got
+
+    def _left(self, part: str, inside: bool, marks: str, s: str) -> tuple:
         ts = tokens(part)
-        if at > since and ts and len(ts) > BEFORE:
+        if inside and ts and len(ts) > BEFORE:
             ts = ts[1:]
-        edge = ["<b>"] if at == since else []
+        edge = [] if inside else ["<b>"]
         ts = [*edge, *(self.name(t) for t in ts if t != " ")][-BEFORE:]
         m = fold(marks)
         m = "".join(dict.fromkeys("…" if c == "…" or c == "." and "..." in m else c for c in m if c in MARKS))
