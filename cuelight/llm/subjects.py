@@ -64,7 +64,7 @@ _hashes: dict[str, int] = {}
 def terms(text: str) -> tuple[str, Counter]:
     """The language group of a folded text in lower case and its terms: words and pairs of words, pairs of characters in
     runs of kanji, four characters of Thai, Korean words without their last syllable."""
-    out: Counter = Counter()
+    out: list[str] = []
     votes: Counter = Counter()
     before = ""
     for m in _words.finditer(text):
@@ -74,28 +74,26 @@ def terms(text: str) -> tuple[str, Counter]:
             if len(w) == 1:
                 after = _next.match(text, m.end())
                 if after:
-                    out[w + after.group()] += 1
-            for i in range(len(w) - 1):
-                out[w[i : i + 2]] += 1
+                    out.append(w + after.group())
+            out += [w[i : i + 2] for i in range(len(w) - 1)]
         elif "가" <= c <= "힣":
             if len(w) > 1:
-                out[w[: max(2, len(w) - 1)]] += 1
+                out.append(w[: max(2, len(w) - 1)])
         elif "฀" <= c <= "๿":
-            for i in range(len(w) - 3):
-                out[w[i : i + 4]] += 1
+            out += [w[i : i + 4] for i in range(len(w) - 3)]
         elif c < "ɐ" or "Ḁ" <= c <= "ỿ":
             for n in _by_word.get(w, ()):
                 votes[n] += 1
             if len(w) > 2:
-                out[w] += 1
+                out.append(w)
                 if before:
-                    out[f"{before} {w}"] += 1
+                    out.append(f"{before} {w}")
             here = w if len(w) > 1 else ""
         elif len(w) > 1:
-            out[w] += 1
+            out.append(w)
         before = here
     s = script(text)
-    return (s if s != "la" else max(sorted(votes), key=votes.get) if votes else "la"), out
+    return (s if s != "la" else max(sorted(votes), key=votes.get) if votes else "la"), Counter(out)
 
 
 def edges(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
