@@ -112,36 +112,32 @@ def periods_and_gaps(intervals: DataFrame, keys: list[str], start: str, end: str
     by = Window.partitionBy(*keys).orderBy("__hour", "__part")
     before = by.rowsBetween(Window.unboundedPreceding, -1)
 
-    def beside(rows: DataFrame, told: DataFrame) -> DataFrame:
-        """``rows`` with what is told of their chunks."""
-        same: Column = F.lit(True)
-        for k in on:
-            same = same & F.col(f"l.{k}").eqNullSafe(F.col(f"r.{k}"))
-        return rows.alias("l").join(told.alias("r"), same).select("l.*", *(F.col(f"r.{c}") for c in told.columns if c not in on))
-
+    same: Column = F.lit(True)
+    for k in on:
+        same = same & F.col(f"l.{k}").eqNullSafe(F.col(f"r.{k}"))
     # what earlier chunks reach, and this chunk's intervals that begin after it
     told = chunks.select(*on, F.element_at("__ends", -1).alias("__last"))
     told = told.select(*on, F.max("__last").over(before).alias("__reach"), F.max("__last").over(Window.partitionBy(*keys)).alias("__all"))
-    rows = beside(chunks, told)
+    rows = chunks.alias("l").join(told.alias("r"), same).select("l.*", "r.__reach", "r.__all")
     rows = rows.withColumn("__n", F.size(F.filter("__starts", lambda s: F.col("__reach").isNull() | (s > F.col("__reach")))))
     rows = rows.where("__n > 0").withColumn("__from", F.expr("size(__starts) - __n + 1"))
     # the end before each such start: the interval before it in the chunk, or what was reached before
     inner = F.expr("case when __from > 1 then greatest(element_at(__ends, __from - 1), coalesce(__reach, element_at(__ends, __from - 1))) else __reach end")
     rows = rows.withColumn("__before", inner)
-    told = rows.select(*on, "__before").select(*on, F.lead("__before").over(by).alias("__next"))
-    rows = beside(rows, told)
     rows = rows.withColumn("__starts", F.expr("slice(__starts, __from, __n)")).withColumn("__ends", F.expr("slice(__ends, __from, __n)"))
-    rows = rows.withColumn("__ends", F.expr("concat(slice(__ends, 1, __n - 1), array(coalesce(__next, __all)))"))
-    rows = rows.select(
+    # a chunk's last period ends where the next chunk's first one has its end before, so only numbers are needed for it
+    last = rows.select(*on, "__before", "__all", F.element_at("__starts", -1).alias("start_ms"))
+    last = last.select(*keys, F.lit("period").alias("kind"), "start_ms", F.coalesce(F.lead("__before").over(by), "__all").alias("end_ms"))
+    inner = rows.select(
         *keys,
         F.explode(
             F.expr(
-                "concat(transform(__starts, (s, i) -> named_struct('kind', 'period', 'start_ms', s, 'end_ms', __ends[i])),"
+                "concat(transform(slice(__starts, 1, __n - 1), (s, i) -> named_struct('kind', 'period', 'start_ms', s, 'end_ms', __ends[i])),"
                 " filter(transform(__starts, (s, i) -> named_struct('kind', 'gap', 'start_ms', case when i = 0 then __before else __ends[i - 1] end, 'end_ms', s)), g -> g.start_ms is not null))"
             )
         ).alias("x"),
     )
-    return rows.select(*keys, "x.kind", "x.start_ms", "x.end_ms")
+    return inner.select(*keys, "x.kind", "x.start_ms", "x.end_ms").unionByName(last)
 
 
 def whole_ms(seconds: str) -> Column:
