@@ -49,6 +49,18 @@ Texto de ejemplo|Texto de relleno|Texto de muestra|Texto provisional|Su texto aq
 请在此输入文字|在此处输入内容|请输入内容|此处填写|此处填写内容|此处输入字幕|单击此处添加标题|点击添加文本|单击以编辑标题|示例文本|示例文字|占位文字|占位文本|样例文本
 여기에 텍스트를 입력하세요|여기에 내용을 입력하세요|여기에 자막을 입력|내용을 입력하세요|제목을 입력하십시오|텍스트를 입력하십시오|예시 텍스트|샘플 텍스트|임시 텍스트|임시 문구입니다
 ข้อความตัวอย่าง|พิมพ์ข้อความที่นี่|ใส่ข้อความที่นี่|यहाँ पाठ लिखें|यहां टेक्स्ट दर्ज करें|नमूना पाठ|नमूना टेक्स्ट
+せりふをここに入力|セリフをここに入力|台詞をここに入力|せりふをここへ|ここにせりふを書く|ここにセリフが入ります|ここに台詞が入ります|訳文をここに入力|翻訳待ち|翻訳中です|翻訳未完了|未訳です|訳文未定|原稿待ち|原稿未着|字幕準備中|字幕未作成|字幕作成中|後で入力|後日記入|後ほど追記します|追って記入
+仮字幕|仮題|本文未入力|内容未入力|要差し替え|差し替え予定|サンプル字幕|見出しを入力|コメントを入力してください|説明を入力してください|メッセージを入力してください|クリックして入力|クリックしてテキストを追加|クリックしてタイトルを入力|ダブルタップして編集|ダブルクリックして編集|ここへ文字を入れる
+Awaiting translation|Not yet translated|Untranslated text|Translation goes here|Translation missing|Missing translation|Dialogue goes here|Insert dialogue here|Insert caption here|Insert subtitle here|Enter caption here|Enter subtitle here|Enter description here|Add description here|Write something here|Put your text here|Caption pending
+Transcript pending|Transcription in progress|Draft text, do not publish|For position only|Copy to come|Copy goes here|Body text goes here|Headline goes here|Insert copy here|Filler text|Temporary text|Test caption|Test subtitle|Example text|Example subtitle|Default text|Double click to edit|Click to edit text|Tap to edit text|Click to add subtitle
+Edit this text|Delete this text and add your own|To be filled in|Fill in later|Details to follow
+Hier Text eingeben|Text folgt|Übersetzung folgt|Übersetzung ausstehend|Untertitel hier einfügen|Untertitel folgt|Hier Untertitel eingeben|Dialog hier einfügen|Text wird nachgereicht|Wird noch ergänzt|Inhalt folgt|Fülltext|Überschrift hier eingeben|Text ersetzen|Titel eingeben|Klicken Sie hier, um Text einzugeben
+Texte à venir|Traduction à venir|Traduction en attente|Texte non traduit|Entrez votre texte ici|Tapez votre texte ici|Écrivez votre texte ici|Contenu à venir|Texte à compléter|Texte à remplir|Texte factice|Dialogue à insérer|Cliquez ici pour saisir du texte|Titre à insérer|Remplacez ce texte
+Texto pendiente|Traducción pendiente|Pendiente de traducción|Texto sin traducir|Inserte el subtítulo aquí|Ingrese su texto aquí|Ingrese el texto|Añada su texto aquí|Contenido pendiente|Texto por completar|Texto por definir|Inserte el diálogo aquí|Haga clic para agregar texto|Haga clic aquí para escribir texto|Reemplace este texto|Texto ficticio
+待翻译|等待翻译|尚未翻译|未翻译|翻译待补|字幕待补|字幕待添加|台词待补|在此输入台词|此处输入台词|请输入字幕|请输入标题|请输入文字|请输入文本|内容待补充|此处待填写|文本待定|在此处添加文字|在此添加标题|双击此处编辑|双击编辑文字|请替换为您的文字|替换此文本|测试文本|测试字幕|单击此处添加文本|此处为正文
+번역 대기 중|번역 예정|미번역|번역되지 않음|자막 준비 중|자막을 입력하세요|대사를 입력하세요|여기에 대사를 입력|내용 추가 예정|추후 입력|추후 작성 예정|텍스트를 입력하세요|제목을 입력하세요|설명을 입력하세요|여기에 입력하세요|클릭하여 제목 추가|더미 텍스트|테스트 자막|예시 문구|문구를 입력하세요
+รอการแปล|ยังไม่ได้แปล|ใส่คำบรรยายที่นี่|พิมพ์คำบรรยายที่นี่|ใส่ข้อความตรงนี้|กรอกข้อความที่นี่|เพิ่มข้อความที่นี่|คลิกเพื่อเพิ่มข้อความ|คลิกเพื่อเพิ่มชื่อเรื่อง|ข้อความทดสอบ|ข้อความจำลอง|ใส่บทพูดที่นี่
+अनुवाद लंबित है|अनुवाद शेष है|अभी अनुवाद नहीं हुआ|यहाँ संवाद लिखें|यहाँ उपशीर्षक लिखें|अपना टेक्स्ट यहाँ लिखें|यहाँ टाइप करें|शीर्षक यहाँ लिखें|शीर्षक जोड़ने के लिए क्लिक करें|उदाहरण पाठ|परीक्षण पाठ
 """
 
 ERROR = """
@@ -75,6 +87,26 @@ Uncaught TypeError, undefined is not a function|Cannot read properties of undefi
 Seite nicht gefunden|Die angeforderte Seite wurde nicht gefunden|Die gesuchte Seite existiert nicht|Zugriff verweigert|Es ist ein Fehler aufgetreten, bitte versuchen Sie es später erneut|Fehler 0|Fehler 0 auf dem Server|Interner Serverfehler|Bitte laden Sie die Seite neu|Ihre Sitzung ist abgelaufen|Dieses Video ist nicht verfügbar|Wegen Wartungsarbeiten nicht erreichbar|Zeitüberschreitung der Verbindung
 Page introuvable|Page non trouvée|La page demandée est introuvable|La page que vous recherchez n'existe pas|Cette page a été supprimée ou déplacée|Accès refusé|Vous n'avez pas l'autorisation d'accéder à cette page|Une erreur est survenue, veuillez réessayer plus tard|Erreur 0|Erreur 0 du serveur, réessayez plus tard|Erreur interne du serveur|Votre session a expiré|Cette vidéo n'est pas disponible|Site en maintenance
 Página no encontrada|La página solicitada no existe|La página que busca no existe|No se ha encontrado la página|Acceso denegado|No tiene permiso para acceder a esta página|Se ha producido un error, inténtelo de nuevo más tarde|Error 0 del servidor|Error interno del servidor|Su sesión ha caducado|Este vídeo no está disponible|Sitio en mantenimiento
+No response from the server|Empty response from the server|Null response from the server|Null response from service|Invalid response from the server|Unexpected response from the server|The service returned an error|The service returned no data|No data received|Empty reply from server|Failed to fetch subtitles|Failed to fetch captions|Failed to retrieve captions|Failed to retrieve data
+Caption service unavailable|Caption service returned an error|Captions are not available|Subtitles are not available|Subtitle track not found|Subtitles could not be loaded|Transcript not available|Transcription failed|Transcription service error|Speech recognition failed|Recognition service timed out|Unable to connect to the server|Could not connect to the server
+Unable to process your request|Request failed, status code 0|Request timed out|The request could not be processed|Service temporarily unavailable|File not found|Resource not found|Invalid request|Invalid token|Authentication failed|Authentication required|Unauthorized access|Your connection is not private|SSL handshake failed|DNS lookup failed|Could not resolve host
+Network unreachable|No internet connection|Playback error|An error occurred during playback|The media could not be loaded because the server or network failed or the format is not supported|Format not supported|Internal error|Unknown error|Unhandled exception|Exception in thread main|Syntax error, unexpected token|Reference error, variable is not defined|List index out of range
+Array index out of bounds|Unexpected end of JSON input|Unexpected token in JSON|Quota exceeded|API limit exceeded|Invalid API key|Maximum retries exceeded|Database error|Query failed|Could not open file
+サーバーから応答がありません|応答がありません|字幕サービスに接続できません|字幕を取得できませんでした|字幕の読み込みに失敗しました|データを取得できませんでした|データの取得に失敗しました|音声認識に失敗しました|認識エラー|タイムアウトしました|処理がタイムアウトしました|リクエストがタイムアウトしました
+不正なリクエストです|認証に失敗しました|ログインが必要です|ネットワークエラー|ネットワークに接続できません|インターネット接続を確認してください|接続に失敗しました|接続が拒否されました|再生エラー|再生中にエラーが発生しました|不明なエラーが発生しました|システムエラーが発生しました|内部エラーが発生しました|サービスは一時的に利用できません|サービスを利用できません
+URLが正しくありません|URLをご確認ください|アドレスが間違っている可能性があります|ページを更新してください|このページは表示できません|ページを表示できません
+服务器无响应|服务器未响应|服务暂时不可用|字幕加载失败|字幕获取失败|无法加载字幕|无法获取数据|数据加载失败|获取数据失败|请求超时|请求失败|连接失败|连接超时|连接被拒绝|无法连接到服务器|网络错误|网络异常|请检查网络连接|发生未知错误|出现未知错误|系统错误|内部错误|认证失败|会话已过期|文件不存在|找不到文件|资源不存在
+语音识别失败|播放失败|播放出错|页面无法显示|无法访问此网站|无法访问此页面|您请求的页面不存在|您要查看的页面不存在|页面出错了|错误代码0|请刷新页面|页面加载失败|加载超时
+서버에 연결할 수 없습니다|서버가 응답하지 않습니다|서버 응답이 없습니다|응답 시간이 초과되었습니다|요청 시간이 초과되었습니다|요청을 처리할 수 없습니다|자막을 불러올 수 없습니다|자막을 불러오지 못했습니다|데이터를 불러올 수 없습니다|네트워크 오류가 발생했습니다|네트워크 연결을 확인해 주세요|인터넷 연결을 확인하세요|알 수 없는 오류가 발생했습니다
+시스템 오류|내부 서버 오류|서비스를 이용할 수 없습니다|서비스 점검 중입니다|인증에 실패했습니다|로그인이 필요합니다|파일을 찾을 수 없습니다|음성 인식에 실패했습니다|재생 오류|재생할 수 없는 동영상입니다|연결이 거부되었습니다|연결에 실패했습니다|페이지를 표시할 수 없습니다|삭제된 페이지입니다|새로고침해 주세요|잠시 후 다시 시도하세요|오류 코드 0
+Server nicht erreichbar|Der Server antwortet nicht|Keine Antwort vom Server|Keine Verbindung zum Server|Verbindung fehlgeschlagen|Verbindung unterbrochen|Netzwerkfehler|Dienst nicht verfügbar|Dienst vorübergehend nicht verfügbar|Ein unbekannter Fehler ist aufgetreten|Ein unerwarteter Fehler ist aufgetreten|Datei nicht gefunden|Untertitel konnten nicht geladen werden|Untertitel nicht verfügbar|Daten konnten nicht geladen werden
+Laden fehlgeschlagen|Anmeldung erforderlich|Anfrage fehlgeschlagen|Zeitüberschreitung der Anfrage|Spracherkennung fehlgeschlagen|Wiedergabefehler|Diese Seite ist nicht verfügbar|Die Seite kann nicht angezeigt werden|Etwas ist schiefgelaufen|Sie haben keine Berechtigung, diese Seite anzuzeigen|Sitzung abgelaufen, bitte melden Sie sich erneut an|Ungültige Anfrage
+Le serveur ne répond pas|Aucune réponse du serveur|Serveur indisponible|Impossible de se connecter au serveur|Connexion refusée|Connexion interrompue|Délai d'attente dépassé|Délai de connexion dépassé|Erreur réseau|Erreur inconnue|Une erreur inattendue s'est produite|Service temporairement indisponible
+Impossible de charger la page|Échec du chargement|Échec de la connexion|Échec de la reconnaissance vocale|Requête invalide|Requête expirée|Veuillez réessayer plus tard|Veuillez vous reconnecter|Veuillez actualiser la page|Erreur de lecture|Contenu indisponible|Page indisponible|Accès interdit
+El servidor no responde|Sin respuesta del servidor|No se pudo conectar con el servidor|Conexión rechazada|Tiempo de espera agotado|Tiempo de conexión agotado|Error desconocido|Ha ocurrido un error inesperado|Se produjo un error inesperado|Algo salió mal, inténtelo de nuevo|Servicio no disponible|Servicio temporalmente no disponible|Archivo no encontrado|No se pudieron cargar los subtítulos|Subtítulos no disponibles
+No se pudo cargar la página|No se pudo cargar el video|Error al cargar|Error de conexión|Error de reproducción|Falló el reconocimiento de voz|Solicitud no válida|Solicitud incorrecta|Vuelva a intentarlo más tarde|Actualice la página|Inicie sesión de nuevo|Contenido no disponible|Página no disponible|Acceso prohibido
+เซิร์ฟเวอร์ไม่ตอบสนอง|ไม่สามารถเชื่อมต่อเซิร์ฟเวอร์ได้|เชื่อมต่อล้มเหลว|การเชื่อมต่อหมดเวลา|ข้อผิดพลาดของเครือข่าย|เกิดข้อผิดพลาดที่ไม่ทราบสาเหตุ|เกิดข้อผิดพลาดภายในเซิร์ฟเวอร์|บริการไม่พร้อมใช้งาน|ไม่พบไฟล์|ไม่สามารถโหลดคำบรรยายได้|โหลดคำบรรยายไม่สำเร็จ|ไม่สามารถโหลดหน้านี้ได้|โปรดลองอีกครั้งในภายหลัง|เซสชันหมดอายุ กรุณาเข้าสู่ระบบใหม่|ปฏิเสธการเข้าถึง|วิดีโอนี้ไม่พร้อมใช้งาน|ข้อผิดพลาด 0
+सर्वर से कोई प्रतिक्रिया नहीं|सर्वर जवाब नहीं दे रहा है|सर्वर से कनेक्ट नहीं हो सका|कनेक्शन विफल|कनेक्शन का समय समाप्त|नेटवर्क त्रुटि|अज्ञात त्रुटि|आंतरिक सर्वर त्रुटि|सेवा उपलब्ध नहीं है|फ़ाइल नहीं मिली|उपशीर्षक लोड नहीं हो सके|पेज लोड नहीं हो सका|पहुँच अस्वीकृत|आपका सत्र समाप्त हो गया है|कृपया पुनः लॉगिन करें|यह वीडियो उपलब्ध नहीं है|त्रुटि 0
 """
 
 SCRIPT = """
@@ -88,6 +120,13 @@ JavaScriptを有効にしてください|JavaScriptが無効になっていま
 Bitte aktivieren Sie JavaScript|JavaScript ist in Ihrem Browser deaktiviert|Diese Seite benötigt JavaScript|Diese Seite benötigt aktivierte Skripte|Ihr Browser unterstützt kein JavaScript|Skripte sind deaktiviert
 Veuillez activer JavaScript|JavaScript est désactivé dans votre navigateur|Cette page nécessite JavaScript|Ce site a besoin de scripts pour fonctionner|Votre navigateur ne prend pas en charge JavaScript|Les scripts sont désactivés
 Active JavaScript para continuar|Active JavaScript para ver esta página|JavaScript está desactivado en su navegador|Este sitio requiere JavaScript|Habilite JavaScript|Su navegador no admite JavaScript|Los scripts están desactivados
+Scripts must be enabled|Scripts must be enabled to display this page|Enable scripts to view this page|Your browser blocks scripts|JavaScript has been blocked|Script execution is disabled|This player requires JavaScript|To view captions, enable JavaScript|Captions need JavaScript
+ブラウザのJavaScript設定を有効にしてください|字幕を表示するにはJavaScriptを有効にしてください
+请允许运行脚本|脚本已被禁用|脚本被阻止|请打开JavaScript|需要启用脚本才能显示|本页面需要JavaScript支持|浏览器未启用JavaScript|스크립트가 차단되었습니다|스크립트가 비활성화되어 있습니다|브라우저에서 스크립트를 허용하세요|자바스크립트가 비활성화되어 있습니다|자바스크립트를 허용해 주세요
+Skripte sind blockiert|Bitte Skripte zulassen|JavaScript ist ausgeschaltet|JavaScript muss aktiviert sein|Für diese Seite muss JavaScript aktiviert sein|Ihr Browser blockiert Skripte
+Les scripts sont bloqués|Autorisez les scripts|JavaScript doit être activé|JavaScript n'est pas activé|JavaScript est requis
+Los scripts están bloqueados|Permita los scripts|JavaScript debe estar habilitado|Se requiere JavaScript|JavaScript no está habilitado|JavaScript está deshabilitado
+จำเป็นต้องเปิด JavaScript|JavaScript ถูกปิดใช้งาน|สคริปต์ถูกปิดใช้งาน|กรุณาอนุญาตสคริปต์|หน้านี้ต้องใช้ JavaScript|JavaScript बंद है|स्क्रिप्ट अक्षम है|कृपया स्क्रिप्ट चालू करें|इस पेज के लिए JavaScript आवश्यक है
 """
 
 

@@ -8,7 +8,8 @@ and holds ``LIKE`` of the weight of one of them: it says the same in other words
 only, of which any such window must hold one, so retrieval loses nothing.
 
 Filler is scored by the words of the treatise that it is cut from. As filler is often made of words like those, words that stand
-among them and nowhere else in the whole corpus are learned (``LEARNED`` of them at most, the most frequent ones).
+among them and nowhere else in the whole corpus are learned, all of them. Weights depend on shares of texts (``RAREST``), not
+on how many texts there are.
 An unfilled place of a template is found by its syntax: those of public template languages, and a bracket around an instruction.
 
 Defined results: null, empty and blank texts are no residue; a segment delivered twice gives one row.
@@ -42,8 +43,11 @@ SHORT = (4, 8)
 GROUP = {"template": "template", "repeated": "repeated", "error": "notice", "script": "notice"}
 #: Words of a window of filler, the share of them that must be filler, and the share that makes a window filler's company.
 WORDS, FILLED, COMPANY = 3, 0.75, 0.4
-#: Learned filler words: most, least texts of each, and the least share of its texts in which it stands in filler's company.
-LEARNED, SEEN, ALONE = 2_000, 3, 0.9
+#: Learned filler words: least texts of each, and the least share of its texts in which it stands in filler's company.
+SEEN, ALONE = 3, 0.9
+#: Share of the texts under which all terms are as rare: else what no text holds would weigh more with every row, and sentences
+#: that are found in a table would be missed in a larger one of the same texts.
+RAREST = 1e-5
 #: Texts that a worker remembers, and the longest of them; results do not depend on them.
 MEMO, BRIEF_TEXT = 200_000, 200
 #: First letters of a word that stand for its forms, and first syllables of a Korean one.
@@ -259,7 +263,7 @@ def statistics(texts: DataFrame, text_col: str = "text") -> tuple[dict[str, floa
     """The inverse document frequency of every term of the index over all texts, and the learned words of filler.
 
     One number a term of the index and the learned words come to the driver; the former are those of the exemplars, the
-    latter ``LEARNED`` at most, so neither grows with the data.
+    latter filler's own vocabulary, words that hardly any other text has.
     """
     schema = StructType([StructField("term", LongType()), StructField("word", StringType()), StructField("n", LongType()), StructField("among", LongType())])
 
@@ -282,15 +286,17 @@ def statistics(texts: DataFrame, text_col: str = "text") -> tuple[dict[str, floa
         return {name: [r[k] for r in rows] for k, name in enumerate(schema.names)}
 
     rows = map_columns(texts.select(texts[text_col].alias("text")), count, schema).groupBy("term", "word").agg(F.sum("n").alias("n"), F.sum("among").alias("among"))
-    # the most frequent of the words that stand in filler's company only, and all counts of the index's terms
+    # the words that stand in filler's company only, and all counts of the index's terms
     learned = F.col("word").isNotNull() & (F.col("among") >= SEEN) & (F.col("among") >= ALONE * F.col("n"))
-    rank = F.when(F.col("term").isNotNull(), F.lit(1 << 62)).otherwise(F.col("among"))
-    index = _index()
-    got = rows.where(F.col("term").isNotNull() | learned).orderBy(rank.desc(), "word").limit(len(index.all) + 1 + LEARNED).collect()
+    got = rows.where(F.col("term").isNotNull() | learned).collect()
     counts = {r.term: r.n for r in got if r.term is not None}
-    n = counts.get(-1, 0) + 1
-    weight = {t: math.log(n / (counts.get(i, 0) + 1)) + 1 for i, t in enumerate(index.all)}
-    return weight | {"": math.log(n) + 1}, frozenset([r.word for r in got if r.term is None][:LEARNED])
+    return weights(_index().all, counts, counts.get(-1, 0)), frozenset(r.word for r in got if r.term is None)
+
+
+def weights(terms: list[str], counts: dict[int, int], n: int) -> dict[str, float]:
+    """The inverse document frequency of every term, of ``counts`` by its number in ``n`` texts, and that of "" for any other."""
+    least = max(1.0, RAREST * n)
+    return {t: math.log((n + 1) / (counts.get(i, 0) + least)) + 1 for i, t in enumerate(terms)} | {"": math.log((n + 1) / least) + 1}
 
 
 _made: dict = {}

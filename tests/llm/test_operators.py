@@ -194,6 +194,23 @@ def test_filler_words_are_learned(spark):
     assert (50,) in rows(residue.residue(df))
 
 
+def test_filler_words_are_learned_all(spark):
+    """More learned words than any bound there was (2,000): one a text, in three texts each."""
+    words = ["".join(chr(97 + i // 26**k % 26) for k in range(3)) + "quor" for i in range(2100)]
+    df = segs(spark, [(0.0, 1.0, f"lorem ipsum dolor {w}") for w in words for _ in range(3)])
+    assert residue.statistics(df)[1] >= set(words)
+
+
+def test_residue_is_the_same_in_a_larger_table():
+    """A table and 700 copies of it, the size of 6 GB: weights and what is found are those of the table."""
+    index, n = residue.Index(), 1_000_000
+    counts = {i: n // 500 for t, i in index.number.items() if len(t.strip()) <= 3 and t.isascii()}
+    one, many = residue.weights(index.all, counts, n), residue.weights(index.all, {i: 700 * c for i, c in counts.items()}, 700 * n)
+    assert many == pytest.approx(one, abs=1e-4)
+    text = residue.plain(["Null response from caption service", "翻訳待ち", "せりふをここへ"])
+    assert all(map(index.weigh(many).residue, text)) and all(map(index.weigh(one).residue, text))
+
+
 def corpus():
     r = random.Random(5)
     en = ["Mr. Pell went home.", "It costs approx. 3.5 coins.", "Where did Wren go?", "Found it at last!", "“Run!” Bram said.", "She left at 6 p.m. yesterday.", "“Look. Run!” Wren said."]
