@@ -1,10 +1,11 @@
 """Captions into clean speaker turns (problem 6).
 
-An automaton holds the labels of the survey, the annotations of sounds and the fillers; what it finds in a line, and the times,
+An automaton holds the annotations of sounds and the fillers; what it finds in a line, and the times,
 glyphs, tags and music marks, are intervals that are subtracted from the line. Context decides what a match, a bracket or a
 colon means: a bracket where a line begins (after times, markers and sounds) is a label if the survey knows it or it is no
 sentence, unless it is a sound; what stands before a colon is one if the survey knows it or it is of three words at most, unless a
-digit stands before the colon; a filler is one where a pause follows. Spellings of a label are one speaker if they are equal without case, width, invisible characters,
+digit stands before the colon; a filler is one where a pause follows. A line asks the survey one thing at most, so it is read for
+both answers and what it asks is joined with all labels of the survey. Spellings of a label are one speaker if they are equal without case, width, invisible characters,
 look-alikes and a suffix for a voice that is off; a label in kana is the name whose reading the ruby gives. Windows carry the speaker
 on over the cues of a reel, in blocks of time.
 
@@ -30,9 +31,6 @@ from cuelight.session import cut
 #: Seconds of one block of a reel's time.
 BLOCK_S = 3600
 
-#: Labels of the survey that the automaton holds, at most: those that the most reels have. Labels beyond are read by their context alone.
-LABELS = 50_000
-
 #: Annotations of sounds, as guidelines for captions of several languages name them; a Japanese one may stand at
 #: the end of a longer one.
 SOUNDS = (
@@ -65,24 +63,17 @@ _pause = re.compile(r"\s*(?:[、,，…‥—–]|\.{2,})+\s*|$")
 _twins = re.compile("[" + "".join(TO_LATIN) + "]")
 
 
-def automaton(labels: tuple = ()):
-    """Labels, sounds and fillers, folded and in lower case, as {kind: length}; the last one is kept by a worker."""
-    global _made
-    if _made is None or _made[0] != labels:
-        import ahocorasick
-
-        a = ahocorasick.Automaton()
-        for kind, words in (("label", labels), ("sound", SOUNDS), ("filler", FILLERS)):
-            for w in words:
-                w = _lower(fold(w).strip())
-                if w:
-                    a.add_word(w, {**a.get(w, {}), kind: len(w)})
-        a.make_automaton()
-        _made = (labels, a)
-    return _made[1]
-
+@lru_cache(maxsize=1)
+def automaton():
+    """Sounds and fillers, folded and in lower case, as {kind: length}; one a worker."""
+    import ahocorasick
 
-_made = None
+    a = ahocorasick.Automaton()
+    for kind, words in (("sound", SOUNDS), ("filler", FILLERS)):
+        for w in map(surveyed_as, words):
+            a.add_word(w, {**a.get(w, {}), kind: len(w)})
+    a.make_automaton()
+    return a
 
 
 def _lower(text: str) -> str:
@@ -92,10 +83,15 @@ def _lower(text: str) -> str:
     return low if low.isascii() else _twins.sub(lambda m: TO_LATIN[m.group()].lower(), low)
 
 
-def matches(line: str, labels: tuple = ()) -> dict[str, list[tuple[int, int]]]:
+def surveyed_as(label: str) -> str:
+    """A label as the survey is asked for it: folded, in lower case, without outer white space."""
+    return _lower(fold(label).strip())
+
+
+def matches(line: str) -> dict[str, list[tuple[int, int]]]:
     """The places of what the automaton finds in a folded line, by kind."""
-    out: dict[str, list[tuple[int, int]]] = {"label": [], "sound": [], "filler": []}
-    for end, kinds in automaton(labels).iter(_lower(line)):
+    out: dict[str, list[tuple[int, int]]] = {"sound": [], "filler": []}
+    for end, kinds in automaton().iter(_lower(line)):
         for kind, size in kinds.items():
             out[kind].append((end + 1 - size, end + 1))
     return out
@@ -126,13 +122,20 @@ def speaker_id(label: str) -> str:
 
 
 def read_line(line: str, labels: tuple = (), clean: bool = True) -> tuple[str | None, bool, str]:
-    """Of a folded line: its label, whether it has speech, and (if ``clean``) its clean text; ``labels`` are known ones."""
-    at, label, n = 0, None, len(line)
+    """Of a folded line: its label, whether it has speech, and (if ``clean``) its clean text; ``labels`` are known ones, as ``surveyed_as``."""
+    *read, asked = read_for(line, False, clean)
+    return tuple(read_for(line, True, clean)[:3] if asked is not None and asked in labels else read)
+
+
+def read_for(line: str, known: bool, clean: bool = True) -> tuple[str | None, bool, str, str | None]:
+    """``read_line`` if what it asks the survey for is ``known`` there or not, and what that is. It asks once at most: the
+    answer is a label, behind which there is no other, or ends the search."""
+    at, label, n, asked = 0, None, len(line), None
     special = _special.search(line)
     if not special and not clean:  # nothing but words
-        return None, bool(_word.search(line)), ""
-    found = matches(line, labels)
-    known, sounds = set(found["label"]), found["sound"]
+        return None, bool(_word.search(line)), "", None
+    found = matches(line)
+    sounds = found["sound"]
     while special and at < n:
         if line[at].isspace():
             at += 1
@@ -147,15 +150,23 @@ def read_line(line: str, labels: tuple = (), clean: bool = True) -> tuple[str |
             if label is None or heard:
                 if not heard:
                     # what the survey knows is a label, whatever it looks like; else it must be a name
-                    if not re.search(r"[^\W\d]", m.group(1)) or (m.span(1) not in known and re.search("[。!?…]", m.group(1))):
+                    if not re.search(r"[^\W\d]", m.group(1)):
                         break
+                    if re.search("[。!?…]", m.group(1)):
+                        asked = _lower(line)[slice(*m.span(1))]
+                        if not known:
+                            break
                     label = m.group(1)
                 at = m.end()
                 if label is not None and line[at : at + 1] == ":":
                     at += 1
                 continue
         m = _colon.match(line, at) if label is None else None
-        if m and not m.group(1)[-1].isdigit() and re.search(r"[^\W\d]", m.group(1)) and (m.span(1) in known or m.group(1).count(" ") < 3):
+        if m and not m.group(1)[-1].isdigit() and re.search(r"[^\W\d]", m.group(1)):
+            if m.group(1).count(" ") >= 3:
+                asked = _lower(line)[slice(*m.span(1))]
+                if not known:
+                    break
             label = m.group(1)
             at = m.end()
             continue
@@ -166,13 +177,13 @@ def read_line(line: str, labels: tuple = (), clean: bool = True) -> tuple[str |
         cuts += [m.span() for m in _bracket.finditer(rest) if _is_sound(line, m.start(1) + at, m.end(1) + at, sounds)]
     spoken = bool(_word.search(_subtract(rest, cuts)))
     if not spoken or not clean:
-        return label, spoken, ""
+        return label, spoken, "", asked
     for a, b in found["filler"]:
         # a filler stands between a beginning or a mark and a pause
         pause = _pause.match(line, b)
         if a >= at and pause and not _word.search(line[max(0, a - 1) : a]):
             cuts.append((a - at, pause.end() - at))
-    return label, True, re.sub(r"\s+", " ", _subtract(rest, cuts)).strip()
+    return label, True, re.sub(r"\s+", " ", _subtract(rest, cuts)).strip(), asked
 
 
 def _subtract(text: str, cuts: list[tuple[int, int]]) -> str:
@@ -184,41 +195,46 @@ def _subtract(text: str, cuts: list[tuple[int, int]]) -> str:
     return "".join([*out, text[at:]])
 
 
-def known_labels(cue_stats: DataFrame) -> tuple:
-    """The survey's labels, ``LABELS`` at most, those of the most reels first."""
-    rows = cue_stats.select("stem", "reel", F.explode("speakers").alias("key", "n")).where("key rlike '\\\\S' and length(key) <= 200")
-    rows = rows.groupBy("key").agg(F.countDistinct("stem", "reel").alias("reels")).orderBy(F.desc("reels"), "key").limit(LABELS)
-    return tuple(r.key for r in rows.select("key").collect())
-
-
-def lines(cues: DataFrame, labels: tuple = (), clean: bool = True) -> DataFrame:
-    """(cue_id, stem, reel, start_s, end_s, lines, readings): every cue once with its lines, cleaned (line_no, label, id, spoken, text)."""
-    known = cues.sparkSession.sparkContext.broadcast(labels)
+def lines(cues: DataFrame, clean: bool = True) -> DataFrame:
+    """(cue_id, stem, reel, start_s, end_s, lines, readings): every cue once with its lines, cleaned (line_no, label, id, spoken,
+    text); what a line asks the survey for (``asked``), and what it is if that is a label there (``if_known``)."""
     rows = cues.select("cue_id", "stem", "reel", "start_s", "end_s", "text", "ruby").where("start_s is not null and text is not null").dropDuplicates(["cue_id"])
     names = ["cue_id", "stem", "reel", "start_s", "end_s"]
-    item = StructType([StructField("line_no", LongType()), StructField("label", StringType()), StructField("id", StringType()), StructField("spoken", BooleanType()), StructField("text", StringType())])
+    read = [StructField("label", StringType()), StructField("id", StringType()), StructField("spoken", BooleanType()), StructField("text", StringType())]
+    item = StructType([StructField("line_no", LongType()), *read, StructField("asked", StringType()), StructField("if_known", StructType(read))])
     schema = StructType([*(rows.schema[n] for n in names), StructField("lines", ArrayType(item)), StructField("readings", ArrayType(StringType()))])
 
+    def one(label: str | None, spoken: bool, said: str) -> dict:
+        return {"label": label, "id": label and speaker_id(label), "spoken": spoken, "text": said}
+
     def batch(*columns: list) -> dict:
         out = dict(zip(names, columns))
-        read = []
+        every = []
         for text in fold_all(columns[5]):
             own = []
             for k, line in enumerate(text.split("\n")):
-                label, spoken, said = read_line(line, known.value, clean)
-                if label is not None or spoken:
-                    own.append({"line_no": k + 1, "label": label, "id": label and speaker_id(label), "spoken": spoken, "text": said})
-            read.append(own)
-        return out | {"lines": read, "readings": [[speaker_id(r) for r in ruby or [] if r] for ruby in columns[6]]}
+                *got, asked = read_for(line, False, clean)
+                if got[0] is not None or got[1] or asked is not None:
+                    own.append({"line_no": k + 1, **one(*got), "asked": asked, "if_known": asked and one(*read_for(line, True, clean)[:3])})
+            every.append(own)
+        return out | {"lines": every, "readings": [[speaker_id(r) for r in ruby or [] if r] for ruby in columns[6]]}
 
     return map_columns(rows, batch, schema)
 
 
+def answered(rows: DataFrame, surveyed: DataFrame, read: list[str]) -> DataFrame:
+    """The rows of lines with what they are (``read``) by all labels of the survey: only lines that ask it for one are joined."""
+    others = [c for c in rows.columns if c not in (*read, "asked", "if_known")]
+    asking = rows.where("asked is not null").join(surveyed.select(F.col("key_as").alias("asked"), F.lit(True).alias("there")).distinct(), "asked", "left")
+    asking = cut(asking.select(*others, *(F.when(F.col("there"), F.col(f"if_known.{c}")).otherwise(F.col(c)).alias(c) for c in read)))
+    return rows.where("asked is null").select(*others, *read).unionByName(asking.where("label is not null or spoken"))
+
+
 def survey_keys(cue_stats: DataFrame) -> DataFrame:
-    """(stem, reel, key, id, n): the labels of the survey with the speaker of each spelling."""
+    """(stem, reel, key, n, id, key_as): the labels of the survey with the speaker of each spelling, and as lines ask for it."""
     rows = cue_stats.select("stem", "reel", F.explode("speakers").alias("key", "n")).groupBy("stem", "reel", "key").agg(F.max("n").alias("n"))
-    schema = StructType([*rows.schema.fields, StructField("id", StringType())])
-    return map_columns(rows, lambda stem, reel, key, n: {"stem": stem, "reel": reel, "key": key, "n": n, "id": [speaker_id(k or "") for k in key]}, schema)
+    schema = StructType([*rows.schema.fields, StructField("id", StringType()), StructField("key_as", StringType())])
+    return map_columns(rows, lambda stem, reel, key, n: {"stem": stem, "reel": reel, "key": key, "n": n, "id": [speaker_id(k or "") for k in key], "key_as": [surveyed_as(k or "") for k in key]}, schema)
 
 
 def _speakers(rows: DataFrame, keys: list[str], block: str, order: list[str]) -> DataFrame:
@@ -245,9 +261,12 @@ def spoken_lines(cues: DataFrame, cue_stats: DataFrame, text: bool = False) -> D
     """The spoken lines with their speaker (``who``) and the speaker before (``before``), both an id, and the speaker's name;
     with their clean text, if wanted. What is read again is written to the checkpoint folder, so nothing is computed twice."""
     names = ["stem", "reel", "cue_id", "start_s"]
-    rows = lines(cues, known_labels(cue_stats), text).select(*names, F.explode("lines").alias("x"), "readings")
-    rows = cut(rows.select(*names, "x.line_no", "x.label", "x.id", "x.spoken", *(["x.text"] if text else []), F.when(F.col("x.id").isNotNull(), F.col("readings")).alias("readings")))
+    read = ["label", "id", "spoken", *(["text"] if text else [])]
+    rows = lines(cues, text).select(*names, F.explode("lines").alias("x"), "readings")
+    has_label = F.col("x.id").isNotNull() | F.col("x.asked").isNotNull()
+    rows = cut(rows.select(*names, "x.line_no", *(f"x.{c}" for c in read), "x.asked", "x.if_known", F.when(has_label, F.col("readings")).alias("readings")))
     surveyed = cut(survey_keys(cue_stats))
+    rows = answered(rows, surveyed, read)
     # a reading is the name of the label that it stands with most often, in the reel, else in the whole corpus
     pairs = rows.where("id is not null").select("stem", "reel", "id", F.explode(F.array_distinct("readings")).alias("reading")).where("id <> reading").groupBy("stem", "reel", "reading", "id").agg(F.count("*").alias("n"))
     kana = rows.where("id rlike '^[ぁ-ゖー]+$'").select("stem", "reel", F.col("id").alias("reading")).distinct()

@@ -343,6 +343,16 @@ def cues(spark, values):
     return spark.createDataFrame([(i, "s", 0, *v, "x", "y", 7) for i, v in enumerate(values)], CUE)
 
 
+def test_labels_of_a_large_survey_are_all_known(spark):
+    """More labels than the 50,000 that there were at most, and one of more than 200 characters."""
+    late, long = "zz who is it there", "The voice! " + "la " * 70 + "again"
+    columns = "cue_id long, stem string, reel long, start_s double, end_s double, text string, ruby array<string>"
+    df = spark.createDataFrame([(1, "s", 0, 1.0, 2.0, f"{late.upper()}: Come in.", None), (2, "s", 0, 3.0, 4.0, f"[{long}] No.", None), (3, "s", 0, 5.0, 6.0, "Here is what I say: no.", None)], columns)
+    stats = spark.createDataFrame([("s", 0, {late: 3, long: 2}), ("t", 0, {})], "stem string, reel long, speakers map<string,long>")
+    others = spark.range(50_000).selectExpr("'t' stem", "1L reel", "map(concat('a ', id), 1L) speakers")
+    assert rows(turns.turn_starts(df, stats.unionByName(others))) == [(1, 1, late), (2, 1, long)]
+
+
 def test_turns(spark):
     values = [
         (1.0, 2.0, "だれもまだ", None),
