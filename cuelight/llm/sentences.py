@@ -12,8 +12,8 @@ Where there is neither a mark nor a space that could end a sentence, every gap b
 script has no spaces) is one for a second n-gram model of the same kind, ``Inner``: it is counted over the sentences that
 the first one finds, without their marks and capitals, so it knows how sentences end and begin when nothing shows it.
 
-The model is fitted on a bounded sample of texts (``SAMPLE``, ``CHARACTERS``) by the hashes of their ids and broadcast; its
-size is bounded with the sample. All texts are split, whole.
+The model is fitted on all texts: every distinct one is counted where it is read, in steps that each need the sums of the one
+before, and the sums are broadcast. Their number grows with the number of different word sequences. All texts are split, whole.
 
 Defined results: null, empty and blank texts have no sentence and no cut; a text delivered twice is split once.
 """
@@ -22,19 +22,18 @@ from __future__ import annotations
 
 import re
 from collections import Counter, defaultdict
+from collections.abc import Callable
 from math import exp, log
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import LongType, StructField, StructType
+from pyspark.sql.types import DoubleType, LongType, StringType, StructField, StructType
 
 from cuelight.functions.batches import map_columns, spread
 from cuelight.llm import residue
 from cuelight.llm.lookalikes import INVISIBLE, TO_LATIN, fold
+from cuelight.session import cut
 
-#: Texts that the model is fitted on, about (a share of the hashes of their ids), and their characters; longer texts than LONG are
-#: split, but not learned from.
-SAMPLE, CHARACTERS, LONG = 25_000, 2_000_000, 2_000
 #: Tokens that the second model looks back on and log odds that it needs, in scripts without spaces and with them; and the least
 #: share of the places after the last words of a gap that end a sentence, for its text to be looked at.
 ORDER, SPACED, SURE, SURE_SPACED, ENDING = 5, 4, 4.0, 2.5, 0.05
@@ -49,6 +48,9 @@ BEFORE, AFTER = 4, 3
 #: A word of fewer texts is known by its shape only.
 RARE = 4
 
+#: Between the words of a key: white space, so in no word.
+SEP = "\x1f"
+
 #: Entries of each memo of a worker, and the longest texts in one; results do not depend on them.
 MEMO, SHORT = 200_000, 200
 
@@ -169,24 +171,11 @@ def tokens(part: str) -> list[str]:
 class Inner:
     """The hidden-event n-gram model of texts that show no boundary: P(word or event | words before), by Witten-Bell."""
 
-    def __init__(self, sentences: Counter):
-        self.counts: dict[tuple, float] = {}
-        kinds: Counter = Counter()
-        for sentence, times in sentences.items():
-            s = script(sentence)
-            order = ORDER if s in _dense else SPACED
-            words = [t for t, _, _ in self.words(sentence)]
-            if len(words) < 2:
-                continue
-            row = ["<b>", *words, "<b>"]
-            many = 1 + log(times)  # copies say a little more
-            for i in range(1, len(row)):
-                for k in range(min(order, i + 1)):
-                    key = (s, *row[i - k : i + 1])
-                    if key not in self.counts:
-                        self.counts[key] = 0.0
-                        kinds[key[:-1]] += 1
-                    self.counts[key] += many
+    def __init__(self, sentences: Counter | None = None, sums: dict | None = None):
+        if sums is None:
+            sums = self.grams(list(sentences), list(sentences.values()))
+        self.counts: dict[tuple, float] = {tuple(k.split(SEP)): n for k, (n, _) in sums.items()}
+        kinds = Counter(k[:-1] for k in self.counts)
         totals: dict[tuple, float] = defaultdict(float)
         for key, n in self.counts.items():
             totals[key[:-1]] += n
@@ -198,6 +187,26 @@ class Inner:
         self.firsts = {k[2][0] for k in self.counts if len(k) == 3 and k[1] == "<b>"} | {"0"}
         self.memo: dict[str, list[int]] = {}
 
+    @classmethod
+    def grams(cls, sentences: list[str], times: list[int]) -> dict[str, list]:
+        """The counts of the word sequences of distinct sentences. They are whole multiples of a small share, so sums do not
+        depend on the order."""
+        out: dict[str, list] = defaultdict(lambda: [0.0, 0])
+        for sentence, n in zip(sentences, times):
+            s = script(sentence)
+            order = ORDER if s in _dense else SPACED
+            words = [t for t, _, _ in cls.words(sentence)]
+            if len(words) < 2:
+                continue
+            row = ["<b>", *words, "<b>"]
+            many = round((1 + log(n)) * 2**20) / 2**20  # copies say a little more
+            for i in range(1, len(row)):
+                for k in range(min(order, i + 1)):
+                    e = out[SEP.join((s, *row[i - k : i + 1]))]
+                    e[0] += many
+                    e[1] += 1
+        return out
+
     def search(self):
         """The automaton of the endings, one a worker process."""
         import ahocorasick
@@ -322,31 +331,75 @@ class Inner:
 
 
 class Model:
-    """Counts of the hidden-event n-gram model."""
-
-    def __init__(self, texts: list[str]):
-        copies = Counter(texts)
-        many: Counter = Counter()
-        for t in copies:
-            many.update(set(tokens(t)))
-        self.known = {w for w, n in many.items() if n >= RARE}
-        self.known_lefts: dict[tuple, tuple] = {}
-        self.ends: dict = defaultdict(lambda: [0.0, 0.0])  # context -> texts it ends, texts it is in
-        self.first: Counter = Counter()
-        self.after: Counter = Counter()
-        self.kinds: Counter = Counter()
-        self.word: Counter = Counter()
-        for t, n in many.items():
-            self.word[self.name(t)] += n
+    """Counts of the hidden-event n-gram model. ``total`` gives the sums of a step over all distinct texts, and those of a step
+    over the keys of another; without it they are those of ``texts``."""
+
+    def __init__(self, texts: list[str] | None = None, total: Callable | None = None):
+        if total is None:
+            copies = Counter(texts)
+
+            def total(step: Callable, then: Callable | None = None, least: int = 1) -> dict:
+                sums = step(list(copies), list(copies.values()))
+                sums = then(list(sums), [n for _, n in sums.values()]) if then else sums
+                return {k: (a, n) for k, (a, n) in sums.items() if n >= least}
+
+        self.known, self.word, self.ends, self.share = set(), Counter(), {}, {}
+        self.known_lefts, self.lefts, self.rights, self.ratios, self.done = {}, {}, {}, {}, {}
+        self.inner = None
+        for w, (known, n) in total(self.tokens_of, self.names_of).items():
+            self.word[w] = n
+            if known:
+                self.known.add(w)
         self.words_seen = sum(self.word.values()) + 1
-        seen = []
-        for t, times in copies.items():
-            s = script(t)
-            body = t.strip()
-            inner = spans(t)
-            marks = re.search(f"([{MARKS}][{MARKS}{_i}]*)[{re.escape(CLOSERS)}{_i}\\s]*$", t)
-            found = [g for g in gaps(t) if not any(a < g[0] and g[1] <= b for a, b in inner)]
-            seen.append((t, s, found, times))
+        firsts: dict = {}
+        for k, (e, n) in total(self.edges_of, least=2).items():
+            of, *c = k.split(SEP)
+            (self.ends if of == "end" else firsts)[tuple(c)] = (e, n)
+        # the share of sentences that are their text's last, by script
+        for s in {c[0] for c in self.ends}:
+            strong = [self.ends[c] for c in self.ends if len(c) == 2 and c[0] == s and c[1][:1] in "。!?।" and c[1]]
+            a, b = sum(x[0] for x in strong), sum(x[1] for x in strong)
+            self.share[s] = min(0.9, max(0.05, a / b)) if b else 0.5
+        self.first = {c: n for c, (_, n) in firsts.items()}
+        self.after = {tuple(k.split(SEP)): n for k, (_, n) in total(self.insides_of).items()}
+        self.kinds: Counter = Counter()
+        for x in (self.first, self.after):  # kinds of words that follow each context
+            for k in x:
+                if len(k) > 1:
+                    self.kinds[k[:-1]] += 1
+        self.inner = Inner(sums=total(self.parts_of, Inner.grams))
+
+    def __getstate__(self) -> dict:
+        return self.__dict__ | {m: {} for m in ("known_lefts", "lefts", "rights", "ratios", "done")}
+
+    def tokens_of(self, texts: list[str], times: list[int]) -> dict[str, list]:
+        """The distinct texts that each word is in."""
+        out: Counter = Counter()
+        for t in texts:
+            out.update(set(tokens(t)))
+        return {w: [0, n] for w, n in out.items()}
+
+    def names_of(self, words: list[str], many: list[int]) -> dict[str, list]:
+        """The same by what words are known by, and whether that is themselves."""
+        out: dict[str, list] = defaultdict(lambda: [0, 0])
+        for w, n in zip(words, many):
+            e = out[w if n >= RARE else shape(w)]
+            e[0] += n >= RARE
+            e[1] += n
+        return out
+
+    @staticmethod
+    def found(t: str) -> tuple[str, list, re.Match | None]:
+        """Of a text: its script, its gaps outside quotations and its last marks."""
+        inner = spans(t)
+        marks = re.search(f"([{MARKS}][{MARKS}{_i}]*)[{re.escape(CLOSERS)}{_i}\\s]*$", t)
+        return script(t), [g for g in gaps(t) if not any(a < g[0] and g[1] <= b for a, b in inner)], marks
+
+    def edges_of(self, texts: list[str], times: list[int]) -> dict[str, list]:
+        """How often each context ends a text and is in one, and how texts begin."""
+        out: dict[str, list] = defaultdict(lambda: [0, 0])
+        for t, n in zip(texts, times):
+            s, found, marks = self.found(t)
             tail = self.left(t, marks.start() if marks else len(t.rstrip()), t[marks.start() : len(t.rstrip())] if marks else "", s)
             own: dict[tuple, int] = dict.fromkeys(self.contexts(tail), 1)
             at = [0, *(g[2] for g in found)]
@@ -356,48 +409,36 @@ class Model:
                     for c in self.contexts(self.left(t, begin, t[begin:end], s)):
                         own.setdefault(c, 0)
             for c, last in own.items():
-                e = self.ends[c]
-                e[0] += last * times
-                e[1] += times
-            self.starts(s, self.right(body, 0), times)
-        # the share of sentences that are their text's last, by script
-        self.share = {}
-        for s in {x[1] for x in seen}:
-            strong = [self.ends[c] for c in self.ends if len(c) == 2 and c[0] == s and c[1][:1] in "。!?।" and c[1]]
-            a, b = sum(x[0] for x in strong), sum(x[1] for x in strong)
-            self.share[s] = min(0.9, max(0.05, a / b)) if b else 0.5
-        for t, s, found, times in seen:
+                e = out[SEP.join(("end", *c))]
+                e[0] += last * n
+                e[1] += n
+            r = self.right(t.strip(), 0)
+            for k in range(len(r) + 1):
+                out[SEP.join(("first", s, *r[:k]))][1] += n
+        return out
+
+    def insides_of(self, texts: list[str], times: list[int]) -> dict[str, list]:
+        """The words behind gaps that hardly end a sentence."""
+        out: dict[str, list] = defaultdict(lambda: [0, 0])
+        for t, n in zip(texts, times):
+            s, found, _ = self.found(t)
             for begin, end, follow, _ in found:
                 left = self.left(t, begin, t[begin:end], s)
                 if self.event(left) < 0.2:
                     r = self.right(t, follow)
-                    for k in range(1, len(r) + 1):
-                        self.after[(s, "", *r[:k])] += times
-                        self.after[(s, *left[-2:], *r[:k])] += times
-                    self.after[s, ""] += times
-                    self.after[(s, *left[-2:])] += times
-        self.ends = {c: (e, n) for c, (e, n) in self.ends.items() if n > 1}
-        for x in (self.first, self.after):  # kinds of words that follow each context
-            for k in list(x):
-                if len(k) > 1:
-                    self.kinds[k[:-1]] += 1
-        self.first, self.after = dict(self.first), dict(self.after)
-        self.lefts, self.rights, self.ratios = {}, {}, {}
-        self.inner = None
-        parts: Counter = Counter()
-        for t, times in copies.items():
+                    for k in range(len(r) + 1):
+                        out[SEP.join((s, "", *r[:k]))][1] += n
+                        out[SEP.join((s, *left[-2:], *r[:k]))][1] += n
+        return out
+
+    def parts_of(self, texts: list[str], times: list[int]) -> dict[str, list]:
+        """The sentences of the texts, as the first model splits them."""
+        out: dict[str, list] = defaultdict(lambda: [0, 0])
+        for t, n in zip(texts, times):
             at = [0, *self.cuts(t), len(t)]
             for a, b in zip(at, at[1:]):
-                parts[t[a:b].strip()] += times
-        self.inner = Inner(parts)
-        self.done: dict[str, list[int]] = {}  # texts that a worker has split
-        for memo in (self.known_lefts, self.lefts, self.rights, self.ratios):
-            memo.clear()  # they are not sent to the workers
-
-    def starts(self, s: str, r: list[str], times: int) -> None:
-        self.first[s,] += times
-        for k in range(1, len(r) + 1):
-            self.first[(s, *r[:k])] += times
+                out[t[a:b].strip()][1] += n
+        return out
 
     def name(self, t: str) -> str:
         return t if t in self.known else shape(t)
@@ -554,15 +595,39 @@ def _add(a: float, b: float) -> float:
     return hi + log(1 + exp(lo - hi)) if hi - lo < 50 else hi
 
 
-def fit(texts: DataFrame, id_col: str, known: tuple, text_col: str = "text") -> Model:
-    """The model of a bounded sample of the texts, copies as often as they are there; ``known`` are residue's statistics."""
-    rows = texts.select(texts[id_col], texts[text_col].alias("t")).where(F.col("t").rlike("\\S") & (F.length("t") <= LONG))
-    # rows whose hash lies under the share that makes the sample's size of all; counted first, so that no more are sent
-    total, characters = rows.agg(F.count("*"), F.coalesce(F.sum(F.length("t")), F.lit(0))).first()
-    part = min(1.0, SAMPLE / max(total, 1), CHARACTERS / max(characters, 1))
-    share = F.expr(f"pmod(xxhash64({id_col}), {1 << 40}) < {part!r} * {1 << 40}")
-    sample = sorted(r.t for r in rows.where(share).select("t").limit(2 * SAMPLE).collect())
-    return Model([t for t, f in zip(sample, residue.flags(sample, known)) if not f])
+def fit(texts: DataFrame, known: tuple, text_col: str = "text") -> Model:
+    """The model of all texts, copies as often as they are there; ``known`` are residue's statistics."""
+    context = texts.sparkSession.sparkContext
+    weight = context.broadcast(known)
+    schema = StructType([StructField("k", StringType()), StructField("n", LongType())])
+
+    def speech(t: list, n: list) -> dict:
+        kept = [x for x in zip(t, n, residue.flags(t, weight.value)) if not x[2]]
+        return {"k": [x[0] for x in kept], "n": [x[1] for x in kept]}
+
+    rows = texts.select(texts[text_col].alias("k")).where(F.col("k").rlike("\\S")).groupBy("k").agg(F.count("*").alias("n"))
+    copies = cut(map_columns(rows, speech, schema))
+
+    def total(step: Callable, then: Callable | None = None, least: int = 1) -> dict:
+        sums = copies
+        for s in (step, then) if then else (step,):
+            sums = _sums(sums.select("k", "n"), s)
+        got = sums.where(F.col("n") >= least).toArrow()
+        return dict(zip(got["k"].to_pylist(), zip(got["a"].to_pylist(), got["n"].to_pylist())))
+
+    return Model(total=total)
+
+
+def _sums(rows: DataFrame, step: Callable) -> DataFrame:
+    """(k, a, n): the sums of a step over all rows (k, n)."""
+    sent = rows.sparkSession.sparkContext.broadcast(step)
+    schema = StructType([StructField("k", StringType()), StructField("a", DoubleType()), StructField("n", LongType())])
+
+    def run(k: list, n: list) -> dict:
+        out = sent.value(k, n)
+        return {"k": list(out), "a": [float(a) for a, _ in out.values()], "n": [n for _, n in out.values()]}
+
+    return map_columns(rows, run, schema).groupBy("k").agg(F.sum("a").alias("a"), F.sum("n").alias("n"))
 
 
 def boundaries(segments: DataFrame, id_col: str = "seg_id", text_col: str = "text", of_residue: bool = False) -> DataFrame:
@@ -571,7 +636,7 @@ def boundaries(segments: DataFrame, id_col: str = "seg_id", text_col: str = "tex
     rows = segments.select(segments[id_col], segments[text_col].alias("__text")).where("__text is not null")
     context = segments.sparkSession.sparkContext
     known = residue.statistics(rows, "__text")
-    model = context.broadcast(fit(rows, id_col, known, "__text"))
+    model = context.broadcast(fit(rows, known, "__text"))
     weight = context.broadcast(known)
 
     def split(ids: list, texts: list) -> dict:

@@ -335,6 +335,16 @@ def test_boundaries_of_odd_rows(spark):
     assert [t for i, _, t in one if i == len(values) - 2] == ["{{name}}です。", "待ってくれ。"]
 
 
+def test_all_texts_are_fitted(spark):
+    """The sums of all executors are those of one loop over all texts, more than any sample there was (25,000), long ones too."""
+    texts = corpus() * 12 + ["Wren's kettle sang. " * 150]
+    own = sentences.Model(texts)
+    got = sentences.fit(segs(spark, [(0.0, 1.0, t) for t in texts]), residue.statistics(segs(spark, [(0.0, 1.0, t) for t in texts])))
+    for name in ("known", "word", "ends", "share", "first", "after", "kinds"):
+        assert getattr(got, name) == getattr(own, name), name
+    assert got.inner.counts == own.inner.counts and got.first["la",] == sum(sentences.script(t) == "la" for t in texts)
+
+
 CUE = "cue_id bigint, stem string, reel bigint, start_s double, end_s double, text string, ruby array<string>, id string, who string, block int"
 STATS = "stem string, reel bigint, speakers map<string,bigint>, who string"
 
