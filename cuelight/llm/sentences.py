@@ -396,9 +396,9 @@ class Model:
         return script(t), [g for g in gaps(t) if not any(a < g[0] and g[1] <= b for a, b in inner)], marks
 
     def edges_of(self, texts: list[str], times: list[int]) -> dict[str, list]:
-        """How often each context ends a text and is in one, and how texts begin."""
+        """How often each context ends a text and is in one, and how texts begin; copies of a text say nothing more."""
         out: dict[str, list] = defaultdict(lambda: [0, 0])
-        for t, n in zip(texts, times):
+        for t in texts:
             s, found, marks = self.found(t)
             tail = self.left(t, marks.start() if marks else len(t.rstrip()), t[marks.start() : len(t.rstrip())] if marks else "", s)
             own: dict[tuple, int] = dict.fromkeys(self.contexts(tail), 1)
@@ -410,25 +410,25 @@ class Model:
                         own.setdefault(c, 0)
             for c, last in own.items():
                 e = out[SEP.join(("end", *c))]
-                e[0] += last * n
-                e[1] += n
+                e[0] += last
+                e[1] += 1
             r = self.right(t.strip(), 0)
             for k in range(len(r) + 1):
-                out[SEP.join(("first", s, *r[:k]))][1] += n
+                out[SEP.join(("first", s, *r[:k]))][1] += 1
         return out
 
     def insides_of(self, texts: list[str], times: list[int]) -> dict[str, list]:
         """The words behind gaps that hardly end a sentence."""
         out: dict[str, list] = defaultdict(lambda: [0, 0])
-        for t, n in zip(texts, times):
+        for t in texts:
             s, found, _ = self.found(t)
             for begin, end, follow, _ in found:
                 left = self.left(t, begin, t[begin:end], s)
                 if self.event(left) < 0.2:
                     r = self.right(t, follow)
                     for k in range(len(r) + 1):
-                        out[SEP.join((s, "", *r[:k]))][1] += n
-                        out[SEP.join((s, *left[-2:], *r[:k]))][1] += n
+                        out[SEP.join((s, "", *r[:k]))][1] += 1
+                        out[SEP.join((s, *left[-2:], *r[:k]))][1] += 1
         return out
 
     def parts_of(self, texts: list[str], times: list[int]) -> dict[str, list]:
@@ -596,7 +596,7 @@ def _add(a: float, b: float) -> float:
 
 
 def fit(texts: DataFrame, known: tuple, text_col: str = "text") -> Model:
-    """The model of all texts, copies as often as they are there; ``known`` are residue's statistics."""
+    """The model of all texts; ``known`` are residue's statistics."""
     context = texts.sparkSession.sparkContext
     weight = context.broadcast(known)
     schema = StructType([StructField("k", StringType()), StructField("n", LongType())])
