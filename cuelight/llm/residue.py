@@ -21,6 +21,7 @@ import math
 import re
 from bisect import bisect_left, bisect_right
 from collections import Counter
+from collections.abc import Iterable
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -76,6 +77,7 @@ _blank = re.compile("  +")
 _js = re.compile(r"\bjs\b")
 _keys = re.compile("(?:1234567890|0123456789)+")
 _again = re.compile(r"^\s*(\S(?:.{0,11}?\S)?)\s*(?:\1\s*){2,}.{0,12}$")
+_unit = re.compile("|".join(map(re.escape, UNITS)))
 _spaceless = re.compile("[ぁ-ゖァ-ヺー一-鿿々฀-๿○□]")
 _kana = re.compile("[ぁ-ゖー]+")
 _bound = re.compile("[ぁ-ゖァ-ヺー一-鿿々฀-๿○□가-힣]")
@@ -158,6 +160,8 @@ class Index:
         """With the weight of every term (that of "" is a term's without any text) and learned words of filler."""
         self.known, self.unknown = self.filler | learned, weight[""]
         self.done: dict[str, bool] = {}  # texts that a worker has looked at
+        self.parts: dict[str, frozenset] = {}  # and the terms of their sentences, and what these say
+        self.said: dict[str, tuple | None] = {}
         self.weight = [weight[t] for t in self.all]
         self.same, self.like, self.alike = [], [], []
         self.by_kind: dict[str, set[str]] = {}
@@ -188,7 +192,10 @@ class Index:
         ends = [at for at, _ in hits]
         tried = set()
         wide: set[int] = set()
-        for end, i in hits:
+        there = {i for _, i in hits}
+        for i in there:
+            wide.update(self.retrieves_like.get(i, ()))
+        for end, i in hits if not self.retrieves.keys().isdisjoint(there) else ():
             for e in self.retrieves.get(i, ()):
                 kind, size, own, total, short = self.same[e]
                 if (end, e) in tried:
@@ -199,15 +206,13 @@ class Index:
                 if sum(self.weight[j] for j in near) >= COVERAGE * total - 1e-9:
                     if not short or self.covered(_around(text, end), kind):
                         return True
-            wide.update(self.retrieves_like.get(i, ()))
         if wide:  # the exemplars of which the whole text holds enough
-            there, weight, like = {i for _, i in hits}, self.weight, self.like
+            weight, like = self.weight, self.like
             wide = {e for e in wide if sum(map(weight.__getitem__, there & like[e][2])) >= LIKE * like[e][3]}
         if wide:
-            parts = text.split("|")
-            if any(self.said_otherwise(p, wide) for p in {*parts, text, *(c for p in parts if "," in p for c in p.split(","))}):
+            if self.parts_say(text, wide):
                 return True
-        return self.fills(text) or any(self.typed(p) for p in text.split("|"))
+        return self.fills(text) or (_unit.search(text) is not None and any(map(self.typed, text.split("|"))))
 
     def typed(self, passage: str) -> bool:
         """Whether a sentence is one unit again and again that holds a word which is typed to fill a place."""
@@ -220,26 +225,59 @@ class Index:
         terms = {t: self.weight[number[t]] if t in number else self.unknown for t in coarse(passage)}
         return sum(w for t, w in terms.items() if t in own) >= KIND * sum(terms.values())
 
-    def said_otherwise(self, passage: str, candidates: set[int]) -> bool:
-        """Whether a sentence or clause is covered by the terms of one kind and holds much of one exemplar of it."""
-        terms = set(coarse(passage))
+    def parts_say(self, text: str, candidates: set[int]) -> bool:
+        """Whether a folded text, or a sentence or clause of it, says what one of the ``candidates`` does."""
+        parts = text.split("|")
+        clauses = [c for p in parts if "," in p for c in p.split(",")]
+        if len(parts) > 1 and text.count(" |") == text.count("| ") == len(parts) - 1:  # its terms are those of its sentences
+            whole = self.says(frozenset().union(*map(self.terms, parts)), bool(_spaceless.search(text)))
+        else:
+            whole = self.what(text)
+        return any(got and self.said_otherwise(got, candidates) for got in (whole, *map(self.what, {*parts, *clauses})))
+
+    def terms(self, passage: str) -> frozenset:
+        got = self.parts.get(passage)
+        if got is None:
+            if len(self.parts) > MEMO:
+                self.parts.clear()
+            got = frozenset(coarse(passage))
+            if len(passage) <= BRIEF_TEXT:
+                self.parts[passage] = got
+        return got
+
+    def what(self, passage: str) -> tuple | None:
+        """``says`` of a passage, remembered."""
+        if passage in self.said:
+            return self.said[passage]
+        if len(self.said) > MEMO:
+            self.said.clear()
+        got = self.says(self.terms(passage), bool(_spaceless.search(passage)))
+        if len(passage) <= BRIEF_TEXT:
+            self.said[passage] = got
+        return got
+
+    def says(self, terms: frozenset, wide: bool) -> tuple | None:
+        """The kinds that cover a passage of these terms, its terms of the index and how many it must share with an exemplar; if
+        there are any."""
         number, weight = self.number, self.weight
         there = {number[t] for t in terms if t in number}
-        wide = bool(_spaceless.search(passage))
         there.discard(number.get(" 0 ", -1))  # any number is like any other
         least = SHARED[wide] - (2 < len(terms) <= BRIEF)
         if len(there) < least:
-            return False
+            return None
         total = sum(weight[number[t]] if t in number else self.unknown for t in terms)
-        for kind, own in self.by_kind.items():
-            covered = sum(weight[number[t]] for t in terms if t in own)
-            if covered >= KIND * total:
-                for e in candidates:
-                    k, _, ids, all_of_it, _ = self.like[e]
-                    if GROUP[k] == kind:
-                        shared = ids & there
-                        if len(shared) >= least and sum(weight[j] for j in shared) >= LIKE * all_of_it:
-                            return True
+        kinds = {kind for kind, own in self.by_kind.items() if sum(weight[number[t]] for t in terms if t in own) >= KIND * total}
+        return (kinds, there, least) if kinds else None
+
+    def said_otherwise(self, said: tuple, candidates: set[int]) -> bool:
+        """Whether a passage that is covered by the terms of one kind (``says``) holds much of one exemplar of it."""
+        kinds, there, least = said
+        for e in candidates:
+            kind, _, ids, all_of_it, _ = self.like[e]
+            if GROUP[kind] in kinds:
+                shared = ids & there
+                if len(shared) >= least and sum(self.weight[j] for j in shared) >= LIKE * all_of_it:
+                    return True
         return False
 
     def fills(self, text: str) -> bool:
@@ -265,32 +303,44 @@ def statistics(texts: DataFrame, text_col: str = "text") -> tuple[dict[str, floa
     One number a term of the index and the learned words come to the driver; the former are those of the exemplars, the
     latter filler's own vocabulary, words that hardly any other text has.
     """
-    schema = StructType([StructField("term", LongType()), StructField("word", StringType()), StructField("n", LongType()), StructField("among", LongType())])
+    schema = StructType([StructField("of", StringType()), StructField("k", StringType()), StructField("a", LongType()), StructField("n", LongType())])
 
     def count(column: list) -> dict:
-        index = _index()
         many = Counter(t for t in column if t)
-        found = [0] * len(index.all)
-        seen: Counter = Counter()
-        among: Counter = Counter()
-        for text, n in zip(plain(list(many)), many.values()):
-            for i in {i for _, i in index.hits(text)}:
-                found[i] += n
-            words = {w for w in text.split() if w.isalpha() and len(w) < 40 and "a" <= w[0] <= "ɏ"}
+        found, seen = counted(list(many), list(many.values()), plain(list(many)))
+        rows = [*(("term", str(i), 0, n) for i, n in found.items()), *(("word", w, among, n) for w, (among, n) in seen.items())]
+        return {name: [r[k] for r in rows] for k, name in enumerate(schema.names)}
+
+    return gathered(map_columns(texts.select(texts[text_col].alias("text")), count, schema))
+
+
+def counted(texts: list[str], times: list[int], folded: list[str]) -> tuple[dict[int, int], dict[str, tuple]]:
+    """Of distinct texts, how often each is there and how it is folded: the texts of each term of the index, by its number, -1
+    for all; and of every word, those in filler's company and all."""
+    index = _index()
+    found: Counter = Counter({-1: sum(times)})
+    seen: Counter = Counter()
+    among: Counter = Counter()
+    for text, n in zip(folded, times):
+        for i in {i for _, i in index.hits(text)}:
+            found[i] += n
+        words = {w for w in text.split() if "a" <= w[0] <= "ɏ" and len(w) < 40 and w.isalpha()}
+        if words:
             for w in words:
                 seen[w] += n
-            if words:
-                for w in {*index.company(text)} & words:
-                    among[w] += n
-        rows = [(-1, None, many.total(), 0), *((i, None, n, 0) for i, n in enumerate(found) if n), *((None, w, n, among[w]) for w, n in seen.items())]
-        return {name: [r[k] for r in rows] for k, name in enumerate(schema.names)}
+            for w in {*index.company(text)} & words:
+                among[w] += n
+    return found, {w: (among[w], n) for w, n in seen.items()}
+
 
-    rows = map_columns(texts.select(texts[text_col].alias("text")), count, schema).groupBy("term", "word").agg(F.sum("n").alias("n"), F.sum("among").alias("among"))
+def gathered(counts: DataFrame) -> tuple[dict[str, float], frozenset]:
+    """The statistics by counts (of, k, a, n) of terms and words, of which a are in filler's company."""
+    rows = counts.where("of in ('term', 'word')").groupBy("of", "k").agg(F.sum("a").alias("a"), F.sum("n").alias("n"))
     # the words that stand in filler's company only, and all counts of the index's terms
-    learned = F.col("word").isNotNull() & (F.col("among") >= SEEN) & (F.col("among") >= ALONE * F.col("n"))
-    got = rows.where(F.col("term").isNotNull() | learned).collect()
-    counts = {r.term: r.n for r in got if r.term is not None}
-    return weights(_index().all, counts, counts.get(-1, 0)), frozenset(r.word for r in got if r.term is None)
+    learned = (F.col("a") >= SEEN) & (F.col("a") >= ALONE * F.col("n"))
+    got = rows.where((F.col("of") == "term") | learned).collect()
+    many = {int(r.k): int(r.n) for r in got if r.of == "term"}
+    return weights(_index().all, many, many.get(-1, 0)), frozenset(r.k for r in got if r.of == "word")
 
 
 def weights(terms: list[str], counts: dict[int, int], n: int) -> dict[str, float]:
@@ -325,6 +375,12 @@ def flags(texts: list[str | None], known: tuple) -> list[bool]:
     return out
 
 
+def folded_flags(folded: Iterable[str], known: tuple) -> list[bool]:
+    """``flags`` of distinct texts that are folded already."""
+    index = _index(known)
+    return [index.residue(p) for p in folded]
+
+
 def residue(segments: DataFrame, id_col: str = "seg_id", text_col: str = "text") -> DataFrame:
     """(``id_col``): the rows whose text holds residue."""
     rows = segments.select(segments[id_col], segments[text_col].alias("__text")).where("__text is not null")

@@ -345,6 +345,29 @@ def test_all_texts_are_fitted(spark):
     assert got.inner.counts == own.inner.counts and got.first["la",] == sum(sentences.script(t) == "la" for t in set(texts))
 
 
+def test_what_is_remembered_of_contexts_is_shared():
+    """Texts that differ in numbers, or far before a gap, have the same contexts: each is looked up once, not once a text."""
+    m = sentences.Model(corpus())
+    m.forget()
+    texts = [f"{n}人が集まったらしい。朔はまだ来ていません。" for n in range(1000, 1300)]
+    assert all(m.marked(t, sentences.gaps(t), "ja") == [len("1000人が集まったらしい。")] for t in texts)
+    assert len(m.lefts) < 10 and len(m.known_lefts) + len(m.near_lefts) < 10
+    inner = sentences.Inner(sentences.Counter(unmarked_corpus()[0]["ja"]))
+    text = "朔はまだ来ていません待ってくれ迅"
+    want = sentences.Inner(sentences.Counter(unmarked_corpus()[0]["ja"])).cuts(text, "ja")
+    assert want and inner.cuts(text, "la") != want and inner.cuts(text, "ja") == want  # not what it was in another script
+
+
+@pytest.mark.parametrize("text", ["", "。", "待って", "待って。」 ", "待って。\u200b!」\u3000\n", "a.\u200b", "Go?! Stop...”\n", "\u200b", "」。」", "ﾊﾞ２３。", "İΣ a 10 १२ don't"])
+def test_last_marks_and_names(text):
+    import re
+
+    m = re.search(f"([{sentences.MARKS}][{sentences.MARKS}{sentences.INVISIBLE}]*)[{re.escape(sentences.CLOSERS)}{sentences.INVISIBLE}\\s]*$", text)
+    assert sentences.last_marks(text) == (m.start() if m else -1)
+    assert sentences.Inner.names(text) == [w for w, _, _ in sentences.Inner.words(text)]
+    assert sentences.fold(text) == lookalikes.fold(text)
+
+
 CUE = "cue_id bigint, stem string, reel bigint, start_s double, end_s double, text string, ruby array<string>, id string, who string, block int"
 STATS = "stem string, reel bigint, speakers map<string,bigint>, who string"
 
